@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import oracles, packing, quality_rules, simhash
+from loomlog.llm import oracles, packing, quality_rules, simhash, substring_dedup
 from loomlog.llm.base import table
 
 
@@ -13,6 +13,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("_row.doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
 
@@ -22,7 +26,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op8_simhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op8_simhash_near_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
