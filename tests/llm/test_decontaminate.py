@@ -1,0 +1,83 @@
+import random
+
+import numpy as np
+
+from loomlog.llm import decontaminate, queries
+from loomlog.llm.decontaminate import align, plain_words
+from loomlog.llm.rolling import RunHasher
+
+SF = "/root/testdata/sf0.001"
+
+
+def hashes(text):
+    words = plain_words(text)
+    if not words:
+        return np.zeros(0, np.int64)
+    h = RunHasher()
+    h.load(words)
+    return h.of(np.arange(len(words)), 1).view(np.int64)
+
+
+def brute(docs, items, least=0.5):
+    """Aligns every whole text with every item."""
+    items = [(i, hashes(t)) for i, t in items]
+    out = set()
+    for d, t in docs:
+        own = hashes(t)
+        for i, item in items:
+            if len(item) and len(own) and (s := align(own, item)[0] / (2 * len(item))) >= least:
+                out.add((d, i, round(s, 9)))
+    return sorted(out, key=str)
+
+
+def result(df):
+    return sorted(((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in df.collect()), key=str)
+
+
+def plain_align(a, b):
+    best, rows = 0, [[0] * (len(a) + 1) for _ in range(len(b) + 1)]
+    for i in range(1, len(b) + 1):
+        for j in range(1, len(a) + 1):
+            rows[i][j] = max(0, rows[i - 1][j - 1] + (2 if a[j - 1] == b[i - 1] else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 1)
+            best = max(best, rows[i][j])
+    return best
+
+
+def test_alignment_equals_the_plain_recurrence():
+    rng = random.Random(1)
+    for _ in range(60):
+        a, b = (np.array([rng.randrange(4) for _ in range(rng.randint(1, 30))]) for _ in range(2))
+        score, start, end = align(a, b)
+        assert score == plain_align(a.tolist(), b.tolist())
+        assert align(a[start:end], b)[0] == score
+
+
+def test_query_equals_brute_force(spark):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    want = brute(docs, items)
+    assert want
+    assert result(queries.op7_benchmark_decontamination(spark, SF)) == want
+
+
+def test_edited_copies_and_edge_cases(spark, monkeypatch):
+    rng = random.Random(2)
+    items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(20, 60)))) for k in range(12)]
+    items += [(90, None), (91, ""), (92, "Lone Star!"), (None, "one two three four five"), (3, items[3][1])]
+    docs = [(None, None), (1, ""), (2, "short"), (3, "a lone, star"), (4, "zero one two three four five six")]
+    for k in range(10, 60):
+        words = items[k % 12][1].split()
+        for _ in range(len(words) // 8):
+            j = rng.randrange(len(words))
+            words[j : j + 1] = rng.choice(([], ["new"], [words[j].upper() + ",", "extra"]))
+        docs.append((k, " ".join([f"x{rng.randrange(9999)}" for _ in range(rng.randint(0, 300))] + words + [f"y{k}"] * 5)))
+    docs.append(docs[-1])
+    frame = spark.createDataFrame([(*r, 1, "s") for r in docs], "doc_id long, text string, item_id int, score string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert len(want) > 50
+    assert result(decontaminate.leaks(frame, bench)) == want
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    assert result(decontaminate.leaks(frame, bench)) == want
+    assert decontaminate.leaks(frame.limit(0), bench).count() == 0
+    assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
