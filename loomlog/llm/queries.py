@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import decontaminate, oracles, packing, quality_rules, simhash, substring_dedup
+from loomlog.llm import decontaminate, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup
 from loomlog.llm.base import table
 
 
@@ -17,6 +17,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("_row.doc_id", "*").drop("_row", "_owned")
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
@@ -30,8 +34,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality_sql()}
+    return {"op2_quality_rules": oracles.quality_sql(), "op5_secret_scan": oracles.secrets_sql()}
