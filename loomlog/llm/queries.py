@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import decontaminate, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup
+from loomlog.llm import decontaminate, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 from loomlog.llm.base import table
 
 
@@ -21,6 +21,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents")).select("_row.doc_id", "*").drop("_row", "_owned")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
@@ -34,7 +38,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_secret_scan, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
