@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.llm import decontaminate, oracles, packing, quality_rules, secret_scan, simhash, substring_dedup, toxicity
+from loomlog.llm import decontaminate, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, toxicity
 from loomlog.llm.base import table
 
 
@@ -13,6 +13,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("_row.doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -38,7 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
