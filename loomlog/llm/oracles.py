@@ -79,3 +79,37 @@ per_doc as (
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256,
   coalesce(spans, '') as spans, coalesce(n_owner_specific, 0) as n_owner_specific, coalesce(n_widely_copied, 0) as n_widely_copied
 from docs left join per_doc using (doc_id)"""
+
+
+def token_counts_sql() -> str:
+    words = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
+    marks = r"len(regexp_extract_all({}, '[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+|[^A-Za-z0-9\x{{80}}-\x{{10FFFF}}\x00-\x20]'))"
+    one_line = r"regexp_replace(text, '\n.*', '', 's')"
+    return rf"""
+with docs as (select source, lang, coalesce(text, '') as text, n_chars from documents),
+kept as (select source, lang, case when n_chars > 20000 then {one_line} else text end as text, n_chars from docs
+  where len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 5),
+counted as (
+  select source, lang, 'words-1' as tokenizer_version, {words.format("text")} as n from kept
+  union all select source, lang, 'marks-1', {marks.format("text")} from kept)
+select source, lang, tokenizer_version, count(*) as n_docs, sum(n)::bigint as n_tokens from counted group by all"""
+
+
+def licenses_sql(dice: float = 0.8) -> str:
+    from loomlog.llm.licenses import TEMPLATES
+
+    rows = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, forms in TEMPLATES.items() for text in forms)
+    words = r"regexp_extract_all(lower({}), '[a-z0-9.]*[a-z0-9]+')"
+    grams = "case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1]))) end"
+    return rf"""
+with forms as (select license, text, {grams} as g from (select license, text, {words.format("text")} as w from (values {rows}) t(license, text))),
+lines as (
+  select doc_id, 0 as unit, coalesce(text, '') as line from documents
+  union all select doc_id, i, string_split(coalesce(text, ''), chr(10))[i] from (
+    select doc_id, text, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) as i from documents)),
+units as (select doc_id, unit, {grams} as g from (select doc_id, unit, {words.format("line")} as w from lines)),
+scored as (
+  select doc_id, unit, license, 2 * len(list_intersect(u.g, f.g)) / (len(u.g) + len(f.g)) as dice
+  from units u join forms f on len(u.g) > 0 and len(u.g) between len(f.g) * {dice} / {2 - dice} - 1 and len(f.g) * {2 - dice} / {dice} + 1)
+select doc_id, license, unit, dice from scored where dice >= {dice}
+qualify row_number() over (partition by doc_id, license order by dice desc, unit) = 1"""

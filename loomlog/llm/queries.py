@@ -3,9 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
-from loomlog.llm import decontaminate, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, toxicity
-from loomlog.llm.base import table
+from pyspark.sql import functions as F
+
+from loomlog.llm import decontaminate, licenses, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from loomlog.llm.base import scratch, table
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts all documents under two tokenizer versions, revises those of over 20,000 characters to their first line,
+    deletes those of fewer than five words, delivers every batch twice and compacts in between."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.TokenRollup(spark, scratch(spark, "rollup"))
+    first_line = F.regexp_replace("text", r"(?s)\n.*", "")
+    long, short = docs.where("n_chars > 20000"), docs.where(token_counts.word_tokens(F.col("text")) < 5)
+    for version in ("words-1", "marks-1"):
+        deltas = {
+            "insert": token_counts.inserts(docs, version),
+            "revise": token_counts.revisions(long, version, F.col("text"), first_line),
+            "delete": token_counts.deletes(short, version),
+        }
+        for name, rows in deltas.items():
+            rollup.commit(f"{name}-{version}", rows)
+            rollup.commit(f"{name}-{version}", rows)
+        rollup.compact()
+        rollup.commit(f"insert-{version}", deltas["insert"])
+    return rollup.totals()
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +59,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("_key")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality_sql(), "op5_secret_scan": oracles.secrets_sql()}
+    return {"op2_quality_rules": oracles.quality_sql(), "op5_secret_scan": oracles.secrets_sql(), "op1_token_counts": oracles.token_counts_sql(), "op9_license_scan": oracles.licenses_sql()}
