@@ -119,6 +119,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     each = found.where("size(_base) + size(_more) > 0").select("_id", "_key", "_owner", "_repository", F.explode(F.concat("_base", "_more")).alias("_s"))
     holders = each.select(F.col("_s.hash").alias("_hash"), "_owner", "_repository").distinct()
     holders = holders.groupBy("_hash", "_owner").agg(F.count("*").alias("_n")).groupBy("_hash").agg(F.count("*").alias("_owners"), F.sum("_n").alias("_repositories"))
+    holders = materialize(holders, "secret-holders")  # a bare exchange on either side lets a hot value be split
     known = each.select("_id", "_key", "_s").join(holders, F.col("_s.hash") == F.col("_hash"))
     by_row = known.groupBy("_key", "_id").agg(F.collect_set(F.struct("_s", (F.col("_owners") <= most_owners).alias("live"))).alias("_known"))
 
@@ -134,21 +135,37 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     )
 
 
-def redacted(text: Column, owned: Column) -> Column:
-    """The text with its secrets replaced, one kind after another; of the added kind those whose hashes are in ``owned``."""
-    for kind in KINDS:
+def _cleaned(kind: str, text: Column, owned: Column) -> Column:
+    def secret(m: Column) -> Column:
+        ok = _passes(kind, m)
+        return ok & F.array_contains(owned, F.sha2(m, 256)) if kind == "owned" else ok
 
-        def put(t: Column, kind=kind) -> Column:
-            def rebuilt(ms: Column) -> Column:
-                def secret(m: Column) -> Column:
-                    ok = _passes(kind, m)
-                    return ok & F.array_contains(owned, F.sha2(m, 256)) if kind == "owned" else ok
+    def rebuilt(ms: Column) -> Column:
+        after = lambda i: F.when(secret(F.get(ms, i)), MARK).otherwise(F.coalesce(F.get(ms, i), F.lit("")))
+        parts = let(F.split(text, PATTERNS[kind], -1), lambda ps: F.transform(ps, lambda p, i: F.concat(p, after(i))))
+        return F.when(F.size(ms) == 0, text).otherwise(F.array_join(parts, ""))
 
-                pieces = F.split(t, PATTERNS[kind], -1)
-                parts = let(pieces, lambda ps: F.transform(ps, lambda p, i: F.concat(p, F.coalesce(F.when(secret(F.get(ms, i)), MARK).otherwise(F.get(ms, i)), F.lit("")))))
-                return F.when(F.size(ms) == 0, t).otherwise(F.array_join(parts, ""))
+    return let(_matches(kind, text), rebuilt)
 
-            return let(_matches(kind, t), rebuilt)
 
-        text = let(text, put)
-    return text
+def redacted(text: Column, owned: Column) -> Column:
+    """The text with its secrets replaced, one kind after another; of the added kind those whose hashes are in ``owned``."""
+    clean = lambda kinds: (lambda t: let(_cleaned(kinds[0], t, owned), clean(kinds[1:])) if kinds else t)
+    return clean(KINDS)(text)
+
+
+def redact(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars", **how) -> DataFrame:
+    """The rows of docs with the secrets in their texts replaced by MARK, and their lengths set anew."""
+    found = scan(docs, text_col=text_col, keep_texts=True, **how)
+    text = F.col("_row").getField(text_col)
+    hit = F.col("n_assign") + F.col("n_access") + F.col("n_hex") + F.size("_owned") > 0
+    out = found.select("_row", hit.alias("_hit"), F.when(hit, redacted(text, F.col("_owned"))).otherwise(text).alias("_clean"))
+    columns = []
+    for c in docs.columns:
+        if c == text_col:
+            columns.append(F.col("_clean").alias(c))
+        elif c == length_col:
+            columns.append(F.when(F.col("_hit"), F.length("_clean").cast(docs.schema[c].dataType)).otherwise(F.col("_row").getField(c)).alias(c))
+        else:
+            columns.append(F.col("_row").getField(c).alias(c))
+    return out.select(*columns)
