@@ -155,3 +155,10 @@ def leaks(
     scored = pairs.mapInArrow(run, f"{kinds}, seeds long, score double, start int, end int").where(F.col("score") >= least_score)
     best = scored.groupBy("_id", "_key", "_item").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "end", "seeds")).alias("b"))
     return best.select(F.col("_id").alias(id_col), F.col("_item").alias("item_id"), "b.score", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), F.col("b.seeds").alias("seeds"), "_key")
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs that hold no benchmark item."""
+    bad = materialize(leaks(docs, items, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), "_key").distinct(), "leaks")
+    rows = docs.select(*row_keys(id_col, text_col), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    return same_row(rows, bad, "left_anti").select("_row.*")

@@ -56,7 +56,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("_key")
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("_key", "_root")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

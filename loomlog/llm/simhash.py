@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import materialize, row_keys
+from loomlog.llm.base import materialize, row_keys, same_row
 from loomlog.llm.components import components
 
 MAX_BITS = 2
@@ -101,8 +101,8 @@ def links(prints: DataFrame, segments: int = 16, crowd: int = 32) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, segments: int = 16, crowd: int = 32) -> DataFrame:
-    """Returns the id column, fingerprint and component_id (smallest id reachable over links, itself included), and
-    ``_key``, the hash of id and text that tells rows of one id apart.
+    """Returns the id column, fingerprint and component_id (smallest id reachable over links, itself included),
+    ``_key``, the hash of id and text that tells rows of one id apart, and ``_root``, the component's least fingerprint.
 
     Null and empty texts have fingerprint zero and are linked like any other; a null id stays null and counts for
     no component's smallest id (a component of null ids only has a null component_id); repeated rows each have
@@ -113,6 +113,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = components(links(classes.select("_fp"), segments, crowd), "simhash-links")
     rooted = classes.join(found, classes["_fp"] == found["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    known = rooted.join(least, "_root").select(F.col("_fp").alias("_class"), "component_id")
+    known = rooted.join(least, "_root").select(F.col("_fp").alias("_class"), "_root", "component_id")
     out = prints.join(known, prints["_fp"] == known["_class"])
-    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_key")
+    return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_key", "_root")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, one of each component: the one of the smallest id, null ids last; repeated rows once."""
+    found = materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), "_key", "_root"), "simhash-found")
+    kept = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_key")).alias("_one")).select("_one._id", "_one._key")
+    out = same_row(docs.select(*row_keys(id_col, text_col), F.struct(*[F.col(c) for c in docs.columns]).alias("_row")), kept, "left_semi")
+    if not found.groupBy("_id", "_key").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates(["_id", "_key"])
+    return out.select("_row.*")
