@@ -70,10 +70,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dic
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = docs.select(*row_keys(id_col, text_col), F.posexplode(F.concat(F.array(text), F.split(text, "\n", -1))).alias("unit", "_unit"))
-    # a bigram takes three characters at least: longer than any template can be is told without cutting
     units = units.select("_id", "_key", "unit", bigrams(F.col("_unit")).alias("_grams")).withColumn("_n", F.size("_grams")).where(F.col("_n").between(least, most) & (F.col("_n") > 0))
     shared = units.select("_id", "_key", "unit", "_n", F.explode("_grams").alias("_gram")).join(known, "_gram")
-    bound = (F.col("_n") >= F.col("_t") * dice / (2 - dice)) & (F.col("_n") <= F.col("_t") * (2 - dice) / dice)
+    bound = 2 * F.least("_n", "_t") / (F.col("_n") + F.col("_t")) >= dice  # the most that sizes allow
     hits = shared.where(bound).groupBy("_id", "_key", "unit", "license", "form").agg((2 * F.count_distinct("_gram") / F.first(F.col("_n") + F.col("_t"))).alias("dice")).where(F.col("dice") >= dice)
     best = hits.groupBy("_id", "_key", "license").agg(F.max(F.struct("dice", (-F.col("unit")).alias("u"))).alias("b"))
     return best.select(F.col("_id").alias(id_col), "license", (-F.col("b.u")).alias("unit"), F.col("b.dice").alias("dice"), "_key")
