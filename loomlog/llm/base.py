@@ -7,52 +7,21 @@ operator never needs a generated row number that a lost executor could deal anew
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlog.storage import drop_scratch, materialize, scratch, shared_dir
+
+__all__ = ["SPACES", "drop_scratch", "let", "materialize", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
+
 #: Fixed value: the bytes that separate words, as the contracts name them (space and 0x09-0x0D).
 SPACES = " \t\n\x0b\x0c\r"
 
-_own_dir: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="loomlog-"))
-    return _own_dir[0]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; all of one application's lie below one directory."""
-    return f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_scratch(spark: SparkSession) -> None:
-    """Removes what this application has put in the shared folder. Results that are still lazy need it."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomlog-{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_keys(id_col: str, text_col: str) -> list[Column]:
     """``_id`` and ``_key``: null-safe identity of a row by its id and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))

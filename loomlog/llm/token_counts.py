@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,6 @@ def mark_tokens(text: Column) -> Column:
 
 def bpe_tokens(text: Column, ranks_path: str | None = None) -> Column:
     """Ids of the byte-level BPE, in Arrow batches."""
-    import pandas as pd
-
     from loomlog.llm.tokenizer import tokenizer
 
     @F.pandas_udf("long")
