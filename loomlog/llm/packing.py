@@ -3,7 +3,7 @@
 Only lengths matter to the choice of bins, and there are at most ``capacity`` different ones. So the heuristic
 runs on the histogram of lengths, which has a bounded size whatever the corpus: each bin starts with the longest
 length left, a bitset subset-sum over the lengths still available finds the fullest feasible rest, and that
-combination is removed as many times as the histogram allows. Pieces then find their place by their rank among
+combination is removed as many times as the histogram allows; a few slacks are tried and the best plan is kept. Pieces then find their place by their rank among
 those of the same length, so no task ever holds all pieces, nor all of one length.
 """
 
@@ -26,38 +26,51 @@ _PIECES = "_part int, doc_id long, piece int, start long, length long, ids_crc32
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def fullest(counts: dict[int, int], room: int) -> Counter:
-    """The lengths, each at most as often as counted, whose sum is the largest up to ``room``.
+#: Slacks tried, in tokens; the plan with the fewest bins is taken.
+SLACKS = (0, 1, 2, 4, 8, 16, 32, 64, 128)
 
-    Bitset subset-sum: bit s of ``reach`` says that s can be filled by the lengths seen so far.
+
+def fullest(counts: dict[int, int], room: int, slack: int = 0) -> Counter:
+    """Lengths, each at most as often as counted, that fill ``room`` to within ``slack`` of the fullest way there is.
+
+    Bitset subset-sum: bit s of ``reach`` says that s can be filled by the lengths seen so far. Among the ways, long lengths go first, so
+    that short ones, which fit anywhere, are left for later bins.
     """
     reach, full, steps = 1, (1 << (room + 1)) - 1, []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    for length in sorted(x for x in counts if x <= room):
+        steps.append((length, reach))
         left, take = min(counts[length], room // length), 1
         while left > 0:  # 1, 2, 4, ... copies at once
             take = min(take, left)
-            steps.append((length, take, reach))
             reach |= (reach << (length * take)) & full
             left -= take
             take *= 2
-        if reach >> room & 1:
-            break
-    at, found = reach.bit_length() - 1, Counter()
-    for length, take, before in reversed(steps):
-        if not before >> at & 1:
-            found[length] += take
-            at -= length * take
+    high = reach.bit_length() - 1
+    low, found = max(0, high - slack), Counter()
+    for length, before in reversed(steps):
+        for copies in range(min(counts[length], high // length), 0, -1):
+            up, down = high - copies * length, max(0, low - copies * length)
+            if before >> down & ((1 << (up - down + 1)) - 1):
+                found[length], high, low = copies, up, down
+                break
     return found
 
 
-def bin_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Combinations of lengths and how many bins repeat each; together they use the histogram up."""
+def bin_patterns(histogram: dict[int, int], capacity: int, slacks: tuple[int, ...] = SLACKS) -> list[tuple[dict[int, int], int]]:
+    """Combinations of lengths and how many bins repeat each; together they use the histogram up.
+
+    Minimum bin slack, and its relaxed form (Fleszar and Hindi, 2002) with each of ``slacks``: the plan with the fewest bins wins.
+    """
+    return min((_plan(histogram, capacity, slack) for slack in slacks), key=lambda plan: sum(times for _, times in plan))
+
+
+def _plan(histogram: dict[int, int], capacity: int, slack: int) -> list[tuple[dict[int, int], int]]:
     left = {length: n for length, n in histogram.items() if n > 0}
     patterns = []
     while left:
         longest = max(left)
         left[longest] -= 1
-        pattern = fullest({x: n for x, n in left.items() if n}, capacity - longest)
+        pattern = fullest({x: n for x, n in left.items() if n}, capacity - longest, slack)
         left[longest] += 1
         pattern[longest] += 1
         times = min(left[x] // k for x, k in pattern.items())
