@@ -13,6 +13,9 @@ from loomlog.operators import filters, latest, lines, modules, order, render, se
 from loomlog.operators.filters import LogFilter
 from loomlog.plans import pipeline, tables
 from loomlog.sources import capture, session_log
+from loomlog.sources.stream import stream_chunks
+from loomlog.storage import scratch
+from loomlog.streaming.fan_out import fan_out
 
 #: The log table in SQL; every oracle starts with it.
 LOGS = """logs as (
@@ -477,6 +480,44 @@ def _(spark, d):
     return capture.session_manifest(tables.chunks(spark, d))
 
 
+@query("k2_write_raw_capture", """select cast(doc_id as varchar) as source, i as chunk_seq, doc_id * 1000000 + i as timestamp_ns, substr(t, i * 64 + 1, 64) as piece
+  from (select doc_id, t, unnest(range(0, (length(t) - 1) // 64 + 1)) as i from (select doc_id, concat(coalesce(text, ''), chr(10)) as t from documents))""")
+def _(spark, d):
+    path = scratch(spark, "capture")
+    capture.write_raw_capture(tables.chunks(spark, d), path)
+    back = spark.read.schema(model.CHUNKS).parquet(path)
+    return back.select("source", "chunk_seq", "timestamp_ns", F.col("payload").cast("string").alias("piece"))
+
+
+@query("s4_o6_stream_fan_out", """select cast(doc_id as varchar) as source, length(t) // 64 + (length(t) % 64 > 0)::int as chunks, strlen(t) as total_bytes
+  from (select doc_id, concat(coalesce(text, ''), chr(10)) as t from documents)""")
+def _(spark, d):
+    """Chunks dropped as files, streamed in small batches to two sinks; the sinks must agree."""
+    dropped, store, counts, state = (scratch(spark, x) for x in ("dropped", "store", "counts", "state"))
+    tables.chunks(spark, d).write.parquet(dropped)
+    sinks = {
+        "store": lambda batch, n: batch.write.mode("overwrite").parquet(f"{store}/batch={n}"),
+        "counts": lambda batch, n: batch.groupBy("source").agg(F.count("*").alias("chunks")).write.mode("overwrite").parquet(f"{counts}/batch={n}"),
+    }
+    stream = stream_chunks(spark, {"path": dropped, "maxFilesPerTrigger": 4})
+    stream.writeStream.foreachBatch(fan_out(sinks)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    sizes = spark.read.schema(model.CHUNKS).parquet(store).groupBy("source").agg(F.sum(F.octet_length("payload")).cast("long").alias("total_bytes"))
+    return spark.read.schema("source string, chunks long").parquet(counts).groupBy("source").agg(F.sum("chunks").alias("chunks")).join(sizes, "source")
+
+
+@query("a1_latest_stream", "select * from latest", LATEST)
+def _(spark, d):
+    """The latest rows kept by a stream in update mode, its batches merged by seq."""
+    dropped, out, state = (scratch(spark, x) for x in ("dropped", "latest", "state"))
+    logs = tables.logs(spark, d)
+    logs.repartition(6).write.parquet(dropped)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(dropped)
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    newest = latest.latest_by_module(stream)
+    newest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return latest.latest_by_module(spark.read.schema(newest.schema).parquet(out))
+
+
 # pipelines -------------------------------------------------------------------------------------------------------------
 
 

@@ -65,9 +65,10 @@ def read_byte_file(spark: SparkSession, path: str, chunk_size: int = 8, frequenc
     return rows.select("source", "chunk_seq", (start_ns + F.col("chunk_seq") * int(1e9 / frequency)).alias("timestamp_ns"), piece.alias("payload"))
 
 
-def write_raw_capture(chunks: DataFrame, path: str) -> None:
-    """A lossless store of chunks: Parquet by source, in order of time within files."""
-    chunks.repartition("source").sortWithinPartitions("source", "chunk_seq").write.mode("append").partitionBy("source").parquet(path)
+def write_raw_capture(chunks: DataFrame, path: str, files: int | None = None) -> None:
+    """A lossless store of chunks: Parquet sorted by source and place, so that statistics prune by source; sources share files, and a large one is split."""
+    n = files or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks.repartitionByRange(n, "source", "chunk_seq").sortWithinPartitions("source", "chunk_seq").write.mode("append").parquet(path)
 
 
 def session_manifest(chunks: DataFrame) -> DataFrame:
