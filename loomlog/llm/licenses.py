@@ -2,8 +2,8 @@
 
 The units compared are the lines of a text and the text as a whole, so both a notice inside a document and a
 licence file are found. A unit is lower-cased and cut into runs of letters, digits and dots. With b bigrams (as a set), a template
-of t bigrams can reach Dice d only if b lies between t * d / (2 - d) and t * (2 - d) / d, so most units meet no template; what
-is left meets the templates by an equi-join on bigrams.
+of t bigrams can reach Dice d only if b lies between t * d / (2 - d) and t * (2 - d) / d, and only if the two share so many bigrams that the
+unit holds one of a few anchor words; texts and lines without one are told early. What is left meets the templates by an equi-join on bigrams.
 """
 
 from __future__ import annotations
@@ -42,13 +42,34 @@ TEMPLATES = {
 MOST_TEMPLATE_BIGRAMS = 100_000
 
 
+def normal_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9.]*[a-z0-9]+"), F.lit(0))
+
+
 def bigrams(text: Column) -> Column:
     """The set of word bigrams of the normalised text; of a text of one word, the word."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9.]*[a-z0-9]+"), F.lit(0))
+    words = normal_words(text)
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     return F.when(F.size(words) < 2, words).otherwise(F.array_distinct(pairs))
 
 
+def anchor_words(grams: list[list[str]], dice: float) -> list[str]:
+    """Words of which every text within ``dice`` of a template holds one.
+
+    Such a text shares at least dice / (2 - dice) of the template's bigrams. The words taken, longest first, touch so many of
+    them that those left are too few.
+    """
+    found: set[str] = set()
+    for own in grams:
+        need, left = len(own) * dice / (2 - dice) - 1e-9, [g.split(" ") for g in own]
+        for word in sorted({w for g in left for w in g}, key=lambda w: (-len(w), w)):
+            if len(left) < need:
+                break
+            found.add(word)
+            left = [g for g in left if word not in g]
+    return sorted(found)
+
+
 def templates(spark: SparkSession, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     rows = [(name, f"{name}#{k}", text) for name, forms in texts.items() for k, text in enumerate(forms)]
     return spark.createDataFrame(rows, "license string, form string, _template string").select("license", "form", bigrams(F.col("_template")).alias("_grams"))
@@ -62,15 +83,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dic
     """
     spark = docs.sparkSession
     forms = templates(spark, texts)
-    sizes = [r[0] for r in forms.select(F.size("_grams")).collect()]
-    if sum(sizes) > MOST_TEMPLATE_BIGRAMS:
+    grams = [r[0] for r in forms.select("_grams").collect()]
+    if sum(map(len, grams)) > MOST_TEMPLATE_BIGRAMS:
         raise ValueError("too many templates to broadcast")
-    least, most = math.floor(min(sizes) * dice / (2 - dice)), math.ceil(max(sizes) * (2 - dice) / dice)
+    most = math.ceil(max(map(len, grams)) * (2 - dice) / dice)
     known = F.broadcast(forms.select("license", "form", F.size("_grams").alias("_t"), F.explode("_grams").alias("_gram")))
+    anchors = F.array(*[F.lit(w) for w in anchor_words(grams, dice)])
+    anchored = lambda c: F.arrays_overlap(normal_words(F.col(c)), anchors)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    units = docs.select(*row_keys(id_col, text_col), F.posexplode(F.concat(F.array(text), F.split(text, "\n", -1))).alias("unit", "_unit"))
-    units = units.select("_id", "_key", "unit", bigrams(F.col("_unit")).alias("_grams")).withColumn("_n", F.size("_grams")).where(F.col("_n").between(least, most) & (F.col("_n") > 0))
+    rows = docs.select(*row_keys(id_col, text_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where(anchored("_text"))
+    units = rows.select("_id", "_key", F.posexplode(F.concat(F.array("_text"), F.split("_text", "\n", -1))).alias("unit", "_unit")).where(anchored("_unit"))
+    units = units.where(F.size(F.array_distinct(normal_words(F.col("_unit")))) <= most + 1)  # a set of b bigrams has b + 1 words at most
+    units = units.select("_id", "_key", "unit", bigrams(F.col("_unit")).alias("_grams")).withColumn("_n", F.size("_grams")).where(F.col("_n").between(1, most))
     shared = units.select("_id", "_key", "unit", "_n", F.explode("_grams").alias("_gram")).join(known, "_gram")
     bound = 2 * F.least("_n", "_t") / (F.col("_n") + F.col("_t")) >= dice  # the most that sizes allow
     hits = shared.where(bound).groupBy("_id", "_key", "unit", "license", "form").agg((2 * F.count_distinct("_gram") / F.first(F.col("_n") + F.col("_t"))).alias("dice")).where(F.col("dice") >= dice)
