@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from loomlog.llm.base import materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, name: str) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("_m"))
+    least = materialize(least, f"{name}-least")  # a bare exchange on either side lets a node of many links be split
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("_m").alias("b")).where("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, name: str) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("_m"))
+    least = materialize(down.groupBy("a").agg(F.min("b").alias("_m")), f"{name}-least")
     moved = down.join(least, "a").where("b <> _m").select(F.col("b").alias("a"), F.col("_m").alias("b"))
     return moved.union(least.select("a", F.col("_m").alias("b"))).distinct()
 
@@ -31,7 +32,8 @@ def components(edges: DataFrame, name: str = "component", most_rounds: int = 60)
     for _ in range(most_rounds):
         if edges.isEmpty():
             break
-        edges = materialize(_small_star(_large_star(edges)), name)
+        edges = materialize(_large_star(edges, name), name)
+        edges = materialize(_small_star(edges, name), name)
         parents = edges.select(F.col("b").alias("a")).distinct()
         n = edges.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
         if n["n"] == n["d"] and edges.join(parents, "a", "left_semi").isEmpty():

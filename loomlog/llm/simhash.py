@@ -74,6 +74,7 @@ def links(prints: DataFrame, segments: int = 16, crowd: int = 32) -> DataFrame:
     keyed = prints.select("_fp", turns).select("_turn", _turned(F.col("_fp"), F.col("_turn")).alias("_ring"))
     keyed = keyed.withColumn("_seg", F.col("_ring").bitwiseAND(mask(last[0])))
     shared = keyed.groupBy("_turn", "_seg").agg(F.count("*").alias("_n")).where("_n > 1")
+    shared = materialize(shared, "simhash-shared")  # a bare exchange on either side lets a crowded key be split
     met = materialize(keyed.join(shared, ["_turn", "_seg"]), "simhash-met")
 
     groups = met.where(F.col("_n") <= crowd).groupBy("_turn", "_seg").agg(F.sort_array(F.collect_list("_ring")).alias("_all"))  # at most crowd
