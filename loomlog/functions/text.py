@@ -118,10 +118,9 @@ def map_level(text: Column, mapping: str | dict[str, int] = "default") -> Column
 
     known = {x[0] for x in LEVELS}
     pairs = LEVEL_MAPS[mapping] if isinstance(mapping, str) else mapping
-    out = F.lit(None).cast("int")
-    for key, value in reversed(pairs.items()):
-        out = F.when(text == key, F.lit(value if value in known else INFO)).otherwise(out)
-    return out
+    if not pairs:
+        return F.lit(None).cast("int")
+    return F.create_map(*[F.lit(x) for key, value in pairs.items() for x in (key, value if value in known else INFO)])[text]
 
 
 def normalize_device(text: Column) -> Column:

@@ -48,18 +48,22 @@ def parse_line(lines: DataFrame, device: str | Column, *, time_index: int | None
     an index the level is INFO, the module ``_unknown``, the time the line's. A missing word, an unknown level, a bad
     module or a time that does not parse is an error, as is a null line; see ``route_errors``.
     """
-    text = F.coalesce(F.col(line_col), F.lit(""))
-    line = F.regexp_replace(text, r"(?U)^\s+", "")
-    words = F.split(line, r"\s+", message_index + 1)
-    word = lambda k: F.try_element_at(words, F.lit(k + 1))
-    message = F.when(word(message_index) != "", word(message_index))
-    level = F.lit(INFO) if level_index is None else T.map_level(word(level_index), level_map)
-    module = F.lit(UNKNOWN) if module_index is None else T.normalize_module(F.rtrim(word(module_index), F.lit(":")))
-    time = F.col("timestamp_ns") if time_index is None else parse_time(word(time_index))
-    bad = message.isNull() | level.isNull() | module.isNull() | time.isNull()
-    name = F.lit(device) if isinstance(device, str) else device
     keep = [c for c in lines.columns if c not in ("timestamp_ns", "device", "module", "level", "message", "_error", line_col)]
-    return lines.select(*keep, F.coalesce(F.when(~bad, time), "timestamp_ns").alias("timestamp_ns"), T.normalize_device(name).alias("device"), module.alias("module"), level.alias("level"), message.alias("message"), F.when(bad, text).alias("_error"))
+    name = F.lit(device) if isinstance(device, str) else device
+    text = F.coalesce(F.col(line_col), F.lit(""))
+    # step by step, so that the words are cut once a row
+    rows = lines.select(*keep, F.col("timestamp_ns").alias("_chunk_ns"), T.normalize_device(name).alias("device"), text.alias("_text"))
+    rows = rows.withColumn("_words", F.split(F.regexp_replace("_text", r"(?U)^\s+", ""), r"\s+", message_index + 1))
+    word = lambda k: F.try_element_at("_words", F.lit(k + 1))
+    rows = rows.select(
+        *keep, "_chunk_ns", "device", "_text",
+        (F.lit(UNKNOWN) if module_index is None else T.normalize_module(F.rtrim(word(module_index), F.lit(":")))).alias("module"),
+        (F.lit(INFO) if level_index is None else T.map_level(word(level_index), level_map)).alias("level"),
+        F.nullif(word(message_index), F.lit("")).alias("message"),
+        (F.col("_chunk_ns") if time_index is None else parse_time(word(time_index))).alias("_time"),
+    )
+    bad = F.col("message").isNull() | F.col("level").isNull() | F.col("module").isNull() | F.col("_time").isNull()
+    return rows.select(*keep, F.when(bad, F.col("_chunk_ns")).otherwise(F.col("_time")).alias("timestamp_ns"), "device", "module", "level", "message", F.when(bad, F.col("_text")).alias("_error"))
 
 
 def route_errors(rows: DataFrame, ignore_invalid: bool = False) -> DataFrame:
