@@ -127,13 +127,13 @@ def repeated_paths(met: DataFrame, texts: DataFrame, window: int, name: str) ->
         met.groupBy("mini", "path").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "start", "edges")).alias("at")), f"{name}-different"
     )
     branching = whole.groupBy("mini").agg(F.count("*").alias("_n"), F.min("times").alias("_least")).where("_n > 1 and _least = 1").select("mini")
-    open_paths = whole.join(branching, "mini", "left_semi")
+    open_paths = whole.join(materialize(branching, f"{name}-branching"), "mini", "left_semi")
     named = open_paths.groupBy(F.col("at._key").alias("_key"), F.col("at._id").alias("_id")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), "mini", "path", "times")).alias("_named")
     )
     edges = materialize(_edges(same_row(named, texts.dropDuplicates(["_key", "_id"]), "inner"), window), f"{name}-edges")
     twice = edges.groupBy("mini", "edge").agg(F.sum("times").alias("_n")).where("_n > 1").select("mini", "edge")
-    some = edges.join(twice, ["mini", "edge"]).groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("_some"))
+    some = edges.join(materialize(twice, f"{name}-twice"), ["mini", "edge"]).groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("_some"))
     full = F.expr("shiftleft(1L, at.edges) - 1")
     alike = whole.where("times > 1").select("mini", "path", full.alias("bits"))
     single = whole.where("times = 1").select("mini", "path").join(some, ["mini", "path"]).select("mini", "path", F.col("_some").alias("bits"))
@@ -151,6 +151,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("core must be positive and window - core at most 62")
     found = materialize(paths(docs, id_col, text_col, window, core), "paths")
     shared = found.groupBy("mini").agg(F.count("*").alias("_n")).where("_n > 1").select("mini")
+    shared = materialize(shared, "paths-shared")  # a bare exchange on either side lets a hot minimizer be split
     met = materialize(found.join(shared, "mini", "left_semi"), "paths-met")
     texts = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("_text"))
     repeated = materialize(repeated_paths(met, texts, window, "paths"), "paths-repeated")
