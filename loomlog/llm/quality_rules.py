@@ -29,7 +29,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbol_permille", "upper_permille", "dup_line_permille", "repeat_permille", "stutter_permille")
 CUTOFFS = (10, 20, 50, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900)
-#: A metric set that is a superset of the base ones; anything wider goes to every stratum by broadcast.
+#: The cutoffs, a row a stratum, are broadcast up to this many strata.
 MOST_STRATA = 10_000
 
 
