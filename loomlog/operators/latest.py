@@ -68,8 +68,11 @@ def throughput(rows: DataFrame, size_col: str = "message", seconds: int = 1) ->
 def backlog(sent: DataFrame, received: DataFrame) -> DataFrame:
     """``window_start, backlog``: rows sent less rows received so far, from two outputs of ``throughput`` (a row a window)."""
     both = sent.select("window_start", F.col("rows").alias("n")).union(received.select("window_start", -F.col("rows")))
-    per = both.groupBy("window_start").agg(F.sum("n").alias("n"))
-    return per.select("window_start", F.sum("n").over(Window.orderBy("window_start")).alias("backlog"))
+    per = both.groupBy("window_start").agg(F.sum("n").alias("n")).withColumn("_day", F.to_date("window_start"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
+    days = per.groupBy("_day").agg(F.sum("n").alias("_n")).select("_day", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    here = F.sum("n").over(Window.partitionBy("_day").orderBy("window_start"))
+    return per.join(days, "_day").select("window_start", (F.col("_before") + here).alias("backlog"))
 
 
 def overload_periods(logs: DataFrame, limit_per_sec: int = 1000, burst_seconds: int = 3, instant_cap: int = 5000) -> DataFrame:
