@@ -1,7 +1,8 @@
 """Line splitting, reordering and overload detection on streams, with state per key.
 
 They use no watermark: late rows must stay. Time is the newest timestamp that a key has seen. What is still held when a stream
-ends is let go by an end row: one whose ``is_end`` is true.
+ends is let go by an end row: one whose ``is_end`` is true. Spark wants the RocksDB state store for these operators
+(``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
