@@ -131,7 +131,11 @@ def repeated_paths(met: DataFrame, texts: DataFrame, window: int, name: str) ->
     named = open_paths.groupBy(F.col("at._key").alias("_key"), F.col("at._id").alias("_id")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), "mini", "path", "times")).alias("_named")
     )
-    edges = materialize(_edges(same_row(named, texts.dropDuplicates(["_key", "_id"]), "inner"), window), f"{name}-edges")
+    named = materialize(named, f"{name}-named")
+    edges = materialize(_edges(same_row(named, texts, "inner"), window), f"{name}-edges")
+    wanted = named.agg(F.sum(F.aggregate("_named", F.lit(0).cast("long"), lambda n, x: n + x["edges"]))).first()[0] or 0
+    if edges.count() != wanted:  # repeated rows: a source was read more than once
+        edges = materialize(edges.dropDuplicates(["mini", "path", "place"]), f"{name}-edges")
     twice = edges.groupBy("mini", "edge").agg(F.sum("times").alias("_n")).where("_n > 1").select("mini", "edge")
     some = edges.join(materialize(twice, f"{name}-twice"), ["mini", "edge"]).groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("_some"))
     full = F.expr("shiftleft(1L, at.edges) - 1")
