@@ -1,26 +1,30 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds that no alignment can do without, then Smith-Waterman alignment.
 
-Texts are cut into lower-case words without ASCII punctuation. A passage of a document that holds n-grams of the
-benchmark is kept as hashes of its words, so texts are read once and never shuffled. Over all passages found, each
-n-gram's frequency is counted; of each item the rare n-grams, and always its rarer half, become its seeds. An
-equi-join on seeds gives the pairs of passage and item to align, and the alignment score decides.
+Texts are cut into lower-case words without ASCII punctuation. Seeds are pairs of item words, neighbours or one word apart,
+that stand next to each other or one word apart in a text. Of an alignment with m matches and e edits (score 2m - e), all but
+the gaps of two edits or more between matches are seeds; so the seeds of a score of t weigh t - 2 at least, where a pair without an
+edit weighs 2 and one with an edit 1. Items that one matched word brings to the least score have single words as seeds. No seed is left
+out for being frequent. Texts are read once: those parts that hold enough seeds of an item are aligned with it at once, alike parts once a task.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomlog.llm.base import materialize, row_keys, same_row
 from loomlog.llm.rolling import RunHasher
 
-#: The n-grams that tasks look up are broadcast up to this many (8 bytes each); beyond, all n-grams go to the join.
+#: The seeds that tasks look up are broadcast up to this many (13 bytes each); beyond, those of all texts go to a join.
 MOST_BROADCAST = 4_000_000
+#: Alignments that a task remembers, so that alike parts are aligned once.
+MOST_KNOWN = 20_000
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BLANK = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -49,110 +53,208 @@ def align(passage: np.ndarray, item: np.ndarray, match: int = 2, mismatch: int =
     return score, end - back, end
 
 
-def _grams(items: DataFrame, size: int) -> DataFrame:
-    """``_item, words`` (hashes) and ``grams`` of each item; an item of fewer words than ``size`` is one n-gram."""
+def _least(n_words: int, least_score: float) -> int:
+    """The score that an alignment with an item of so many words must reach."""
+    return math.ceil(2 * n_words * least_score - 1e-6)
+
+
+def _seeds(words: np.ndarray, apart: int) -> np.ndarray:
+    """A hash for each place of a text: of its word (``apart`` 0), or of the pair it forms with the word so far behind."""
+    return words * _C if not apart else (words[:-apart] * _A + words[apart:]) * _B
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """The distinct n-grams."""
+    n = min(size, len(words))
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * _A + words[k : k + len(out)]
+    return np.unique(out)
+
+
+def _item_seeds(words: np.ndarray, least_score: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """The distinct seeds of an item, which of them are neighbours, and the weight that an alignment has at least."""
+    need = _least(len(words), least_score) - 2
+    if need <= 0:
+        own = np.unique(_seeds(words, 0))
+        return own, np.zeros(len(own), bool), 1
+    near, far = np.unique(_seeds(words, 1)), np.unique(_seeds(words, 2))
+    own = np.concatenate((near, np.setdiff1d(far, near)))
+    return own, np.arange(len(own)) < len(near), need
+
+
+def _hashed(frame: DataFrame, kinds: str) -> DataFrame:
+    """The other columns and ``words``, the hashes of the words of the last column; rows without words are left out."""
 
     def run(batches):
         hasher = RunHasher()
         for batch in batches:
-            words, grams, sizes = [], [], []
-            for text in batch.column(1):
-                own = plain_words(text.as_py())
-                hasher.load(own)
-                n = min(size, len(own))
-                sizes.append(n)
-                words.append(hasher.of(np.arange(len(own)), 1).view(np.int64).tolist() if own else [])
-                grams.append(np.unique(hasher.of(np.arange(len(own) - n + 1), n)).view(np.int64).tolist() if own else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64())), pa.array(sizes, pa.int32())], names=["_item", "words", "grams", "size"])
+            words, pick = [], []
+            for k, text in enumerate(batch.columns[-1]):
+                if own := plain_words(text.as_py()):
+                    hasher.load(own)
+                    pick.append(k)
+                    words.append(hasher.of(np.arange(len(own)), 1).view(np.int64))
+            rows = batch.take(pa.array(pick, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(words, pa.list_(pa.int64()))], names=[*rows.schema.names[:-1], "words"])
+
+    return frame.mapInArrow(run, f"{kinds}, words array<long>")
+
+
+class _Aligner:
+    """Score, start, end and shared n-grams of a part of a text and an item; alike parts are aligned once."""
+
+    def __init__(self, size: int):
+        self.size, self.known = size, {}
+
+    def __call__(self, passage: np.ndarray, item: np.ndarray, ikey: int) -> tuple[float, int, int, int]:
+        key = (ikey, passage.tobytes())
+        if key not in self.known:
+            if len(self.known) >= MOST_KNOWN:
+                self.known.clear()
+            score, low, high = align(passage, item)
+            shared = np.isin(_runs(item, self.size), _runs(passage, self.size)).sum() if len(passage) >= min(self.size, len(item)) else 0
+            self.known[key] = (score / (2 * len(item)), low, high, int(shared))
+        return self.known[key]
+
+
+class _Index:
+    """The seeds of all items, sorted, and the items of each."""
+
+    def __init__(self, keys: np.ndarray, items: list[np.ndarray], least_score: float):
+        self.keys, self.items = keys, items
+        each = [_item_seeds(w, least_score) for w in items]
+        self.need = np.array([x[2] for x in each], np.int64)
+        self.span = np.array([3 * len(w) - _least(len(w), least_score) for w in items], np.int64)  # m + e <= 3m - t
+        seeds = np.concatenate([x[0] for x in each])
+        order = np.argsort(seeds, kind="stable")
+        self.item = np.repeat(np.arange(len(items), dtype=np.int32), [len(x[0]) for x in each])[order]
+        self.near = np.concatenate([x[1] for x in each])[order]
+        self.seeds, first = np.unique(seeds[order], return_index=True)
+        self.first = np.append(first, len(seeds))
+        self.aparts = [x for x, used in ((0, any(_least(len(w), least_score) <= 2 for w in items)), (1, True), (2, True)) if used]
+        bits = max(16, min(26, 4 + len(self.seeds).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.maybe = np.zeros(1 << bits, bool)  # by the first bits of the hash
+        self.maybe[self.seeds >> self.shift] = True
 
-    return items.mapInArrow(run, f"_item {items.schema['_item'].dataType.simpleString()}, words array<long>, grams array<long>, size int")
+    def parts(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """Item, start and end of the parts of a text that may hold an alignment of the least score."""
+        at, item, weight = [], [], []
+        for apart in self.aparts:
+            if len(words) <= apart:
+                continue
+            every = _seeds(words, apart)
+            place = np.flatnonzero(self.maybe[every >> self.shift])
+            found = np.minimum(np.searchsorted(self.seeds, every[place]), len(self.seeds) - 1)
+            hit = self.seeds[found] == every[place]
+            place, found = place[hit], found[hit]
+            n = self.first[found + 1] - self.first[found]
+            row = np.repeat(self.first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            at.append(np.repeat(place, n))
+            item.append(self.item[row])
+            weight.append(1 + (self.near[row] & (apart == 1)))
+        if not at:
+            return []
+        at, item, weight = np.concatenate(at), np.concatenate(item), np.concatenate(weight)
+        if not len(at):
+            return []
+        total = np.bincount(item, weight, len(self.items))
+        enough = total >= self.need
+        out = []
+        for k in np.flatnonzero(enough).tolist():
+            own = np.flatnonzero(item == k)
+            own = own[np.lexsort((-weight[own], at[own]))]
+            place, first = np.unique(at[own], return_index=True)
+            upto, span = np.concatenate(([0], np.cumsum(weight[own][first]))), int(self.span[k])
+            fits = upto[np.searchsorted(place, place + span)] - upto[:-1] >= self.need[k]
+            for low, high in zip((place[fits] - span).tolist(), (place[fits] + span + 2).tolist(), strict=True):
+                low, high = max(low, 0), min(high, len(words))
+                if out and out[-1][0] == k and low <= out[-1][2]:
+                    out[-1] = (k, out[-1][1], high)
+                else:
+                    out.append((k, low, high))
+        return out
 
 
-def _passages(docs: DataFrame, id_col: str, text_col: str, known: np.ndarray | None, sizes: list[int], reach: int) -> DataFrame:
-    """``_id, _key, start, words, grams``: the parts of texts within ``reach`` words of a known n-gram."""
+def _scanned(hashed: DataFrame, index: _Index, size: int, kinds: str) -> DataFrame:
+    """The alignments of every text, by looking its seeds up."""
 
     def run(batches):
-        hasher = RunHasher()
+        aligned = _Aligner(size)
+        for batch in batches:
+            pick, rows = [], []
+            for k, words in enumerate(batch.column("words")):
+                own = words.values.to_numpy()
+                for no, low, high in index.parts(own.view(np.uint64)):
+                    score, start, end, shared = aligned(own[low:high].view(np.uint64), index.items[no], no)
+                    pick.append(k)
+                    rows.append((index.keys[no], score, low + start, low + end, shared))
+            rows = list(zip(*rows, strict=True)) if rows else [()] * 5
+            done = [pa.array(v, t) for v, t in zip(rows, (pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(pick, pa.int64())) for c in ("_id", "_key")], *done], names=["_id", "_key", "_ikey", "score", "start", "end", "seeds"])
+
+    return hashed.mapInArrow(run, f"{kinds}, _ikey long, score double, start int, end int, seeds long")
+
+
+def _joined(hashed: DataFrame, bench: DataFrame, least_score: float, size: int, kinds: str) -> DataFrame:
+    """The alignments of every text, by a join on seeds."""
+
+    def of_items(batches):
         for batch in batches:
-            row, start, words, grams = [], [], [], []
-            for k, text in enumerate(batch.column(2)):
-                own = plain_words(text.as_py())
-                if len(own) < sizes[0]:
-                    continue
-                hasher.load(own)
-                at, gram = [], []
-                for size in sizes:
-                    if size > len(own):
-                        continue
-                    every = hasher.of(np.arange(len(own) - size + 1), size)
-                    hit = np.arange(len(every)) if known is None else np.flatnonzero(known[np.minimum(np.searchsorted(known, every), len(known) - 1)] == every)
-                    at.append(hit)
-                    gram.append(every[hit])
-                at, gram = np.concatenate(at), np.concatenate(gram)
-                if not len(at):
-                    continue
-                order = np.argsort(at, kind="stable")
-                at, gram = at[order], gram[order]
-                cuts = np.flatnonzero(np.diff(at) > 2 * reach) + 1
-                hashes = hasher.of(np.arange(len(own)), 1).view(np.int64)
-                for a, g in zip(np.split(at, cuts), np.split(gram, cuts), strict=True):
-                    low, high = max(0, int(a[0]) - reach), min(len(own), int(a[-1]) + reach)
-                    row.append(k)
-                    start.append(low)
-                    words.append(hashes[low:high])
-                    grams.append(np.unique(g).view(np.int64))
-            pick = pa.array(row, pa.int64())
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start, pa.int32()), pa.array(words, lists), pa.array(grams, lists)], names=["_id", "_key", "start", "words", "grams"])
-
-    narrow = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("_text"))
-    return narrow.mapInArrow(run, f"_id {docs.schema[id_col].dataType.simpleString()}, _key long, start int, words array<long>, grams array<long>")
+            for key, words in zip(batch.column("_ikey"), batch.column("words"), strict=True):
+                own, near, need = _item_seeds(words.values.to_numpy().view(np.uint64), least_score)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), pa.int64()), pa.array(own.view(np.int64)), pa.array(near), pa.array([need] * len(own), pa.int64())], names=["_ikey", "seed", "near", "need"])
+
+    def of_texts(batches):
+        for batch in batches:
+            for k, words in enumerate(batch.column("words")):
+                own = words.values.to_numpy().view(np.uint64)
+                for apart in range(min(3, len(own))):
+                    seed, n = np.unique(_seeds(own, apart), return_counts=True)
+                    row = batch.slice(k, 1).take(pa.array(np.zeros(len(seed), np.int64)))
+                    yield pa.RecordBatch.from_arrays([row.column("_id"), row.column("_key"), pa.array(seed.view(np.int64)), pa.array([apart == 1] * len(seed)), pa.array(n, pa.int64())], names=["_id", "_key", "seed", "beside", "n"])
+
+    def run(batches):
+        aligned = _Aligner(size)
+        for batch in batches:
+            done = [aligned(words.values.to_numpy().view(np.uint64), item.values.to_numpy().view(np.uint64), key.as_py()) for words, item, key in zip(batch.column("words"), batch.column("_words"), batch.column("_ikey"), strict=True)]
+            done = list(zip(*done, strict=True)) if done else [()] * 4
+            done = [pa.array(v, t) for v, t in zip(done, (pa.float64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "_key", "_ikey")], *done], names=["_id", "_key", "_ikey", "score", "start", "end", "seeds"])
+
+    wanted = bench.select("_ikey", "words").dropDuplicates(["_ikey"])
+    seeds = wanted.mapInArrow(of_items, "_ikey long, seed long, near boolean, need long")
+    texts = hashed.select("_id", "_key", "words").mapInArrow(of_texts, f"{kinds}, seed long, beside boolean, n long")
+    weight = F.col("n") * F.when(F.col("near") & F.col("beside"), 2).otherwise(1)
+    pairs = texts.join(seeds, "seed").groupBy("_id", "_key", "_ikey").agg(F.sum(weight).alias("w"), F.first("need").alias("need")).where("w >= need")
+    pairs = same_row(pairs.select("_id", "_key", "_ikey"), hashed, "inner").join(wanted.withColumnRenamed("words", "_words"), "_ikey")
+    return pairs.select("_id", "_key", "_ikey", "words", "_words").mapInArrow(run, f"{kinds}, _ikey long, score double, start int, end int, seeds long")
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 3, rare: int = 20, least_score: float = 0.5
+    docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 3, least_score: float = 0.5
 ) -> DataFrame:
     """A row for each document and item whose best alignment reaches ``least_score`` of a perfect one.
 
-    Returns the id, ``item_id``, score (1: every word of the item in order), start and end of the span (in words), seeds (seeds
-    shared) and ``_key``, the hash of id and text that tells rows of one id apart. Null or empty texts and items match nothing;
-    null ids stay null; repeated rows of docs give one row, as do repeated items of one id and text; of equal
-    scores the first span counts; other columns are not looked at.
+    Returns the id, ``item_id``, score (1: every word of the item in order), start and end of the span (in words), seeds (distinct runs
+    of ``size`` words of the item that stand in the part aligned; an edited copy may have none) and ``_key``, the hash of id and text that tells rows
+    of one id apart. Null or empty texts and items match nothing; null ids stay null; repeated rows of docs give one row, as do repeated
+    items of one id and text; of equal scores the first span counts; other columns are not looked at.
     """
     narrow = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")).dropDuplicates()
-    bench = materialize(_grams(narrow, size).where("size > 0").withColumn("_ikey", F.xxhash64("words")), "bench")
-    facts = bench.agg(F.max(F.size("words")).alias("longest"), F.sum(F.size("grams")).alias("n"), F.collect_set("size").alias("sizes")).first()
-    longest, total, sizes = facts["longest"] or 1, facts["n"] or 0, sorted(facts["sizes"]) or [size]
-    if total <= MOST_BROADCAST:
-        known = np.array([r[0] for r in bench.select(F.explode("grams").alias("g")).distinct().collect()], np.int64).view(np.uint64)
-        known = np.sort(known) if total else np.array([0], np.uint64)
+    bench = materialize(_hashed(narrow, f"_item {items.schema[item_col].dataType.simpleString()}").withColumn("_ikey", F.xxhash64("words")), "bench")
+    kinds = f"_id {docs.schema[id_col].dataType.simpleString()}, _key long"
+    hashed = _hashed(docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("_text")), kinds)
+    owners = bench.select("_item", "_ikey").distinct()
+    if 2 * (bench.agg(F.sum(F.size("words"))).first()[0] or 0) <= MOST_BROADCAST:
+        own = bench.select("_ikey", "words").dropDuplicates(["_ikey"]).toArrow()
+        found = [w.values.to_numpy().view(np.uint64) for w in own["words"]]
+        index = _Index(own["_ikey"].to_pylist(), found or [np.zeros(1, np.uint64)], least_score)
+        scored, owners = _scanned(hashed, index, size, kinds) if found else _scanned(hashed.limit(0), index, size, kinds), F.broadcast(owners)
     else:
-        known = None
-    passages = materialize(_passages(docs, id_col, text_col, known, sizes, 2 * longest).dropDuplicates(["_id", "_key", "start"]), "passages")
-    found = passages.select("_id", "_key", "start", F.explode("grams").alias("gram"))
-    frequency = found.groupBy("gram").agg(F.count("*").alias("_n"))
-    own = bench.select("_item", "_ikey", F.explode("grams").alias("gram")).join(frequency, "gram")
-    rank = Window.partitionBy("_item", "_ikey").orderBy("_n", "gram")
-    seeds = own.withColumn("_rank", F.percent_rank().over(rank)).where((F.col("_rank") <= 0.5) | (F.col("_n") <= rare)).select("_item", "_ikey", "gram")
-    pairs = found.join(seeds, "gram").groupBy("_id", "_key", "start", "_item", "_ikey").agg(F.count("*").alias("seeds"))
-    texts = passages.select("_id", "_key", F.col("start").alias("_at"), "words").withColumnRenamed("words", "_passage")
-    pairs = same_row(pairs, texts, "inner").where("start = _at")
-    wanted = bench.select(F.col("_ikey").alias("_wkey"), F.col("words").alias("_words")).dropDuplicates(["_wkey"])
-    pairs = pairs.join(wanted, pairs["_ikey"] == wanted["_wkey"]).select("_id", "_key", "_item", "start", "seeds", "_passage", "_words")
-
-    def run(batches):
-        for batch in batches:
-            score, low, high = [], [], []
-            for start, passage, item in zip(batch.column("start"), batch.column("_passage"), batch.column("_words"), strict=True):
-                own = item.values.to_numpy()
-                s, a, b = align(passage.values.to_numpy(), own)
-                score.append(s / (2 * len(own)))
-                low.append(start.as_py() + a)
-                high.append(start.as_py() + b)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "_key", "_item", "seeds")], pa.array(score, pa.float64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], names=["_id", "_key", "_item", "seeds", "score", "start", "end"])
-
-    kinds = f"_id {docs.schema[id_col].dataType.simpleString()}, _key long, _item {items.schema[item_col].dataType.simpleString()}"
-    scored = pairs.mapInArrow(run, f"{kinds}, seeds long, score double, start int, end int").where(F.col("score") >= least_score)
+        scored = _joined(materialize(hashed.dropDuplicates(["_id", "_key"]), "texts"), bench, least_score, size, kinds)
+    scored = scored.where(F.col("score") >= least_score).join(owners, "_ikey")
     best = scored.groupBy("_id", "_key", "_item").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "end", "seeds")).alias("b"))
     return best.select(F.col("_id").alias(id_col), F.col("_item").alias("item_id"), "b.score", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), F.col("b.seeds").alias("seeds"), "_key")
 

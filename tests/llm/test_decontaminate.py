@@ -81,3 +81,40 @@ def test_edited_copies_and_edge_cases(spark, monkeypatch):
     assert result(decontaminate.leaks(frame, bench)) == want
     assert decontaminate.leaks(frame.limit(0), bench).count() == 0
     assert decontaminate.leaks(frame, bench.limit(0)).count() == 0
+
+
+def test_hundreds_of_copies_of_edited_items(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(36)]
+    scattered = [f"s{k}" if k % 6 == 3 else w for k, w in enumerate(words)]
+    no_trigram = [w for k, w in enumerate(words) for w in ([w, f"i{k}"] if k % 2 else [w])]
+    third = [f"t{k}" if k % 3 == 2 else w for k, w in enumerate(words)]
+    docs = [(k, " ".join([*scattered, "tail"])) for k in range(300)] + [(1000, " ".join(words))]
+    docs += [(2000 + k, " ".join([f"x{rng.randrange(99)}" for _ in range(50)] + edited)) for k, edited in enumerate((no_trigram, third) * 3)]
+    docs += [(3000, " ".join(words[:10])), (3001, "lone"), (3002, " ".join(words[k] for k in range(0, 36, 4)))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    items = [(0, " ".join(words)), (1, "Lone star"), (2, "one"), (3, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert len(want) == 300 + 1 + 6 + 1
+    assert result(decontaminate.leaks(frame, bench)) == want
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    assert result(decontaminate.leaks(frame, bench)) == want
+
+
+def test_parts_of_texts_lose_no_alignment():
+    rng = random.Random(4)
+    for _ in range(1500):
+        item = np.array([rng.randrange(40) for _ in range(rng.randint(1, 14))], np.uint64)
+        text = item.tolist()
+        for _ in range(rng.randrange(10)):
+            j = rng.randrange(len(text) + 1)
+            text[j : j + rng.randrange(2)] = [rng.randrange(60) for _ in range(rng.randrange(3))]
+        text = np.array([rng.randrange(60) for _ in range(rng.randrange(30))] + text + [rng.randrange(60) for _ in range(rng.randrange(30))], np.uint64)
+        if not len(text):
+            continue
+        least = rng.choice((0.4, 0.5, 0.7, 1.0))
+        score = align(text, item)[0]
+        found = [align(text[a:b], item)[0] for _, a, b in decontaminate._Index([7], [item], least).parts(text)]
+        if score / (2 * len(item)) >= least:
+            assert max(found, default=0) == score
