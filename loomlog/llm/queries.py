@@ -30,6 +30,30 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op1_token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of the whole table under every tokenizer version: documents of over 20,000 characters are inserted with their first line
+    and revised to the whole text, those of fewer than five words are deleted and inserted again, every batch comes twice."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_counts.TokenRollup(spark, scratch(spark, "rollup"))
+    first_line = F.regexp_replace("text", r"(?s)\n.*", "")
+    long = F.col("n_chars") > 20000
+    five_words = F.coalesce("text", F.lit("")).rlike(r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){4}[^\x20\x09-\x0D]")
+    begun, short = docs.withColumn("text", F.when(long, first_line).otherwise(F.col("text"))), docs.where(~five_words)
+    for version in token_counts.VERSIONS:
+        deltas = {
+            "insert": token_counts.inserts(begun, version),
+            "revise": token_counts.revisions(docs.where(long), version, first_line, F.col("text")),
+            "delete": token_counts.deletes(short, version),
+            "restore": token_counts.inserts(short, version),
+        }
+        for name, rows in deltas.items():
+            rollup.commit(f"{name}-{version}", rows)
+            rollup.commit(f"{name}-{version}", rows)
+        rollup.compact()
+        rollup.commit(f"insert-{version}", deltas["insert"])
+    return rollup.totals()
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("_row.doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -68,7 +92,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op1_token_counts_whole, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm import licenses, queries, secret_scan, token_counts, toxicity
 from loomlog.llm.base import scratch
+from loomlog.llm.tokenizer import tokenizer
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -153,3 +154,17 @@ def test_rollup_is_idempotent_and_additive(spark):
     assert totals() == {("a", "en", "words-1"): (2, 2), ("a", None, "words-1"): (1, 0), ("a", "en", "byte_bpe_50k"): (2, 6), ("a", None, "byte_bpe_50k"): (1, 0), (None, "en", "byte_bpe_50k"): (1, 2)}
     with pytest.raises(ValueError):
         rollup.commit("a/b", docs)
+
+
+def test_whole_token_counts_equal_brute_force(spark):
+    count = {
+        "words-1": lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)),
+        "marks-1": lambda t: len(re.findall(r"[A-Za-z0-9\x80-\U0010FFFF]+|[^A-Za-z0-9\x80-\U0010FFFF\x00-\x20]", t)),
+        "byte_bpe_50k": lambda t: len(tokenizer().plain(t)),
+    }
+    want = {}
+    for r in spark.read.parquet(f"{SF2}/documents.parquet").collect():
+        for version, n in count.items():
+            docs, tokens = want.get((r["source"], r["lang"], version), (0, 0))
+            want[r["source"], r["lang"], version] = docs + 1, tokens + n(r["text"] or "")
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op1_token_counts_whole(spark, SF2).collect()} == want
