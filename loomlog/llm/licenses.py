@@ -1,7 +1,7 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates, in DataFrame functions only.
 
-The units compared are the lines of a text and the text as a whole, so both a notice inside a document and a
-licence file are found. A unit is lower-cased and cut into runs of letters, digits and dots. With b bigrams (as a set), a template
+The units compared are the lines of a text, the text as a whole, and, for licences that neither shows, runs of consecutive lines, so
+a notice inside a document, a licence file and a notice wrapped over lines of a longer text are found. A unit is lower-cased and cut into runs of letters, digits and dots. With b bigrams (as a set), a template
 of t bigrams can reach Dice d only if b lies between t * d / (2 - d) and t * (2 - d) / d, and only if the two share so many bigrams that the
 unit holds one of a few anchor words; texts and lines without one are told early. What is left meets the templates by an equi-join on bigrams.
 """
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import row_keys
+from loomlog.llm.base import let, row_keys
 
 #: Notices by which licences are applied, in their published wording.
 TEMPLATES = {
@@ -72,22 +72,49 @@ def anchor_words(grams: list[list[str]], dice: float) -> list[str]:
 
 def templates(spark: SparkSession, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     rows = [(name, f"{name}#{k}", text) for name, forms in texts.items() for k, text in enumerate(forms)]
-    return spark.createDataFrame(rows, "license string, form string, _template string").select("license", "form", bigrams(F.col("_template")).alias("_grams"))
+    forms = spark.createDataFrame(rows, "license string, form string, _template string")
+    return forms.select("license", "form", bigrams(F.col("_template")).alias("_grams"), F.size(normal_words(F.col("_template"))).alias("_words"))
+
+
+def _runs(rows: DataFrame, known: DataFrame, dice: float) -> DataFrame:
+    """``_id, _key, license, unit, dice`` of the best run of whole lines for each licence, with the line where it begins.
+
+    The first and the last line of a run hold bigrams of the template, no further apart than the template's words, repeats too, allow within
+    ``dice``. Bigrams of a run that the template lacks count as often as they stand.
+    """
+    lines = F.transform(F.split("_text", "\n", -1), lambda line, i: let(normal_words(line), lambda ws: F.transform(ws, lambda w, j: F.struct((i + 1).alias("line"), j.alias("before"), (F.size(ws) - 1 - j).alias("after"), w.alias("w")))))
+    words = rows.select("_id", "_key", F.flatten(lines).alias("_w")).where(F.size("_w") > 1)
+    n = F.size("_w") - 1
+    pairs = F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), lambda a, b: F.struct(a["line"].alias("line"), a["before"].alias("before"), b["after"].alias("after"), F.concat_ws(" ", a["w"], b["w"]).alias("gram")))
+    places = words.select("_id", "_key", F.posexplode(pairs).alias("p", "x")).select("_id", "_key", "p", "x.line", "x.before", "x.after", F.col("x.gram").alias("_gram"))
+    hits = places.join(known, "_gram").groupBy("_id", "_key", "license", "form", "_t", "_reach").agg(F.array_sort(F.collect_list(F.struct("p", "line", "before", "after", F.col("_gram").alias("gram")))).alias("_hits"))
+    need = F.col("_t") * dice / (2 - dice) - 1e-9
+    hits = hits.where(F.size(F.array_distinct("_hits.gram")) >= need)
+    starts = hits.select("*", F.posexplode("_hits").alias("i", "from"))
+    starts = starts.withColumn("_near", F.expr("filter(slice(_hits, i + 1, _reach), x -> x.p < from.p + _reach)")).drop("_hits")
+    starts = starts.where(F.size(F.array_distinct("_near.gram")) >= need)
+    ends = starts.select("*", F.posexplode("_near").alias("k", "to")).withColumn("_shared", F.expr("size(array_distinct(slice(_near.gram, 1, k + 1)))"))
+    long = F.col("to.p") + 1 + F.col("to.after") - F.col("from.p") + F.col("from.before")  # bigrams of the whole lines
+    score = 2 * F.col("_shared") / (F.col("_t") + F.col("_shared") + long - (F.col("k") + 1))
+    found = ends.select("_id", "_key", "license", F.col("from.line").alias("unit"), score.alias("dice")).where(F.col("dice") >= dice)
+    best = found.groupBy("_id", "_key", "license").agg(F.max(F.struct("dice", (-F.col("unit")).alias("u"))).alias("b"))
+    return best.select("_id", "_key", "license", (-F.col("b.u")).alias("unit"), "b.dice")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dice: float = 0.8, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
     """A row for each document and licence found: the id, license, unit (number of the line from 1, 0 for the whole text), dice and ``_key``.
 
-    Of several units the best counts, then the first. Null and empty texts and lines match nothing; null ids stay null; repeated rows give one row
+    Of several lines and the whole text the best counts, then the first; only where none of them shows the licence, the best run of lines does, and unit is the
+    line where it begins. Null and empty texts and lines match nothing; null ids stay null; repeated rows give one row
     (``_key``, the hash of id and text, tells rows of one id apart); other columns are not looked at; no rows give no rows.
     """
     spark = docs.sparkSession
-    forms = templates(spark, texts)
+    forms = templates(spark, texts).withColumn("_reach", F.ceil(F.col("_words") * (2 - dice) / dice).cast("int"))
     grams = [r[0] for r in forms.select("_grams").collect()]
     if sum(map(len, grams)) > MOST_TEMPLATE_BIGRAMS:
         raise ValueError("too many templates to broadcast")
     most = math.ceil(max(map(len, grams)) * (2 - dice) / dice)
-    known = F.broadcast(forms.select("license", "form", F.size("_grams").alias("_t"), F.explode("_grams").alias("_gram")))
+    known = F.broadcast(forms.select("license", "form", F.size("_grams").alias("_t"), "_reach", F.explode("_grams").alias("_gram")))
     anchors = F.array(*[F.lit(w) for w in anchor_words(grams, dice)])
     anchored = lambda c: F.arrays_overlap(normal_words(F.col(c)), anchors)
 
@@ -95,8 +122,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dic
     units = rows.select("_id", "_key", F.posexplode(F.concat(F.array("_text"), F.split("_text", "\n", -1))).alias("unit", "_unit")).where(anchored("_unit"))
     units = units.where(F.size(F.array_distinct(normal_words(F.col("_unit")))) <= most + 1)  # a set of b bigrams has b + 1 words at most
     units = units.select("_id", "_key", "unit", bigrams(F.col("_unit")).alias("_grams")).withColumn("_n", F.size("_grams")).where(F.col("_n").between(1, most))
-    shared = units.select("_id", "_key", "unit", "_n", F.explode("_grams").alias("_gram")).join(known, "_gram")
+    shared = units.select("_id", "_key", "unit", "_n", F.explode("_grams").alias("_gram")).join(known.drop("_reach"), "_gram")
     bound = 2 * F.least("_n", "_t") / (F.col("_n") + F.col("_t")) >= dice  # the most that sizes allow
     hits = shared.where(bound).groupBy("_id", "_key", "unit", "license", "form").agg((2 * F.count_distinct("_gram") / F.first(F.col("_n") + F.col("_t"))).alias("dice")).where(F.col("dice") >= dice)
-    best = hits.groupBy("_id", "_key", "license").agg(F.max(F.struct("dice", (-F.col("unit")).alias("u"))).alias("b"))
+    hits = hits.select("_id", "_key", "license", "unit", "dice", F.lit(1).alias("own"))
+    hits = hits.unionByName(_runs(rows, known, dice).withColumn("own", F.lit(0)))
+    best = hits.groupBy("_id", "_key", "license").agg(F.max(F.struct("own", "dice", (-F.col("unit")).alias("u"))).alias("b"))
     return best.select(F.col("_id").alias(id_col), "license", (-F.col("b.u")).alias("unit"), F.col("b.dice").alias("dice"), "_key")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -168,3 +169,13 @@ def test_whole_token_counts_equal_brute_force(spark):
             docs, tokens = want.get((r["source"], r["lang"], version), (0, 0))
             want[r["source"], r["lang"], version] = docs + 1, tokens + n(r["text"] or "")
     assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op1_token_counts_whole(spark, SF2).collect()} == want
+
+
+def test_licenses_wrapped_over_lines_of_longer_texts(spark):
+    wrap = lambda name, width, mark="": "\n".join(mark + x for x in textwrap.wrap(licenses.TEMPLATES[name][0], width))
+    prose = " ".join(f"word{k}" for k in range(60))
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + wrap("mit-text", 78) + "\n\nThe above copyright notice shall be included.\n\n" + " ".join(f"word{k}" for k in range(60))
+    texts = [mit, prose + "\n" + wrap("bsd-3-clause", 70, " * ") + "\n" + prose, wrap("isc", 60, "# ") + "\n\n" + prose, prose + "\n" + wrap("mpl-2.0", 40) + "\n\n" + prose, prose + "\nPermission is hereby granted, free\nof charge, to nobody\nLicensed under CC BY-ND 4.0.\n" + prose]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, mit)], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["license"], r["unit"], r["dice"] >= 0.95) for r in licenses.scan(frame).collect()), key=str)
+    assert got == sorted([(0, "mit-text", 5, True), (1, "bsd-3-clause", 2, True), (2, "isc", 1, True), (3, "mpl-2.0", 2, True), (None, "mit-text", 5, True)], key=str)
