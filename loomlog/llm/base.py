@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlog.storage import drop_scratch, materialize, scratch, shared_dir
 
-__all__ = ["SPACES", "drop_scratch", "let", "materialize", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
+__all__ = ["SPACES", "drop_scratch", "every", "let", "materialize", "named", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
 
 #: Fixed value: the bytes that separate words, as the contracts name them (space and 0x09-0x0D).
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,10 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """The top-level column of just that name, dots and all."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
+def every(docs: DataFrame) -> Column:
+    """All columns of a row as one struct."""
+    return F.struct(*[named(c) for c in docs.columns])
+
+
 def row_keys(id_col: str, text_col: str) -> list[Column]:
     """``_id`` and ``_key``: null-safe identity of a row by its id and text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return [F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), text).alias("_key")]
+    text = F.coalesce(named(text_col), F.lit(""))
+    return [named(id_col).alias("_id"), F.xxhash64(F.coalesce(named(id_col).cast("string"), F.lit("\x00")), text).alias("_key")]
 
 
 def same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

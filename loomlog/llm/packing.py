@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomlog.llm.base import materialize
+from loomlog.llm.base import materialize, named
 from loomlog.llm.tokenizer import tokenizer
 
-_PIECES = "_part int, doc_id long, piece int, start long, length long, ids_crc32 long, _rank long"
-_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+_PIECES = "_part int, doc_id {}, piece int, start long, length long, ids_crc32 long, _rank long"
+_PLACED = "doc_id {}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 #: Slacks tried, in tokens; the plan with the fewest bins is taken.
@@ -95,7 +95,7 @@ def _places(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, end_id: int, ranks_path: str | None = None) -> DataFrame:
+def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, end_id: int, tokenizer_path: str | None = None, special_text: bool = False) -> DataFrame:
     """A row per piece of each document, with its rank among the pieces of its length that one task made.
 
     A document is its ids and ``end_id``. One of more than ``max_tokens`` ids is cut so that all pieces but
@@ -106,34 +106,34 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, e
         part = TaskContext.get().partitionId()
         seen = np.zeros(max_tokens + 1, np.int64)
         for batch in batches:
-            doc_ids = batch.column(0).to_pylist()
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out = []
-            for doc_id, ids in zip(doc_ids, tokenizer(ranks_path).encode(texts), strict=True):
+            for row, ids in enumerate(tokenizer(tokenizer_path, special_text).encode(texts)):
                 raw = ids.astype("<u4").tobytes() + end_id.to_bytes(4, "little")
                 n, start = len(raw) // 4, 0
                 length = (n - 1) % max_tokens + 1
                 for piece in range(-(-n // max_tokens)):
-                    out.append((part, doc_id, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), int(seen[length])))
+                    out.append((part, row, piece, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), int(seen[length])))
                     seen[length] += 1
                     start, length = start + length, max_tokens
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4)
-            names = [x.split()[0] for x in _PIECES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            arrays[1] = batch.column(0).take(arrays[1])
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECES.split(", ")])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return narrow.mapInArrow(run, _PIECES)
+    narrow = docs.select(named(id_col).alias("_id"), named(text_col).alias("_text"))
+    return narrow.mapInArrow(run, _PIECES.format(narrow.schema["_id"].dataType.simpleString()))
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 1024, end_id: int = 2, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 1024, end_id: int = 2, tokenizer_path: str | None = None, special_text: bool = False) -> DataFrame:
     """Packs all documents into sequences of at most ``max_tokens`` ids.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one end token;
-    a null id stays null; repeated rows are packed each for itself; other columns are not looked at; no rows give
+    an id may be of any type, a null id stays null; the text of a special token becomes its id unless ``special_text``; repeated rows are packed each for itself; other columns are not looked at; no rows give
     no rows. Among pieces of one length the order is by task and then as read, so ties need no rule.
     """
-    pieces = materialize(token_pieces(docs, id_col, text_col, max_tokens, end_id, ranks_path), "pieces")
+    pieces = materialize(token_pieces(docs, id_col, text_col, max_tokens, end_id, tokenizer_path, special_text), "pieces")
     counts = pieces.groupBy("_part", "length").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=[x.split()[0] for x in _PLACED.split(", ")])
 
     ranked = pieces.join(first, ["_part", "length"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    return ranked.drop("_part", "_before").mapInArrow(run, _PLACED)
+    return ranked.drop("_part", "_before").mapInArrow(run, _PLACED.format(pieces.schema["doc_id"].dataType.simpleString()))

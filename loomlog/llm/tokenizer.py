@@ -1,24 +1,20 @@
 """Byte-level BPE ids of many texts at once.
 
-The ids are those of ``byte_bpe_50k.json`` under the ``tokenizers`` library. Texts repeat their words
-often, so a batch is cut into its pieces with numpy, each distinct piece is merged once, and the ids are
-gathered back. Texts with characters beyond ASCII and Latin letters, or with an apostrophe, go through the
-plain encoder instead. Both ways give the same ids.
+The ids are those of the ``tokenizers`` library with ``byte_bpe_50k.json``. Texts repeat their words
+often, so a batch is cut into its pieces with numpy, the library encodes each distinct piece once, and the ids are
+gathered back. Texts with characters beyond ASCII and Latin letters, with an apostrophe or with the text of a special token go
+through the library whole. Both ways give the same ids.
 """
 
 from __future__ import annotations
 
-import base64
+import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 
-#: Fixed value: the published split pattern of this vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 _PLAIN_ONLY = re.compile("['\x80-\xbf\xd7\xf7ƀ-\U0010ffff]")
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -29,36 +25,34 @@ for _a, _b in ((65, 91), (97, 123), (128, 256)):
 _MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 
 
-class _Known(dict):
-    """The ids of a piece, as bytes; merged when first asked for."""
-
-    def __init__(self, merge):
-        super().__init__()
-        self.merge = merge
-
-    def __missing__(self, piece: bytes) -> bytes:
-        self[piece] = ids = array("I", self.merge(piece)).tobytes()
-        return ids
-
-
 class BatchTokenizer:
     """``encode(texts)`` gives the ids of each text as numpy ``uint32`` arrays.
 
-    ``chunk_bytes`` and ``most_known`` (pieces kept between chunks) bound the memory, not the result.
+    The text of a special token, such as ``<|endoftext|>``, becomes its id, as is the library's default; with
+    ``special_text`` it is text like any other. ``chunk_bytes`` and ``most_known`` (pieces kept between chunks) bound the memory, not the result.
     """
 
-    def __init__(self, ranks_path: str, chunk_bytes: int = 3_000_000, most_known: int = 400_000):
-        import tiktoken
+    def __init__(self, path: str, special_text: bool = False, chunk_bytes: int = 3_000_000, most_known: int = 400_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.encoding = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.known = _Known(self.encoding._core_bpe.encode_single_piece)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = special_text
+        self.special = [] if special_text else [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
         self.chunk_bytes = chunk_bytes
         self.most_known = most_known
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.encoding.encode_ordinary(text), np.uint32)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes the pieces not yet known."""
+        if len(self.known) > self.most_known:
+            self.known.clear()
+        new = [x for x in pieces if x not in self.known]
+        for piece, found in zip(new, self.library.encode_batch_fast([x.decode() for x in new], add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(found.ids, np.uint32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -66,7 +60,7 @@ class BatchTokenizer:
         for k, text in enumerate(texts):
             if not text:
                 out[k] = np.zeros(0, np.uint32)
-            elif "'" in text or not text.isascii() and _PLAIN_ONLY.search(text):
+            elif "'" in text or not text.isascii() and _PLAIN_ONLY.search(text) or any(x in text for x in self.special):
                 out[k] = self.plain(text)
             else:
                 held.append(text.encode())
@@ -116,10 +110,9 @@ class BatchTokenizer:
         rep[code[::-1]] = np.arange(len(code) - 1, -1, -1)
         if not (np.array_equal(low[rep][code], low) and np.array_equal(high[rep][code], high) and np.array_equal(size[rep][code], size)):
             return [self.plain(d.decode()) for d in docs]  # two pieces share a key
-        known = self.known
-        if len(known) > self.most_known:
-            known.clear()
-        ids = [known[buf[a:b]] for a, b in zip(starts[rep].tolist(), (starts[rep] + lens[rep]).tolist(), strict=True)]
+        pieces = [buf[a:b] for a, b in zip(starts[rep].tolist(), (starts[rep] + lens[rep]).tolist(), strict=True)]
+        self._learn(pieces)
+        ids = [self.known[x] for x in pieces]
         many = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         begin = np.cumsum(many) - many
@@ -132,10 +125,10 @@ class BatchTokenizer:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(ranks_path: str | None = None) -> BatchTokenizer:
-    """One per Python worker. ``None``: the ranks of ``byte_bpe_50k`` as installed on the executors."""
-    if ranks_path is None:
+def tokenizer(path: str | None = None, special_text: bool = False) -> BatchTokenizer:
+    """One per Python worker. ``None``: ``byte_bpe_50k.json`` as installed on the executors."""
+    if path is None:
         import public_tokenizers
 
-        ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return BatchTokenizer(ranks_path)
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    return BatchTokenizer(path, special_text)

@@ -11,7 +11,6 @@ from loomlog.llm.tokenizer import tokenizer
 
 SF = "/root/testdata/sf0.001"
 reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-reference.encode_special_tokens = True
 
 
 def ids_of(text):
@@ -64,13 +63,25 @@ def test_edge_cases(spark):
     assert packing.pack(frame.limit(0)).count() == 0
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from("abÉéæŵ '\t\n\x0b 12.,-_×² Ж日$"), max_size=60), max_size=5))
+PARTS = [*"abÉéæŵ '\t\n\x0b 12.,-_×² Ж日$", "<|endoftext|>", "<|", "|>"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=60).map("".join), max_size=5))
 def test_ids_are_those_of_the_library(texts):
     got = tokenizer().encode(texts)
     assert [x.tolist() for x in got] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_special_text_is_the_callers_choice(spark):
+    assert tokenizer().encode(["a <|endoftext|> b"])[0].tolist() == [64, 220, 50256, 275]
+    assert 50256 not in tokenizer(None, True).encode(["a <|endoftext|> b"])[0]
+    frame = spark.createDataFrame([("one", "a <|endoftext|> b"), (None, "x")], "`doc.id` string, text string")
+    rows = {r["doc_id"]: r["length"] for r in packing.pack(frame, id_col="doc.id").collect()}
+    assert rows == {"one": 5, None: 2}
+    assert {r["doc_id"]: r["length"] for r in packing.pack(frame, id_col="doc.id", special_text=True).collect()}["one"] > 5
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 40), st.integers(0, 30), max_size=12))
 def test_patterns_use_the_histogram_up(histogram):
