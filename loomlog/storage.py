@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
+#: The tables written inside each open ``passing``, innermost last.
+_open: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one if all runs on one machine, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="loomlog-"))
     return _own_dir[0]
@@ -25,11 +31,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Removes what this application has put in the shared folder. Results that are still lazy need it."""
-    sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loomlog-{sc.applicationId}")
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -37,4 +46,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that ``materialize`` wrote and that nothing lazy needs any more; others are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_scratch_path", None)
+        if path:
+            _remove(df.sparkSession, path)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is materialized inside goes at the end, save what ``keep`` was called on: for steps whose result is written before they end.
+
+    >>> with passing() as keep:
+    ...     result = keep(materialize(step(docs), "result"))
+    """
+    made: list[DataFrame] = []
+    kept: set[int] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        drop(*[x for x in made if id(x) not in kept])
+        if _open:
+            _open[-1].extend(x for x in made if id(x) in kept)
