@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.storage import drop_scratch, materialize, scratch, shared_dir
+from loomlog.storage import drop, drop_scratch, materialize, passing, scratch, shared_dir
 
-__all__ = ["SPACES", "drop_scratch", "every", "let", "materialize", "named", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
+__all__ = ["SPACES", "drop", "drop_scratch", "every", "let", "materialize", "named", "passing", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
 
 #: Fixed value: the bytes that separate words, as the contracts name them (space and 0x09-0x0D).
 SPACES = " \t\n\x0b\x0c\r"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import materialize
+from loomlog.llm.base import drop, materialize
 
 
 def _large_star(edges: DataFrame, name: str) -> DataFrame:
@@ -22,22 +22,19 @@ def _small_star(edges: DataFrame, name: str) -> DataFrame:
     return moved.union(least.select("a", F.col("_m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, name: str = "component", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "component") -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)`` but the roots; root is the smallest node reachable.
 
     Each round is two joins and partial aggregates over the edges left and is written to the shared folder. It
-    ends when the edges are stars: no node has two parents, no parent is a child.
+    ends when the edges are stars: no node has two parents, no parent is a child. Tables of earlier rounds go.
     """
     edges = materialize(edges.select("a", "b").where("a <> b"), name)
-    for _ in range(most_rounds):
-        if edges.isEmpty():
-            break
-        edges = materialize(_large_star(edges, name), name)
-        edges = materialize(_small_star(edges, name), name)
+    while not edges.isEmpty():
+        larger = materialize(_large_star(edges, name), name)
+        before, edges = edges, materialize(_small_star(larger, name), name)
+        drop(before, larger)
         parents = edges.select(F.col("b").alias("a")).distinct()
         n = edges.agg(F.count("*").alias("n"), F.countDistinct("a").alias("d")).first()
         if n["n"] == n["d"] and edges.join(parents, "a", "left_semi").isEmpty():
             break
-    else:
-        raise RuntimeError(f"no end after {most_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,10 +1,12 @@
 import random
 
+import pytest
 import xxhash
 
 from loomlog.llm import queries, simhash
 
 SF = "/root/testdata/sf0.001"
+SF2 = "/root/testdata/sf0.01"
 
 
 def brute_print(text):
@@ -46,10 +48,28 @@ def result(df):
     return sorted(((r["doc_id"], r["fingerprint"], r["component_id"]) for r in df.collect()), key=str)
 
 
-def test_query_equals_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+@pytest.mark.parametrize("sf", [SF, SF2])
+def test_query_equals_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     want = brute_components([(r["doc_id"], brute_print(r["text"])) for r in docs])
-    assert result(queries.op8_simhash_near_dedup(spark, SF)) == want
+    assert result(queries.op8_simhash_near_dedup(spark, sf)) == want
+
+
+def test_levels_refine_each_other_and_end_in_few_open_bits():
+    first, second, third = simhash._levels()
+    assert [len(x) for x in (first, second, third)] == [1, 2, 8]
+    assert all(m & first[0] == first[0] for m in second)
+    assert all(m & second[k // 4] == second[k // 4] and 64 - m.bit_count() == 8 for k, m in enumerate(third))
+
+
+def test_no_pair_is_lost_at_any_level(spark):
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    for a, b in [(0, 0), (0, 1), (3, 4), (0, 32), (31, 33), (5, 63), (60, 3), (20, 52)] + [(rng.randrange(64), rng.randrange(64)) for _ in range(40)]:
+        pair = {base, base ^ (1 << a) ^ (1 << b) if a != b else base ^ (1 << a)}
+        turned = [(x >> 4 * t | x << 64 - 4 * t) & (1 << 64) - 1 for t in range(16) for x in sorted(pair)]
+        for masks in simhash._levels():
+            assert any(len({turned[2 * t] & m, turned[2 * t + 1] & m}) == 1 for t in range(16) for m in masks)
 
 
 def test_crowded_and_paired_links_give_the_same_components(spark):
@@ -59,10 +79,10 @@ def test_crowded_and_paired_links_give_the_same_components(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     frame = spark.createDataFrame([(x,) for x in signed], "_fp long")
     got = []
-    for crowd in (4, 1000):
+    for crowd in (0, 4, 1000):
         found = {(r["node"], r["root"]) for r in simhash.components(simhash.links(frame, crowd=crowd)).collect()}
         got.append(found)
-    assert got[0] == got[1]
+    assert got[0] == got[1] == got[2]
     want = {f: c for _, f, c in brute_components([(s, s & (1 << 64) - 1) for s in signed])}
     groups = {}
     for f, c in want.items():
