@@ -82,16 +82,13 @@ from docs left join per_doc using (doc_id)"""
 
 
 def token_counts_sql() -> str:
-    words = r"len(regexp_extract_all({}, '[^\x20\x09-\x0D]+'))"
-    marks = r"len(regexp_extract_all({}, '[A-Za-z0-9\x{{80}}-\x{{10FFFF}}]+|[^A-Za-z0-9\x{{80}}-\x{{10FFFF}}\x00-\x20]'))"
-    one_line = r"regexp_replace(text, '\n.*', '', 's')"
+    words = r"len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))"
+    marks = r"len(regexp_extract_all(text, '[A-Za-z0-9\x{80}-\x{10FFFF}]+|[^A-Za-z0-9\x{80}-\x{10FFFF}\x00-\x20]'))"
     return rf"""
-with docs as (select source, lang, coalesce(text, '') as text, n_chars from documents),
-kept as (select source, lang, case when n_chars > 20000 then {one_line} else text end as text, n_chars from docs
-  where len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) >= 5),
+with docs as (select source, lang, coalesce(text, '') as text from documents),
 counted as (
-  select source, lang, 'words-1' as tokenizer_version, {words.format("text")} as n from kept
-  union all select source, lang, 'marks-1', {marks.format("text")} from kept)
+  select source, lang, 'words-1' as tokenizer_version, {words} as n from docs
+  union all select source, lang, 'marks-1', {marks} from docs)
 select source, lang, tokenizer_version, count(*) as n_docs, sum(n)::bigint as n_tokens from counted group by all"""
 
 

@@ -9,51 +9,39 @@ from loomlog.llm import decontaminate, licenses, oracles, packing, quality_class
 from loomlog.llm.base import scratch, table
 
 
-def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents under two tokenizer versions, revises those of over 20,000 characters to their first line,
-    deletes those of fewer than five words, delivers every batch twice and compacts in between."""
-    docs = table(spark, sf_dir, "documents")
-    rollup = token_counts.TokenRollup(spark, scratch(spark, "rollup"))
-    first_line = F.regexp_replace("text", r"(?s)\n.*", "")
-    long, short = docs.where("n_chars > 20000"), docs.where(token_counts.word_tokens(F.col("text")) < 5)
-    for version in ("words-1", "marks-1"):
-        deltas = {
-            "insert": token_counts.inserts(docs, version),
-            "revise": token_counts.revisions(long, version, F.col("text"), first_line),
-            "delete": token_counts.deletes(short, version),
-        }
-        for name, rows in deltas.items():
-            rollup.commit(f"{name}-{version}", rows)
-            rollup.commit(f"{name}-{version}", rows)
-        rollup.compact()
-        rollup.commit(f"insert-{version}", deltas["insert"])
-    return rollup.totals()
-
-
-def op1_token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts of the whole table under every tokenizer version: documents of over 20,000 characters are inserted with their first line
-    and revised to the whole text, those of fewer than five words are deleted and inserted again, every batch comes twice."""
+def _counted(spark: SparkSession, sf_dir: str, *versions: str) -> DataFrame:
+    """The totals of the whole table, reached by deltas: documents of over 20,000 characters are inserted with their first line and revised to
+    the whole text, those of fewer than five words are deleted and inserted again, and every batch comes twice, before and after a compaction."""
     docs = table(spark, sf_dir, "documents")
     rollup = token_counts.TokenRollup(spark, scratch(spark, "rollup"))
     first_line = F.regexp_replace("text", r"(?s)\n.*", "")
     long = F.col("n_chars") > 20000
     five_words = F.coalesce("text", F.lit("")).rlike(r"\A[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++){4}[^\x20\x09-\x0D]")
     begun, short = docs.withColumn("text", F.when(long, first_line).otherwise(F.col("text"))), docs.where(~five_words)
-    for version in token_counts.VERSIONS:
-        deltas = {
-            "insert": token_counts.inserts(begun, version),
-            "revise": token_counts.revisions(docs.where(long), version, first_line, F.col("text")),
-            "delete": token_counts.deletes(short, version),
-            "restore": token_counts.inserts(short, version),
-        }
-        for name, rows in deltas.items():
-            rollup.commit(f"{name}-{version}", rows)
-            rollup.commit(f"{name}-{version}", rows)
+    deltas = {
+        "insert": token_counts.inserts(begun, *versions),
+        "revise": token_counts.revisions(docs.where(long), *versions, old_text=first_line, new_text=F.col("text")),
+        "delete": token_counts.deletes(short, *versions),
+        "restore": token_counts.inserts(short, *versions),
+    }
+    for name, rows in deltas.items():
+        rollup.commit(name, rows)
+        rollup.commit(name, rows)
         rollup.compact()
-        rollup.commit(f"insert-{version}", deltas["insert"])
+    rollup.commit("insert", deltas["insert"])
     return rollup.totals()
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and tokens of the whole table under every tokenizer version."""
+    return _counted(spark, sf_dir, *token_counts.VERSIONS)
+
+
+def op1_token_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for the two tokenizer versions that SQL can express."""
+    return _counted(spark, sf_dir, "words-1", "marks-1")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("_row.doc_id", *quality_rules.BASE, "base_failed", "kept")
@@ -96,4 +84,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality_sql(), "op5_secret_scan": oracles.secrets_sql(), "op1_token_counts": oracles.token_counts_sql(), "op9_license_scan": oracles.licenses_sql()}
+    return {"op2_quality_rules": oracles.quality_sql(), "op5_secret_scan": oracles.secrets_sql(), "op1_token_counts_whole": oracles.token_counts_sql(), "op9_license_scan": oracles.licenses_sql()}

@@ -146,7 +146,7 @@ def test_rollup_is_idempotent_and_additive(spark):
     assert totals() == want
     rollup.compact()
     assert totals() == want and not rollup.commit("one", token_counts.inserts(docs, "words-1"))
-    assert rollup.commit("fix", token_counts.revisions(docs.where("text = 'x y z'"), "words-1", F.col("text"), F.lit("one")))
+    assert rollup.commit("fix", token_counts.revisions(docs.where("text = 'x y z'"), "words-1", old_text=F.col("text"), new_text=F.lit("one")))
     assert rollup.commit("gone", token_counts.deletes(docs.where("source is null"), "words-1"))
     assert rollup.commit("none", token_counts.inserts(docs.limit(0), "words-1"))
     assert rollup.commit("bpe", token_counts.inserts(docs, "byte_bpe_50k"))
@@ -157,6 +157,52 @@ def test_rollup_is_idempotent_and_additive(spark):
         rollup.commit("a/b", docs)
 
 
+@pytest.mark.parametrize("when", ["before the fold", "after the fold"])
+def test_a_batch_committed_while_compacting_is_kept_once(spark, monkeypatch, when):
+    docs = spark.createDataFrame([("a", "en", "x y")], "source string, lang string, text string")
+    rollup = token_counts.TokenRollup(spark, scratch(spark, "race"))
+    rollup.commit("one", token_counts.inserts(docs, "words-1"))
+    plain, done = rollup._rows, []
+
+    def with_a_commit(base, batches):
+        if when == "before the fold" and not done:
+            done.append(rollup.commit("two", token_counts.inserts(docs, "words-1")))
+        rows = plain(base, batches)
+        if when == "after the fold" and not done:
+            rows.count()
+            done.append(rollup.commit("two", token_counts.inserts(docs, "words-1")))
+        return rows
+
+    monkeypatch.setattr(rollup, "_rows", with_a_commit)
+    rollup.compact()
+    monkeypatch.undo()
+    assert done == [True]
+    for _ in range(3):
+        assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "words-1", 2, 4)]
+        assert not any(rollup.commit(x, token_counts.inserts(docs, "words-1")) for x in ("one", "two"))
+        rollup.compact()
+
+
+def test_a_reader_outlives_one_compaction(spark):
+    docs = spark.createDataFrame([("a", "en", "x y")], "source string, lang string, text string")
+    rollup = token_counts.TokenRollup(spark, scratch(spark, "reader"))
+    for name in ("one", "two", "three"):
+        rollup.commit(name, token_counts.inserts(docs, "words-1"))
+        before = rollup.totals()
+        rollup.compact()
+        assert [tuple(r) for r in before.collect()] == [tuple(r) for r in rollup.totals().collect()]
+    rollup.commit("four", token_counts.deletes(docs, "words-1"))
+    rollup.compact()
+    assert set(rollup.batches()) == {"four"} and rollup._bases() == [2, 3]
+
+
+def test_token_count_edge_cases(spark):
+    rows = [("a", "en", "word " * 200_000, 5, "o"), ("a", "en", "word " * 200_000, 5, "o"), (None, None, None, 0, None), ("a", "en", "", 0, None)]
+    docs = spark.createDataFrame(rows, "source string, lang string, text string, n_tokens int, tokenizer_version string")
+    got = {tuple(r) for r in token_counts.inserts(docs, "words-1", "byte_bpe_50k").collect()}
+    assert got == {("a", "en", "words-1", 3, 400_000), (None, None, "words-1", 1, 0), ("a", "en", "byte_bpe_50k", 3, 400_002), (None, None, "byte_bpe_50k", 1, 0)}
+
+
 def test_whole_token_counts_equal_brute_force(spark):
     count = {
         "words-1": lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t)),
@@ -168,7 +214,7 @@ def test_whole_token_counts_equal_brute_force(spark):
         for version, n in count.items():
             docs, tokens = want.get((r["source"], r["lang"], version), (0, 0))
             want[r["source"], r["lang"], version] = docs + 1, tokens + n(r["text"] or "")
-    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op1_token_counts_whole(spark, SF2).collect()} == want
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op1_token_counts(spark, SF2).collect()} == want
 
 
 def test_licenses_wrapped_over_lines_of_longer_texts(spark):
