@@ -1,11 +1,15 @@
 """Secrets, toxicity, licences and token counts."""
 
 import hashlib
+import math
 import re
 import textwrap
+import zlib
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomlog.llm import licenses, queries, secret_scan, token_counts, toxicity
@@ -101,6 +105,58 @@ def test_folding_and_exceptions():
     assert hits("trash talk") > 0
 
 
+def test_punctuation_and_spacing_hide_nothing():
+    lexicon = toxicity.Lexicon({"idiot": 3.0, "trash": 1.0})
+    assert lexicon.figures("you idiot" + "!" * 1000) == lexicon.figures("you  \n idiot") == lexicon.figures("you idiot")
+    assert lexicon.figures("the trash\n\tcan, is full")[0] == 0
+    assert toxicity.fold("Ｉｄｉｏｔ") == toxicity.fold("ídïöt") == toxicity.fold("id\u200biot") == " idiot "
+    assert toxicity.fold(None) == toxicity.fold(" ... ") == " "
+
+
+TERMS = {"idiot": 3.0, "idio": 1.0, "clown": 2.0, "trash": 1.0, "luser": 0.5}
+TEXT_PARTS = [*"  .!\n@$1", "idiot", "idiotic", "idio", "clown", "trash", "can", "trash can", "class clown", "1user", "x", "ID10T", "é"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(TEXT_PARTS), max_size=25).map("".join))
+def test_figures_equal_a_plain_restatement(text):
+    words = toxicity.fold(text).split()
+    safe = {k + j for phrase in map(str.split, toxicity.EXCEPTIONS) for k in range(len(words)) if words[k : k + len(phrase)] == phrase for j in range(len(phrase))}
+    forms = {f: w for t, w in TERMS.items() for f in (t.replace("l", "i"), t)} | TERMS
+    found = []
+    for k, word in enumerate(words):
+        own = [f for f in forms if word.startswith(f)]
+        if own and k not in safe:
+            found.append(forms[max(own, key=len)])
+    n = max(1, len(words))
+    want = (math.log1p(sum(found)), math.log1p(100 * sum(found) / n), float(len(found) > 0), float(len(found) > 1), math.log1p(n))
+    assert toxicity.Lexicon(TERMS).figures(text) == pytest.approx(want)
+
+
+def test_lexicon_equals_counts_of_documents(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    rows = [(r["text"], known[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in known]
+    seen, n = {}, [0, 0]
+    for text, y in rows:
+        n[y] += 1
+        words = toxicity.fold(text).split()
+        for term in {w[:k] for w in words for k in (*range(4, 10), len(w))}:
+            if len(term) >= 4 or term in words:
+                seen.setdefault(term, [0, 0])[y] += 1
+    weights = {t: math.log(((p + 0.5) / (n[1] + 1)) / ((c + 0.5) / (n[0] + 1))) for t, (c, p) in seen.items() if p >= 5}
+    sample = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 20_000, ~toxicity.held_out("doc_id"))
+    assert sample.count() == len(rows)
+    assert toxicity.learn(sample)[0].terms == pytest.approx({t: w for t, w in weights.items() if w >= 1.5})
+
+
+def test_toxicity_sample_is_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, toxic int")
+    sample = toxicity.training_sample(docs, labels, "doc_id", "text", "toxic", 3, F.lit(True))
+    assert sample.count() == 3 and sorted(map(tuple, sample.collect())) == sorted(map(tuple, sample.collect()))
+
+
 def test_toxicity_edge_cases(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 3), (2, "a b", 4), (3, "word " * 50_000, 5)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, toxic int")
