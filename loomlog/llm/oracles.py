@@ -48,19 +48,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and doc_id not in (select doc_id from bad) as kept from verdict"""
 
 
-def secrets_sql(most_owners: int = 2) -> str:
+def secrets_sql(most_owners: int = 2, most_repositories: int = 4) -> str:
     from loomlog.llm.secret_scan import PATTERNS
 
     quoted = {k: p.replace("'", "''") for k, p in PATTERNS.items()}
     parts = " union all ".join(
         f"""
-  select doc_id, owner, {no} as kind, '{kind}' as name, i, regexp_extract_all(text, '{p}')[i] as match,
+  select doc_id, owner, repository, {no} as kind, '{kind}' as name, i, regexp_extract_all(text, '{p}')[i] as match,
     list_sum(list_transform(string_split_regex(text, '{p}')[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{p}')[1:i-1], lambda x: length(x))), 0) as start
   from (select *, unnest(range(1, len(regexp_extract_all(text, '{p}')) + 1)) as i from docs)"""
         for no, (kind, p) in enumerate(quoted.items())
     )
     return rf"""
-with docs as (select doc_id, coalesce(source, '') as owner, coalesce(text, '') as text from documents),
+with docs as (select doc_id, coalesce(source, '') as owner, concat(source, chr(0), lang) as repository, coalesce(text, '') as text from documents),
 matches as ({parts}),
 candidates as (
   select *, start + length(match) as stop, case when kind = 0 then regexp_extract(match, '{quoted["assign"]}', 2) else match end as value from matches),
@@ -70,7 +70,7 @@ passing as (
 apart as (
   select * from passing p where kind < 3 or not exists (
     select 1 from passing b where b.doc_id = p.doc_id and b.kind < 3 and b.start < p.stop and b.stop > p.start)),
-owners as (select value, count(distinct owner) <= {most_owners} as live from apart group by 1),
+owners as (select value, count(distinct owner) <= {most_owners} and count(distinct repository) <= {most_repositories} as live from apart group by 1),
 spans as (select a.*, live, format('{{}}:{{}}:{{}}', name, start, stop) as written from apart a join owners using (value)),
 per_doc as (
   select doc_id, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,

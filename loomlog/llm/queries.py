@@ -56,7 +56,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan(table(spark, sf_dir, "documents")).select("_row.doc_id", "*").drop("_row", "_owned")
+    return secret_scan.scan(table(spark, sf_dir, "documents")).select("_row.doc_id", "*").drop("_row", "_marked")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,8 @@
 """Secret scan with corpus-wide ownership, in DataFrame functions only.
 
 Spans are found with Java regular expressions: the pieces between matches give the offsets. Every candidate's
-SHA-256 is counted over the corpus by distinct owners and repositories. A value that many owners hold is a copied example;
-one that few hold is owner-specific. The patterns of the base set always report; long mixed tokens, which
+SHA-256 is counted over the corpus by distinct owners and repositories. A value that many owners or many repositories hold is a copied example;
+one that few of both hold is owner-specific. The patterns of the base set always report; long mixed tokens, which
 would report every identifier, are added only where they are owner-specific.
 """
 
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import let, materialize, row_keys, same_row
+from loomlog.llm.base import every, let, materialize, named, row_keys, same_row
 
 
 def either_case(word: str) -> str:
@@ -99,17 +99,19 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repository_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 2, keep_texts: bool = False) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repository_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 2, most_repositories: int = 4, keep_texts: bool = False) -> DataFrame:
     """The secrets of every row.
 
+    A value is owner-specific if at most ``most_owners`` owners and ``most_repositories`` repositories hold it. ``documents`` names neither, so by default the source
+    stands for the owner and source and language for the repository, which is coarse; name the columns where there are better ones.
+
     Returns ``_row`` (a struct: all columns of docs if ``keep_texts``, else the id), n_assign, n_access, n_hex, base_sha256, spans, n_owner_specific and
-    n_widely_copied (of all candidates, by whether more than ``most_owners`` owners hold the value), and
-    ``_owned`` (hashes of the added spans). Null texts are empty; null owner columns are one owner; null ids stay null; repeated
+    n_widely_copied (of all candidates), and ``_marked`` (the spans as structs). Null texts are empty; null owner columns are one owner; null ids stay null; repeated
     rows each have their row and count once towards an owner; other columns of docs are only carried.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns]) if keep_texts else F.struct(id_col)
-    joined = lambda cols: F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-    rows = docs.select(row.alias("_row"), *row_keys(id_col, text_col), joined(owner_cols).alias("_owner"), joined(repository_cols).alias("_repository"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    row = every(docs) if keep_texts else F.struct(named(id_col))
+    joined = lambda cols: F.concat_ws("\x00", *[F.coalesce(named(c).cast("string"), F.lit("")) for c in cols])
+    rows = docs.select(row.alias("_row"), *row_keys(id_col, text_col), joined(owner_cols).alias("_owner"), joined(repository_cols).alias("_repository"), F.coalesce(named(text_col), F.lit("")).alias("_text"))
     rows = rows.withColumns({f"_{k}": spans_of(k, F.col("_text")) for k in KINDS}).drop("_text")
     base = F.concat(*[F.col(f"_{k}") for k in KINDS[:3]])
     apart = lambda b: F.filter("_owned", lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])))
@@ -121,7 +123,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     holders = holders.groupBy("_hash", "_owner").agg(F.count("*").alias("_n")).groupBy("_hash").agg(F.count("*").alias("_owners"), F.sum("_n").alias("_repositories"))
     holders = materialize(holders, "secret-holders")  # a bare exchange on either side lets a hot value be split
     known = each.select("_id", "_key", "_s").join(holders, F.col("_s.hash") == F.col("_hash"))
-    by_row = known.groupBy("_key", "_id").agg(F.collect_set(F.struct("_s", (F.col("_owners") <= most_owners).alias("live"))).alias("_known"))
+    by_row = known.groupBy("_key", "_id").agg(F.collect_set(F.struct("_s", ((F.col("_owners") <= most_owners) & (F.col("_repositories") <= most_repositories)).alias("live"))).alias("_known"))
 
     hit = same_row(found.where("size(_base) + size(_more) > 0"), by_row, "left")
     out = found.where("size(_base) + size(_more) = 0").withColumn("_known", F.array().cast("array<struct<_s:struct<start:int,kind:int,end:int,hash:string>,live:boolean>>")).unionByName(hit)
@@ -131,35 +133,48 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
         "_row", n("_assign").alias("n_assign"), n("_access").alias("n_access"), n("_hex").alias("n_hex"),
         F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.concat("_base", added)).alias("spans"),
         n(F.filter("_known", lambda k: k["live"])).alias("n_owner_specific"), n(F.filter("_known", lambda k: ~k["live"])).alias("n_widely_copied"),
-        F.transform(added, lambda s: s["hash"]).alias("_owned"),
+        F.concat("_base", added).alias("_marked"),
     )
 
 
-def _cleaned(kind: str, text: Column, owned: Column) -> Column:
-    def secret(m: Column) -> Column:
-        ok = _passes(kind, m)
-        return ok & F.array_contains(owned, F.sha2(m, 256)) if kind == "owned" else ok
+def _apart(spans: Column) -> Column:
+    """The spans' places in order, those that overlap as one."""
+    one = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
+
+    def put(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        meets = (F.size(done) > 0) & (s["start"] < F.try_element_at(done, F.lit(-1))["end"])
+        return F.when(meets, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), one(last["start"], F.greatest(last["end"], s["end"])))).otherwise(F.concat(done, one(s["start"], s["end"])))
+
+    return F.aggregate(F.sort_array(spans), F.array().cast("array<struct<start:int,end:int>>"), put)
+
+
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with MARK in place of each span. Spans go by blocks, so that a long text is not walked through for each."""
+
+    def rebuilt(all_spans: Column) -> Column:
+        def block(b: Column) -> Column:
+            begin = F.when(b == 0, 0).otherwise(F.get(all_spans, b * _BLOCK - 1)["end"])
 
-    def rebuilt(ms: Column) -> Column:
-        after = lambda i: F.when(secret(F.get(ms, i)), MARK).otherwise(F.coalesce(F.get(ms, i), F.lit("")))
-        parts = let(F.split(text, PATTERNS[kind], -1), lambda ps: F.transform(ps, lambda p, i: F.concat(p, after(i))))
-        return F.when(F.size(ms) == 0, text).otherwise(F.array_join(parts, ""))
+            def within(own: Column) -> Column:
+                piece = F.substring(text, begin + 1, F.element_at(own, -1)["end"] - begin)
+                before = lambda i: F.when(i == 0, begin).otherwise(F.get(own, i - 1)["end"])
+                return let(piece, lambda p: F.array_join(F.transform(own, lambda s, i: F.concat(F.substring(p, before(i) - begin + 1, s["start"] - before(i)), F.lit(MARK))), ""))
 
-    return let(_matches(kind, text), rebuilt)
+            return let(F.slice(all_spans, b * _BLOCK + 1, F.lit(_BLOCK)), within)
 
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_spans) - 1) / _BLOCK).cast("int")), block)
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.element_at(all_spans, -1)["end"] + 1, F.length(text)))
 
-def redacted(text: Column, owned: Column) -> Column:
-    """The text with its secrets replaced, one kind after another; of the added kind those whose hashes are in ``owned``."""
-    clean = lambda kinds: (lambda t: let(_cleaned(kinds[0], t, owned), clean(kinds[1:])) if kinds else t)
-    return clean(KINDS)(text)
+    return F.when(F.size(spans) == 0, text).otherwise(let(_apart(spans), rebuilt))
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", length_col: str = "n_chars", **how) -> DataFrame:
-    """The rows of docs with the secrets in their texts replaced by MARK, and their lengths set anew."""
+    """The rows of docs with MARK in place of the spans that ``scan`` reports, and the lengths of those texts set anew; null and clean texts stay as they are."""
     found = scan(docs, text_col=text_col, keep_texts=True, **how)
     text = F.col("_row").getField(text_col)
-    hit = F.col("n_assign") + F.col("n_access") + F.col("n_hex") + F.size("_owned") > 0
-    out = found.select("_row", hit.alias("_hit"), F.when(hit, redacted(text, F.col("_owned"))).otherwise(text).alias("_clean"))
+    hit = F.size("_marked") > 0
+    out = found.select("_row", hit.alias("_hit"), F.when(hit, redacted(text, F.col("_marked"))).otherwise(text).alias("_clean"))
     columns = []
     for c in docs.columns:
         if c == text_col:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import textwrap
 import zlib
@@ -29,20 +30,21 @@ def base(text):
     return sorted(out)
 
 
-def brute_secrets(rows, most_owners=2):
-    """rows: (doc_id, text, source)"""
-    found, owners = [], {}
-    for doc_id, text, source in rows:
+def brute_secrets(rows, most_owners=2, most_repositories=4):
+    """rows: (doc_id, text, source, lang)"""
+    found, owners, repositories = [], {}, {}
+    for doc_id, text, source, lang in rows:
         own = base(text)
         more = [(m.start(), 3, m.end(), m[0]) for m in re.finditer("[A-Za-z0-9_+/-]{20,}", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0])]
         more = [x for x in more if not any(b[0] < x[2] and b[2] > x[0] for b in own)]
         found.append((doc_id, own, more))
         for x in own + more:
             owners.setdefault(x[3], set()).add(source or "")
+            repositories.setdefault(x[3], set()).add((source or "", lang or ""))
     out = []
     text_of = lambda spans: ",".join(f"{('assign', 'access', 'hex', 'owned')[k]}:{s}:{e}" for s, k, e, _ in sorted(spans))
     for doc_id, own, more in found:
-        live = [x for x in more if len(owners[x[3]]) <= most_owners]
+        live = [x for x in more if len(owners[x[3]]) <= most_owners and len(repositories[x[3]]) <= most_repositories]
         n = [sum(x[1] == k for x in own) for k in range(3)]
         out.append((doc_id, *n, hashlib.sha256(text_of(own).encode()).hexdigest(), text_of(own + live)))
     return sorted(out, key=str)
@@ -53,9 +55,10 @@ def secrets_of(df, id_of=lambda r: r["doc_id"]):
 
 
 LIVE = "Zx9" + "aQ7b" * 6
+SPREAD = "Ww7" + "cS5d" * 6
 COPIED = "Yy8" + "bR6c" * 6
 ROWS = [
-    (None, None, "a"), (1, "", None), (2, "token=ab secret:abcdef", "a"), (3, "token=token:abcdefg PASSWORD = 'hunter22'", "a"), (4, "é日 api_key=\"" + "x" * 40, "a"),
+    *[(20 + k, f"see {SPREAD}", "a") for k in range(5)], (None, None, "a"), (1, "", None), (2, "token=ab secret:abcdef", "a"), (3, "token=token:abcdefg PASSWORD = 'hunter22'", "a"), (4, "é日 api_key=\"" + "x" * 40, "a"),
     (5, "AKIA" + "Z" * 16 + " AKIASHORT " + "AKIA" * 6, "b"), (6, "f" * 24 + " " + "e" * 23 + " token=" + "0a" * 20, "b"), (7, f"key {LIVE}.", "a"), (7, f"key {LIVE}.", "a"),
     (8, f"see {COPIED}", "a"), (9, f"see {COPIED}", "b"), (10, f"see {COPIED}", "c"), (11, "ſecret=abcdef toKen=abcdefg passwd:=zzzzzzz", "c"), (12, "secret=" + LIVE + " token=x" * 700, "d"), (13, "pw " * 5 + "a" * 30, None),
 ]
@@ -63,14 +66,37 @@ ROWS = [
 
 def test_secrets_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF2}/documents.parquet")
-    want = brute_secrets([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()])
+    want = brute_secrets([(r["doc_id"], r["text"], r["source"], r["lang"]) for r in docs.collect()])
     assert any(r[1] + r[2] + r[3] for r in want)
     assert secrets_of(queries.op5_secret_scan(spark, SF2)) == want
-    frame = spark.createDataFrame([(*r, "en", 1, "s") for r in ROWS], "doc_id long, text string, source string, lang string, n_hex int, spans string")
-    assert secrets_of(secret_scan.scan(frame), lambda r: r["_row"]["doc_id"]) == brute_secrets(ROWS)
+    rows = [(*r, f"l{r[0]}" if SPREAD in (r[1] or "") else "en") for r in ROWS]
+    frame = spark.createDataFrame([(*r, 1, "s") for r in rows], "doc_id long, text string, source string, lang string, n_hex int, spans string")
+    want = brute_secrets(rows)
+    assert {r[0]: "owned" in r[-1] for r in want if r[0] in (7, 20)} == {7: True, 20: False}  # one owner each, but five repositories
+    assert secrets_of(secret_scan.scan(frame), lambda r: r["_row"]["doc_id"]) == want
     assert secret_scan.scan(frame.limit(0)).count() == 0
 
 
+def test_redaction_equals_the_spans_reported(spark):
+    rng = random.Random(8)
+    parts = ["token=", "api_key: ", "AKIA" + "Q" * 16, "0a" * 14, "é", " ", "secret = '", LIVE, "x", ".", "hunter22", "日\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)] + ["token=abcdef1 " * 3000, None, ""]
+    frame = spark.createDataFrame([(k, t, "s", "en", -1, "e") for k, t in enumerate(texts)], "doc_id long, text string, source string, lang string, n_chars long, `a.b` string")
+    spans = {r["_row"]["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x] for r in secret_scan.scan(frame).collect()}
+    out = secret_scan.redact(frame)
+    assert out.columns == frame.columns
+    for r in out.collect():
+        text, marked = texts[r["doc_id"]], set()
+        for a, b in spans[r["doc_id"]]:
+            marked.update(range(a, b))
+        if not marked:
+            assert (r["text"], r["n_chars"]) == (text, -1)
+            continue
+        starts = {a for a, _ in spans[r["doc_id"]] if a - 1 not in marked or not any(x < a < y for x, y in spans[r["doc_id"]])}
+        want = "".join("[SECRET]" if k in starts else "" if k in marked else c for k, c in enumerate(text))
+        assert r["text"] == want and r["n_chars"] == len(want)
+
+
 def test_redaction(spark):
     frame = spark.createDataFrame([(*r, "en", 7) for r in ROWS], "doc_id long, text string, source string, lang string, n_chars long")
     out = {r["doc_id"]: r for r in secret_scan.redact(frame).collect()}
