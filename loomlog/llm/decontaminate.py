@@ -4,7 +4,9 @@ Texts are cut into lower-case words without ASCII punctuation. Seeds are pairs o
 that stand next to each other or one word apart in a text. Of an alignment with m matches and e edits (score 2m - e), all but
 the gaps of two edits or more between matches are seeds; so the seeds of a score of t weigh t - 2 at least, where a pair without an
 edit weighs 2 and one with an edit 1. Items that one matched word brings to the least score have single words as seeds. No seed is left
-out for being frequent. Texts are read once: those parts that hold enough seeds of an item are aligned with it at once, alike parts once a task.
+out for being frequent. Those parts of a text that hold enough seeds of an item are aligned with it, alike parts once a task. While the seeds are few,
+tasks look them up as they read the texts; beyond that, the texts' seeds that pass a bitmap of a fixed size meet those of the items in a join, and
+the same parts are aligned.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import materialize, row_keys, same_row
+from loomlog.llm.base import every, materialize, named, row_keys, same_row
 from loomlog.llm.rolling import RunHasher
 
-#: The seeds that tasks look up are broadcast up to this many (13 bytes each); beyond, those of all texts go to a join.
+#: The seeds that tasks look up are broadcast up to this many (13 bytes each); beyond, they are joined.
 MOST_BROADCAST = 4_000_000
+#: The bitmap that texts' seeds pass before the join has so many bits, as a power of two (8 MB).
+BITMAP = 26
 #: Alignments that a task remembers, so that alike parts are aligned once.
 MOST_KNOWN = 20_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -144,10 +148,10 @@ class _Index:
         for apart in self.aparts:
             if len(words) <= apart:
                 continue
-            every = _seeds(words, apart)
-            place = np.flatnonzero(self.maybe[every >> self.shift])
-            found = np.minimum(np.searchsorted(self.seeds, every[place]), len(self.seeds) - 1)
-            hit = self.seeds[found] == every[place]
+            each = _seeds(words, apart)
+            place = np.flatnonzero(self.maybe[each >> self.shift])
+            found = np.minimum(np.searchsorted(self.seeds, each[place]), len(self.seeds) - 1)
+            hit = self.seeds[found] == each[place]
             place, found = place[hit], found[hit]
             n = self.first[found + 1] - self.first[found]
             row = np.repeat(self.first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -197,6 +201,17 @@ def _scanned(hashed: DataFrame, index: _Index, size: int, kinds: str) -> DataFra
     return hashed.mapInArrow(run, f"{kinds}, _ikey long, score double, start int, end int, seeds long")
 
 
+def _bitmap(seeds: DataFrame) -> np.ndarray:
+    """A byte for every eight values of the first ``BITMAP`` bits of a seed, with a bit for each that occurs."""
+    width = 1 << 15  # bits of one of Spark's bitmaps
+    slot = F.call_function("shiftrightunsigned", F.col("seed"), F.lit(64 - BITMAP))
+    parts = seeds.groupBy(F.floor(slot / width).alias("k")).agg(F.bitmap_construct_agg(slot % width).alias("bits"))
+    out = np.zeros((1 << BITMAP) // 8, np.uint8)
+    for r in parts.toLocalIterator():  # at most 2048 of 4 KB each
+        out[r["k"] * width // 8 : (r["k"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def _joined(hashed: DataFrame, bench: DataFrame, least_score: float, size: int, kinds: str) -> DataFrame:
     """The alignments of every text, by a join on seeds."""
 
@@ -206,25 +221,40 @@ def _joined(hashed: DataFrame, bench: DataFrame, least_score: float, size: int,
                 own, near, need = _item_seeds(words.values.to_numpy().view(np.uint64), least_score)
                 yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(own), pa.int64()), pa.array(own.view(np.int64)), pa.array(near), pa.array([need] * len(own), pa.int64())], names=["_ikey", "seed", "near", "need"])
 
+    wanted = bench.select("_ikey", "words").dropDuplicates(["_ikey"])
+    seeds = materialize(wanted.mapInArrow(of_items, "_ikey long, seed long, near boolean, need long"), "item-seeds")
+    maybe, shift = hashed.sparkSession.sparkContext.broadcast(_bitmap(seeds)), np.uint64(64 - BITMAP)
+
     def of_texts(batches):
         for batch in batches:
             for k, words in enumerate(batch.column("words")):
                 own = words.values.to_numpy().view(np.uint64)
                 for apart in range(min(3, len(own))):
-                    seed, n = np.unique(_seeds(own, apart), return_counts=True)
+                    each = _seeds(own, apart)
+                    slot = each >> shift
+                    each = each[maybe.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1 == 1]
+                    seed, n = np.unique(each, return_counts=True)
                     row = batch.slice(k, 1).take(pa.array(np.zeros(len(seed), np.int64)))
-                    yield pa.RecordBatch.from_arrays([row.column("_id"), row.column("_key"), pa.array(seed.view(np.int64)), pa.array([apart == 1] * len(seed)), pa.array(n, pa.int64())], names=["_id", "_key", "seed", "beside", "n"])
+                    yield pa.RecordBatch.from_arrays([row.column("_id"), row.column("_key"), pa.array(seed.view(np.int64)), pa.array(np.full(len(seed), apart == 1)), pa.array(n, pa.int64())], names=["_id", "_key", "seed", "beside", "n"])
 
     def run(batches):
-        aligned = _Aligner(size)
+        aligned, indexes = _Aligner(size), {}
         for batch in batches:
-            done = [aligned(words.values.to_numpy().view(np.uint64), item.values.to_numpy().view(np.uint64), key.as_py()) for words, item, key in zip(batch.column("words"), batch.column("_words"), batch.column("_ikey"), strict=True)]
-            done = list(zip(*done, strict=True)) if done else [()] * 4
-            done = [pa.array(v, t) for v, t in zip(done, (pa.float64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "_key", "_ikey")], *done], names=["_id", "_key", "_ikey", "score", "start", "end", "seeds"])
+            pick, rows = [], []
+            for k, (words, item, key) in enumerate(zip(batch.column("words"), batch.column("_words"), batch.column("_ikey").to_pylist(), strict=True)):
+                if key not in indexes:
+                    if len(indexes) >= 64:
+                        indexes.clear()
+                    indexes[key] = _Index([key], [item.values.to_numpy().view(np.uint64)], least_score)
+                own, index = words.values.to_numpy().view(np.uint64), indexes[key]
+                for _, low, high in index.parts(own):
+                    score, start, end, shared = aligned(own[low:high], index.items[0], key)
+                    pick.append(k)
+                    rows.append((score, low + start, low + end, shared))
+            rows = list(zip(*rows, strict=True)) if rows else [()] * 4
+            done = [pa.array(v, t) for v, t in zip(rows, (pa.float64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(pick, pa.int64())) for c in ("_id", "_key", "_ikey")], *done], names=["_id", "_key", "_ikey", "score", "start", "end", "seeds"])
 
-    wanted = bench.select("_ikey", "words").dropDuplicates(["_ikey"])
-    seeds = wanted.mapInArrow(of_items, "_ikey long, seed long, near boolean, need long")
     texts = hashed.select("_id", "_key", "words").mapInArrow(of_texts, f"{kinds}, seed long, beside boolean, n long")
     weight = F.col("n") * F.when(F.col("near") & F.col("beside"), 2).otherwise(1)
     pairs = texts.join(seeds, "seed").groupBy("_id", "_key", "_ikey").agg(F.sum(weight).alias("w"), F.first("need").alias("need")).where("w >= need")
@@ -240,12 +270,12 @@ def leaks(
     Returns the id, ``item_id``, score (1: every word of the item in order), start and end of the span (in words), seeds (distinct runs
     of ``size`` words of the item that stand in the part aligned; an edited copy may have none) and ``_key``, the hash of id and text that tells rows
     of one id apart. Null or empty texts and items match nothing; null ids stay null; repeated rows of docs give one row, as do repeated
-    items of one id and text; of equal scores the first span counts; other columns are not looked at.
+    items of one id and text; of equal scores the first span counts; very long texts are aligned by their parts; other columns are not looked at; no rows give no rows.
     """
-    narrow = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")).dropDuplicates()
+    narrow = items.select(named(item_col).alias("_item"), named(item_text_col).alias("_text")).dropDuplicates()
     bench = materialize(_hashed(narrow, f"_item {items.schema[item_col].dataType.simpleString()}").withColumn("_ikey", F.xxhash64("words")), "bench")
     kinds = f"_id {docs.schema[id_col].dataType.simpleString()}, _key long"
-    hashed = _hashed(docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("_text")), kinds)
+    hashed = _hashed(docs.select(*row_keys(id_col, text_col), named(text_col).alias("_text")), kinds)
     owners = bench.select("_item", "_ikey").distinct()
     if 2 * (bench.agg(F.sum(F.size("words"))).first()[0] or 0) <= MOST_BROADCAST:
         own = bench.select("_ikey", "words").dropDuplicates(["_ikey"]).toArrow()
@@ -261,6 +291,6 @@ def leaks(
 
 def drop_leaks(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    bad = materialize(leaks(docs, items, id_col=id_col, text_col=text_col, **how).select(F.col(id_col).alias("_id"), "_key").distinct(), "leaks")
-    rows = docs.select(*row_keys(id_col, text_col), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    bad = materialize(leaks(docs, items, id_col=id_col, text_col=text_col, **how).select(named(id_col).alias("_id"), "_key").distinct(), "leaks")
+    rows = docs.select(*row_keys(id_col, text_col), every(docs).alias("_row"))
     return same_row(rows, bad, "left_anti").select("_row.*")

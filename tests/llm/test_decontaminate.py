@@ -7,6 +7,7 @@ from loomlog.llm.decontaminate import align, plain_words
 from loomlog.llm.rolling import RunHasher
 
 SF = "/root/testdata/sf0.001"
+SF2 = "/root/testdata/sf0.01"
 
 
 def hashes(text):
@@ -60,6 +61,27 @@ def test_query_equals_brute_force(spark):
     assert result(queries.op7_benchmark_decontamination(spark, SF)) == want
 
 
+def test_the_join_gives_what_the_lookup_gives(spark, monkeypatch):
+    whole = lambda: sorted((tuple(r) for r in queries.op7_benchmark_decontamination(spark, SF2).collect()), key=str)
+    looked_up = whole()
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    assert len(looked_up) > 20 and whole() == looked_up
+    monkeypatch.setattr(decontaminate, "BITMAP", 16)
+    assert whole() == looked_up
+
+
+def test_very_long_texts(spark, monkeypatch):
+    rng = random.Random(9)
+    item = [f"w{k}" for k in range(30)]
+    filler = lambda n: [f"f{rng.randrange(50_000)}" for _ in range(n)]
+    docs = [(1, " ".join([*filler(150_000), *item[:12], "new", *item[13:], *filler(150_000)])), (2, " ".join(item * 4000)), (3, " ".join(filler(200_000)))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for most in (4_000_000, 0):
+        monkeypatch.setattr(decontaminate, "MOST_BROADCAST", most)
+        got = {r["doc_id"]: (round(r["score"], 3), r["start"], r["end"]) for r in decontaminate.leaks(frame, bench).collect()}
+        assert got == {1: (round((2 * 29 - 1) / 60, 3), 150_000, 150_030), 2: (1.0, 0, 30)}
+
+
 def test_edited_copies_and_edge_cases(spark, monkeypatch):
     rng = random.Random(2)
     items = [(k, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randint(20, 60)))) for k in range(12)]
