@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomlog.storage import drop, drop_scratch, materialize, passing, scratch, shared_dir
 
-__all__ = ["SPACES", "drop", "drop_scratch", "every", "let", "materialize", "named", "passing", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
+__all__ = ["SPACES", "drop", "drop_scratch", "every", "length_without", "let", "lines_of", "materialize", "named", "passing", "row_keys", "same_row", "scratch", "shared_dir", "table", "words_of"]
 
 #: Fixed value: the bytes that separate words, as the contracts name them (space and 0x09-0x0D).
 SPACES = " \t\n\x0b\x0c\r"
@@ -47,8 +47,17 @@ def same_row(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
 
 def words_of(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text, in order; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), "")
+
+
+def lines_of(text: Column) -> Column:
+    """The lines of a text that hold a word."""
+    return F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(SPACES)) != "")
+
+
+def length_without(text: Column, kind: str) -> Column:
+    """The length of a text without the characters of a class."""
+    return F.length(F.regexp_replace(text, f"[{kind}]+", ""))
 
 
 def let(value: Column, body) -> Column:

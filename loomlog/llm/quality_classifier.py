@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm import logistic
-from loomlog.llm.base import SPACES, let, materialize, words_of
+from loomlog.llm.base import SPACES, length_without, let, lines_of, materialize, named, words_of
 from loomlog.llm.quality_rules import SYMBOLS, UPPER
 
 #: Cuts between the bins of each figure; shares in thousandths.
@@ -33,15 +33,15 @@ _WIDE = max(len(c) for c in CUTS.values()) + 1
 
 
 def held_out(id_col: str, folds: int = 3, fold_no: int = 1) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold_no, F.lit(False))
+    return F.coalesce(F.crc32(named(id_col).cast("string")) % folds == fold_no, F.lit(False))
 
 
 def cells(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id, held_out, cell``: the figures' bins as digits of a number."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.select(F.col(id_col).alias("_id"), held_out(id_col).alias("held_out"), text.alias("_text"), words_of(text).alias("_words"))
-    out = out.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: F.translate(x, SPACES, "") != ""))
-    without = lambda drop: F.length(F.translate("_text", drop, ""))
+    text = F.coalesce(named(text_col), F.lit(""))
+    out = docs.select(named(id_col).alias("_id"), held_out(id_col).alias("held_out"), text.alias("_text"), words_of(text).alias("_words"))
+    out = out.withColumn("_lines", lines_of(F.col("_text")))
+    without = lambda kind: length_without(F.col("_text"), kind)
     out = out.select(
         "_id", "held_out", without(SPACES).alias("chars"), F.length("_text").alias("all"), without(SYMBOLS).alias("plain"), without(UPPER).alias("low"),
         F.size("_lines").alias("lines"), F.size(F.array_distinct("_lines")).alias("own_lines"), F.size("_words").alias("words"), F.size(F.array_distinct("_words")).alias("own_words"),
@@ -122,7 +122,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     not looked at; no rows give no rows.
     """
     every = materialize(cells(docs, id_col, text_col), "cells")
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_lid")).agg(F.min(label_col).cast("int").alias("_y"))
+    known = labels.where(named(label_col).isNotNull() & named(id_col).isNotNull()).groupBy(named(id_col).alias("_lid")).agg(F.min(named(label_col)).cast("int").alias("_y"))
     train = every.where("not held_out")
     counted = train.join(known, F.col("_id") == F.col("_lid"), "left").groupBy("cell").agg(
         F.count_if(F.col("_y") == 1).alias("positive"), F.count_if(F.col("_y").isNull()).alias("unlabelled")

@@ -18,13 +18,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomlog.llm.base import SPACES, let, materialize, words_of
+from loomlog.llm.base import SPACES, every, length_without, let, lines_of, materialize, named, words_of
 
 #: Fixed values of the contract.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS = 20
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+UPPER = "A-Z"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("symbol_permille", "upper_permille", "dup_line_permille", "repeat_permille", "stutter_permille")
@@ -33,10 +33,6 @@ CUTOFFS = (10, 20, 50, 100, 150, 200, 300, 400, 500, 600, 700, 800, 900)
 MOST_STRATA = 10_000
 
 
-def _without(text: Column, drop: str) -> Column:
-    return F.length(F.translate(text, drop, ""))
-
-
 def _repeat_words(words: Column) -> Column:
     """Words in windows of WINDOW words found twice or more; windows compare by their 64-bit hashes."""
 
@@ -49,25 +45,28 @@ def _repeat_words(words: Column) -> Column:
         twice = let(tagged, lambda s: F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"])))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(F.sort_array(F.transform(twice, lambda x: x["i"])), covered))
 
-    each = F.transform(words, lambda w: F.xxhash64(w))
-    windows = let(each, lambda e: F.transform(F.sequence(F.lit(1), F.size(e) - WINDOW + 1), lambda i: F.xxhash64(F.slice(e, i, WINDOW))))
-    return F.when(F.size(words) <= WINDOW, 0).otherwise(let(windows, count))
+    def doubled(hashes: Column, by: int) -> Column:  # of runs twice as long; the last ones run over the end
+        return let(hashes, lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + by))))
+
+    windows = F.transform(words, lambda w: F.xxhash64(w))
+    for by in (1, 2, 4):
+        windows = doubled(windows, by)
+    return F.when(F.size(words) <= WINDOW, 0).otherwise(let(F.slice(windows, F.lit(1), F.size(words) - WINDOW + 1), count))
 
 
 def measure(docs: DataFrame, text_col: str, keep: Sequence[Column]) -> DataFrame:
     """``keep``, the base figures and the rules' metrics, all long. Needs no shuffle."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(named(text_col), F.lit(""))
     out = docs.select(*keep, text.alias("_text"), words_of(text).alias("_words"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    out = out.withColumn("_lines", lines)
+    out = out.withColumn("_lines", lines_of(F.col("_text")))
     whole = {
         "n_words": F.size("_words"),
-        "word_chars": _without(F.col("_text"), SPACES),
-        "n_symbols": F.length("_text") - _without(F.col("_text"), SYMBOLS),
+        "word_chars": length_without(F.col("_text"), SPACES),
+        "n_symbols": F.length("_text") - length_without(F.col("_text"), SYMBOLS),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": _repeat_words(F.col("_words")),
         "_n_lines": F.size("_lines"),
-        "_n_upper": F.length("_text") - _without(F.col("_text"), UPPER),
+        "_n_upper": F.length("_text") - length_without(F.col("_text"), UPPER),
         "_n_stutter": let(F.col("_words"), lambda w: F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1)))),
     }
     kept = [F.col(c) for c in out.columns if c not in ("_text", "_words", "_lines")]
@@ -113,10 +112,10 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     null id are judged but never in the holdout; repeated rows are each judged; an empty holdout certifies
     nothing. Other columns of docs, whatever their names, are only carried.
     """
-    row = F.struct(*[F.col(c) for c in docs.columns]) if keep_texts else F.struct(id_col)
-    keep = [row.alias("_row"), F.col(id_col).alias("_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("_lang")]
+    row = every(docs) if keep_texts else F.struct(named(id_col))
+    keep = [row.alias("_row"), named(id_col).alias("_id"), F.coalesce(named(stratum_col).cast("string"), F.lit("")).alias("_lang")]
     figures = materialize(measure(docs, text_col, keep), "quality-figures")
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_q")).where("_q = 1").select("_id")
+    good = labels.where(named(id_col).isNotNull()).groupBy(named(id_col).alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("_q")).where("_q = 1").select("_id")
     cuts = materialize(certified(figures.drop("_row"), good, "_lang", alpha, delta), "quality-cutoffs")
     small = F.broadcast(cuts) if cuts.count() <= MOST_STRATA else cuts
     out = figures.join(small, figures["_lang"] == small["_stratum"], "left")
