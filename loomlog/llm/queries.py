@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from loomlog.llm import decontaminate, licenses, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity
 from loomlog.llm.base import scratch, table
 
+#: With five rules, holdouts of about 150 good documents a stratum certify a cutoff at this rate; the default of 0.05 needs about 600.
+WIDE_ALPHA = 0.2
+
 
 def _counted(spark: SparkSession, sf_dir: str, *versions: str) -> DataFrame:
     """The totals of the whole table, reached by deltas: documents of over 20,000 characters are inserted with their first line and revised to
@@ -47,6 +50,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("_row.doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op2_quality_rules_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a false rejection rate that small holdouts can certify cutoffs for."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), alpha=WIDE_ALPHA)
+    return judged.select("_row.doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,8 +89,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op1_token_counts_whole, op2_quality_rules, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op1_token_counts_whole, op2_quality_rules, op2_quality_rules_wide, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality_sql(), "op5_secret_scan": oracles.secrets_sql(), "op1_token_counts_whole": oracles.token_counts_sql(), "op9_license_scan": oracles.licenses_sql()}
+    return {"op2_quality_rules": oracles.quality_sql(), "op2_quality_rules_wide": oracles.quality_sql(alpha=WIDE_ALPHA), "op5_secret_scan": oracles.secrets_sql(), "op1_token_counts_whole": oracles.token_counts_sql(), "op9_license_scan": oracles.licenses_sql()}

@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.llm import oracles, quality_classifier, quality_rules, queries
+from loomlog.llm import quality_classifier, quality_rules, queries
 
 SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
@@ -66,13 +67,24 @@ def test_cutoffs_are_certified_per_stratum(spark):
     assert quality_rules.judge(frame.limit(0), labels).count() == 0
 
 
-def test_query_equals_sql(spark):
+@pytest.mark.parametrize("name, sf", [("op2_quality_rules", SF), ("op2_quality_rules_wide", SF2)])
+def test_query_equals_sql(spark, name, sf):
     con = duckdb.connect()
     for t in ("documents", "labels"):
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    want = sorted(con.sql(oracles.quality_sql()).select("doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept").fetchall())
-    got = queries.op2_quality_rules(spark, SF)
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = sorted(con.sql(queries.oracle_sql()[name]).select("doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept").fetchall())
+    got = queries.queries()[name](spark, sf)
     assert sorted(tuple(r) for r in got.select("doc_id", *quality_rules.BASE, "base_failed", "kept").collect()) == want
+    if name == "op2_quality_rules_wide":  # cutoffs are certified, and reject more than the base rules
+        assert sum(not kept and not failed for *_, failed, kept in want) > 20
+
+
+def test_repeated_rows_are_each_judged(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", 1)] * 3 + [(None, None, None, None)] * 2, "doc_id long, text string, lang string, `a.b` int")
+    labels = spark.createDataFrame([(1, 1), (1, 1)], "doc_id long, quality int")
+    rows = quality_rules.judge(docs, labels, keep_texts=True).collect()
+    assert sorted((r["n_words"], r["kept"]) for r in rows) == [(0, False)] * 2 + [(2, False)] * 3
+    assert rows[0]["_row"].asDict().keys() == {"doc_id", "text", "lang", "a.b"}
 
 
 def test_classifier_on_held_out_rows(spark):
@@ -92,6 +104,57 @@ def test_classifier_learns_only_from_positives_of_the_training_folds(spark):
     assert key(labels) == key(flipped)
 
 
+def plain_risk(w, rows, prior, ridge=1e-3):
+    """rows: (features, positives, unlabelled); logistic loss, summed one document group at a time."""
+    n_p, n_u = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    as_positive = as_negative = on_unlabelled = 0.0
+    for x, p, u in rows:
+        z = sum(a * b for a, b in zip(x, w, strict=True))
+        as_positive += p / n_p * math.log1p(math.exp(-z))
+        as_negative += p / n_p * math.log1p(math.exp(z))
+        on_unlabelled += u / n_u * math.log1p(math.exp(z))
+    negative = on_unlabelled - prior * as_negative
+    return prior * as_positive + max(0.0, negative) + ridge / 2 * sum(a * a for a in w), negative
+
+
+def test_risk_is_least_at_the_weights_found():
+    rng = np.random.default_rng(3)
+    rows = [((float(a), float(b), 1.0), int(rng.integers(1, 9)) * (1 + 20 * a), int(rng.integers(1, 9)) * (1 + 5 * (1 - a) + 4 * a)) for a in (0, 1) for b in (0, 1)]
+    x, positive, unlabelled = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], float)
+    w = quality_classifier.non_negative_risk(x, positive, unlabelled, 0.4)
+    best, negative = plain_risk(w, rows, 0.4)
+    assert negative > 0
+    for _ in range(200):
+        assert plain_risk(w + rng.normal(0, 0.3, 3), rows, 0.4)[0] >= best - 1e-4
+    assert not quality_classifier.non_negative_risk(x, positive * 0, unlabelled, 0.4).any()
+
+
+def test_negative_part_is_not_driven_below_zero():
+    x, positive, unlabelled = np.eye(3), np.array([5.0, 1, 0]), np.array([5.0, 2, 3])
+    w = quality_classifier.non_negative_risk(x, positive, unlabelled, 0.9)  # a prior too high for these counts
+    assert plain_risk(w, list(zip(x.tolist(), positive, unlabelled, strict=True)), 0.9)[1] > -0.05
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior_is_near_the_share_of_positives(share):
+    x = np.hstack([np.eye(4), np.ones((4, 1))])
+    of_positives, of_negatives = np.array([0.7, 0.2, 0.09, 0.01]), np.array([0.01, 0.04, 0.15, 0.8])
+    n = 50_000
+    unlabelled = n * (share * of_positives + (1 - share) * of_negatives)
+    assert quality_classifier.class_prior(x, n * of_positives, unlabelled) == pytest.approx(share, abs=0.03)
+    ratio = [sum(unlabelled[: k + 1]) / n / sum(of_positives[: k + 1]) for k in range(4)]  # cells by falling odds
+    assert min(abs(quality_classifier.class_prior(x, n * of_positives, unlabelled) - r) for r in ratio) < 1e-9
+    assert quality_classifier.class_prior(x, np.zeros(4), unlabelled) == 0.5
+
+
+def test_classifier_on_very_long_texts(spark):
+    long = " ".join(f"word{k}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, long), (2, "# " * 300_000), (3, "plain words here")], "doc_id long, text string")
+    got = {r["_id"]: r["cell"] for r in quality_classifier.cells(docs, "doc_id", "text").collect()}
+    assert len(got) == 3 and len(set(got.values())) == 3
+    assert all(0 <= c < 5**7 for c in got.values())
+
+
 def test_classifier_edge_cases(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "", 3), (2, "a b c", 4)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1)], "doc_id long, quality int")
