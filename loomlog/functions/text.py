@@ -74,7 +74,7 @@ def path_normalize(text: Column, module_index: int = 0) -> Column:
     prefix = rf"^\s*(?:\S+\s+){{{module_index - 1}}}\S+" if module_index else "^"
     before = F.regexp_extract(text, prefix, 0)
     rest = F.ltrim(F.substring(text, F.length(before) + 1, F.length(text)))
-    header = F.regexp_extract(rest, f"^(?:{_TAG})*", 0)
+    header = F.regexp_extract(rest, f"^(?:{_TAG})*+", 0)  # possessive: a loop, however many tags
 
     def clean(tag: Column) -> Column:
         inner = F.replace(F.trim(F.lower(F.regexp_extract(tag, r"^\[([^\]]*)\]", 1))), F.lit(" "), F.lit("_"))
@@ -145,7 +145,7 @@ def extract_numbers(text: Column) -> Column:
 def parse_duration(text: Column) -> Column:
     """Whole seconds of ``10s``, ``5m``, ``2h`` or ``7``; null for anything else."""
     clean = F.lower(F.trim(text))
-    pattern = r"^(\d*\.?\d+)\s*([smh]?)$"
+    pattern = r"^(\d*\.?\d+)\s*([smh]?)$"  # fixed value: a number and its unit
     unit = F.regexp_extract(clean, pattern, 2)
     factor = F.when(unit == "m", 60).when(unit == "h", 3600).otherwise(1)
     return F.when(clean.rlike(pattern), F.floor(F.regexp_extract(clean, pattern, 1).try_cast("double") * factor).cast("int"))

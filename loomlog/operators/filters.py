@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from loomlog.functions import text as T
 from loomlog.model import ALL, OFF, level_number
 from loomlog.operators.order import read_since
+from loomlog.storage import materialize
 
-#: Effective levels of more modules than this are joined by shuffle instead of broadcast.
-MOST_BROADCAST = 1_000_000
+#: Effective levels of more bytes than this are joined by shuffle instead of broadcast.
+MOST_BROADCAST_BYTES = 32_000_000
 
 
 def filter_level(logs: DataFrame, min_level: int | str) -> DataFrame:
@@ -56,14 +57,16 @@ def effective_levels(modules: DataFrame, overrides: DataFrame, default_level: in
     return nearest.select("device", "module", F.coalesce("_level", F.lit(default)).alias("min_level"))
 
 
-def filter_module_levels(logs: DataFrame, overrides: DataFrame, default_level: int | str = ALL) -> DataFrame:
+def filter_module_levels(logs: DataFrame, overrides: DataFrame, default_level: int | str = ALL, known: DataFrame | None = None) -> DataFrame:
     """Rows at or above their module's effective level; OFF lets nothing through.
 
-    ``overrides`` has device, module, enabled, level. Levels are resolved on the distinct modules, not on the rows.
+    ``overrides`` has device, module, enabled, level. Levels are resolved on the distinct modules, not on the rows, and written once. ``known`` is
+    a table of all modules (device, module); where it is given, the rows are not read for them, so ``logs`` may be a stream.
     """
-    limits = effective_levels(logs.select("device", "module").distinct(), overrides, default_level)
-    limits = limits.withColumnsRenamed({"device": "_d", "module": "_m"})
-    if limits.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    found = logs.select("device", "module") if known is None else known.select("device", "module")
+    limits = materialize(effective_levels(found.distinct(), overrides, default_level).withColumnsRenamed({"device": "_d", "module": "_m"}), "levels")
+    size = limits.agg(F.sum(F.octet_length("_d") + F.octet_length("_m") + 48)).first()[0] or 0
+    if size <= MOST_BROADCAST_BYTES:
         limits = F.broadcast(limits)
     out = logs.join(limits, (F.col("device") == F.col("_d")) & (F.col("module") == F.col("_m")))
     return out.where((F.col("level") >= F.col("min_level")) & (F.col("min_level") < OFF)).select(*logs.columns)
@@ -78,6 +81,7 @@ class LogFilter:
     children: bool = False
     level: int | str = ALL
     overrides: DataFrame | None = None
+    known_modules: DataFrame | None = None
     after_seq: int | None = None
 
 
@@ -91,7 +95,7 @@ def apply_filter(logs: DataFrame, log_filter: LogFilter) -> DataFrame:
     elif log_filter.device is not None:
         out = filter_device(out, log_filter.device)
     if log_filter.overrides is not None:
-        out = filter_module_levels(out, log_filter.overrides)
+        out = filter_module_levels(out, log_filter.overrides, known=log_filter.known_modules)
     return out
 
 

@@ -40,11 +40,20 @@ def watch_latest(logs: DataFrame, watches: DataFrame) -> DataFrame:
     return out.select("watch", "position", "kind", "label", F.when(F.col("kind") == "row", F.coalesce("_value", F.lit(NOTHING))).alias("value"))
 
 
-def value_changes(logs: DataFrame) -> DataFrame:
-    """The rows whose message differs from the one before in their module; the first row counts."""
-    order = Window.partitionBy("device", "module").orderBy("seq")
-    before = logs.withColumn("_before", F.lag("message").over(order))
-    return before.where(~F.col("message").eqNullSafe(F.col("_before")) | F.col("_before").isNull()).drop("_before")
+def value_changes(logs: DataFrame, block: int = 1_000_000) -> DataFrame:
+    """The rows whose message differs from the one before in their module; the first row counts.
+
+    Rows of one ``seq`` go by ``kv_pos`` where there is one. Modules are cut into blocks of ``seq``, and the last message of the block before is carried over, so that a
+    busy module is not one task.
+    """
+    place = [c for c in ("seq", "kv_pos") if c in logs.columns]
+    rows = logs.withColumn("_block", F.floor(F.col("seq") / block))
+    key = ["device", "module", "_block"]
+    last = rows.groupBy(*key).agg(F.max(F.struct(*place, F.struct("message").alias("m"))).alias("_l"))
+    carried = last.select(*key, F.lag("_l.m").over(Window.partitionBy("device", "module").orderBy("_block")).alias("_carried"))
+    inside = F.lag(F.struct("message")).over(Window.partitionBy(*key).orderBy(*place))
+    before = rows.withColumn("_inside", inside).join(carried, key).withColumn("_before", F.coalesce("_inside", "_carried")["message"])
+    return before.where(~F.col("message").eqNullSafe(F.col("_before")) | F.col("_before").isNull()).select(*logs.columns)
 
 
 def last_change(logs: DataFrame) -> DataFrame:
@@ -82,7 +91,14 @@ def overload_periods(logs: DataFrame, limit_per_sec: int = 1000, burst_seconds:
     ``burst_seconds`` later the rate is still over. A second at or below the limit ends the run; missing seconds hold nothing.
     """
     per = logs.groupBy(F.expr("timestamp_ns div 1000000000").alias("s")).agg(F.count("*").alias("n")).where(F.col("n") > min(limit_per_sec, instant_cap))
-    order = Window.orderBy("s")  # a row a busy second
-    island = per.withColumn("_new", (F.col("s") - F.lag("s").over(order) > 1).cast("int")).withColumn("_g", F.sum(F.coalesce("_new", F.lit(1))).over(order))
-    runs = island.groupBy("_g").agg(F.min("s").alias("start_s"), F.max("s").alias("end_s"), F.max("n").alias("peak"), F.sum("n").alias("rows"))
-    return runs.where((F.col("peak") > instant_cap) | (F.col("end_s") - F.col("start_s") >= burst_seconds)).drop("_g")
+    # consecutive seconds, day by day; runs that touch midnight, two a day at most, are then joined over days
+    day = F.floor(F.col("s") / 86_400)
+    numbered = per.withColumn("_day", day).withColumn("_g", F.col("s") - F.row_number().over(Window.partitionBy("_day").orderBy("s")))
+    parts = numbered.groupBy("_day", "_g").agg(F.min("s").alias("start_s"), F.max("s").alias("end_s"), F.max("n").alias("peak"), F.sum("n").alias("rows")).drop("_day", "_g")
+    midnight = (F.col("start_s") % 86_400 == 0) | ((F.col("end_s") + 1) % 86_400 == 0)
+    order = Window.orderBy("start_s")
+    new = F.coalesce((F.col("start_s") - F.lag("end_s").over(order) > 1).cast("int"), F.lit(1))
+    touching = parts.where(midnight).withColumn("_new", new).withColumn("_g", F.sum("_new").over(order))
+    joined = touching.groupBy("_g").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.max("peak").alias("peak"), F.sum("rows").alias("rows")).drop("_g")
+    runs = parts.where(~midnight).unionByName(joined)
+    return runs.where((F.col("peak") > instant_cap) | (F.col("end_s") - F.col("start_s") >= burst_seconds))

@@ -13,25 +13,30 @@ from loomlog.model import ERROR, INFO, UNKNOWN, is_level
 def split_lines(chunks: DataFrame, sep: int = 10, block: int = 10_000) -> DataFrame:
     """``source, line_no, timestamp_ns, raw``: payloads of each source joined in ``chunk_seq`` order and cut at the byte ``sep``.
 
-    A line has the timestamp of the chunk that holds its separator. Empty lines go, and so does the unterminated tail.
-    Separators are counted by blocks of ``block`` chunks first, so that one large source is not one task.
+    A line has the timestamp of the chunk that holds its separator; ``line_no`` counts separators from 0. Empty lines go, and so does the
+    unterminated tail; a null source is a source like any other. Separators are counted by blocks of ``block`` chunks first, so that one large
+    source is not one task. Lines inside one chunk go on as they are; only those that run over chunks are put together, and tails never are.
     """
     cut = {0: r"\x00"}.get(sep, f"\\x{sep:02X}")
-    parts = F.split(F.decode("payload", T.LATIN), cut, -1)
-    counted = chunks.select("source", "chunk_seq", "timestamp_ns", parts.alias("_parts"), F.floor(F.col("chunk_seq") / block).alias("_block"))
-    counted = counted.withColumn("_cuts", (F.size("_parts") - 1).cast("long"))
-    blocks = counted.groupBy("source", "_block").agg(F.sum("_cuts").alias("_n"))
-    earlier = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("source", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_block").orderBy("chunk_seq").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("_here", F.coalesce(F.sum("_cuts").over(inside), F.lit(0))).join(blocks, ["source", "_block"])
-    pieces = placed.select("source", "chunk_seq", "timestamp_ns", "_cuts", (F.col("_before") + F.col("_here")).alias("_first"), F.posexplode("_parts").alias("_i", "_piece"))
-    lines = pieces.groupBy("source", (F.col("_first") + F.col("_i")).alias("line_no")).agg(
+    text = F.decode("payload", T.LATIN)
+    # a struct of the source can be a key even where the source is null
+    counted = chunks.select(F.struct("source").alias("_key"), "chunk_seq", "timestamp_ns", text.alias("_text"), F.floor(F.col("chunk_seq") / block).alias("_block"))
+    counted = counted.withColumn("_cuts", (F.length("_text") - F.length(F.translate("_text", chr(sep), ""))).cast("long"))
+    blocks = counted.groupBy("_key", "_block").agg(F.sum("_cuts").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_block")
+    upto, total = F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.sum("_n").over(Window.partitionBy("_key"))
+    blocks = blocks.select("_key", "_block", (upto - F.col("_n")).alias("_before"), total.alias("_total"))
+    inside = Window.partitionBy("_key", "_block").orderBy("chunk_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counted.withColumn("_here", F.sum("_cuts").over(inside) - F.col("_cuts")).join(blocks, ["_key", "_block"])
+    pieces = placed.select("_key", "chunk_seq", "timestamp_ns", "_cuts", "_total", (F.col("_before") + F.col("_here")).alias("_first"), F.posexplode(F.split("_text", cut, -1)).alias("_i", "_piece"))
+    pieces = pieces.withColumn("line_no", F.col("_first") + F.col("_i")).where("line_no < _total")
+    own = pieces.where("_i > 0 and _i < _cuts").select("_key", "line_no", "timestamp_ns", F.col("_piece").alias("_line"))
+    parts = pieces.where("_i = 0 or _i = _cuts").groupBy("_key", "line_no").agg(
         F.max(F.struct("chunk_seq", "timestamp_ns")).alias("_last"),
-        F.bool_or(F.col("_i") < F.col("_cuts")).alias("_ended"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_seq", "_i", "_piece"))), lambda x: x["_piece"]), "").alias("_line"),
     )
-    return lines.where("_ended and _line <> ''").select("source", "line_no", F.col("_last.timestamp_ns").alias("timestamp_ns"), F.encode("_line", T.LATIN).alias("raw"))
+    lines = own.union(parts.select("_key", "line_no", "_last.timestamp_ns", "_line"))
+    return lines.where("_line <> ''").select("_key.source", "line_no", "timestamp_ns", F.encode("_line", T.LATIN).alias("raw"))
 
 
 def parse_time(text: Column) -> Column:
@@ -51,9 +56,8 @@ def parse_line(lines: DataFrame, device: str | Column, *, time_index: int | None
     keep = [c for c in lines.columns if c not in ("timestamp_ns", "device", "module", "level", "message", "_error", line_col)]
     name = F.lit(device) if isinstance(device, str) else device
     text = F.coalesce(F.col(line_col), F.lit(""))
-    # step by step, so that the words are cut once a row
     rows = lines.select(*keep, F.col("timestamp_ns").alias("_chunk_ns"), T.normalize_device(name).alias("device"), text.alias("_text"))
-    rows = rows.withColumn("_words", F.split(F.regexp_replace("_text", r"(?U)^\s+", ""), r"\s+", message_index + 1))
+    rows = rows.withColumn("_words", F.split(F.regexp_replace("_text", r"(?U)^\s+", ""), r"(?U)\s+", message_index + 1))
     word = lambda k: F.try_element_at("_words", F.lit(k + 1))
     rows = rows.select(
         *keep, "_chunk_ns", "device", "_text",
@@ -63,7 +67,8 @@ def parse_line(lines: DataFrame, device: str | Column, *, time_index: int | None
         (F.col("_chunk_ns") if time_index is None else parse_time(word(time_index))).alias("_time"),
     )
     bad = F.col("message").isNull() | F.col("level").isNull() | F.col("module").isNull() | F.col("_time").isNull()
-    return rows.select(*keep, F.when(bad, F.col("_chunk_ns")).otherwise(F.col("_time")).alias("timestamp_ns"), "device", "module", "level", "message", F.when(bad, F.col("_text")).alias("_error"))
+    row = F.struct(F.when(bad, F.col("_chunk_ns")).otherwise(F.col("_time")).alias("timestamp_ns"), "device", "module", "level", "message", F.when(bad, F.col("_text")).alias("_error"))
+    return rows.select(*keep, F.inline(F.array(row)))  # a filter on what is parsed stays behind this, so that lines are parsed once
 
 
 def route_errors(rows: DataFrame, ignore_invalid: bool = False) -> DataFrame:

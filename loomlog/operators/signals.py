@@ -37,42 +37,55 @@ def _turned(digits: Column) -> Column:
     return F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])
 
 
-def _with_raw(rows: DataFrame) -> DataFrame:
-    """Adds ``_raw``, the signal's number before scaling; null where there is no entry or the payload is too short."""
-    bit = F.col("start_bit") % 8
-    eight = _eight(F.floor(F.col("start_bit") / 8).cast("int"))
-    rows = rows.withColumn("_short", _last_byte() >= F.octet_length("data"))
-    rows = rows.withColumn("_digits", F.when(~F.col("_short"), eight))
-    rows = rows.withColumn("_digits", F.when(F.col("little_endian"), _turned(F.col("_digits"))).otherwise(F.col("_digits")))
-    # in big-endian order bit 7 of the first byte is the top of the 64
-    shift = F.when(F.col("little_endian"), bit).otherwise(57 + bit - F.col("bit_len")).cast("int")
-    rows = rows.withColumn("_bits", F.call_function("shiftrightunsigned", _number(F.col("_digits")), shift))
-    mask = F.when(F.col("bit_len") >= 64, F.lit(-1)).otherwise(F.expr("shiftleft(1L, bit_len) - 1"))
-    rows = rows.withColumn("_bits", F.col("_bits").bitwiseAND(mask))
-    negative = F.col("signed") & (F.col("bit_len") < 64) & (F.call_function("shiftrightunsigned", F.col("_bits"), F.col("bit_len") - 1) == 1)
-    return rows.withColumn("_raw", F.when(negative, F.col("_bits") - F.expr("shiftleft(1L, bit_len)")).otherwise(F.col("_bits")))
-
-
-def _last_byte() -> Column:
+def _raw(at: str = "") -> Column:
+    """A signal's number before scaling, from its layout in the columns ``<at>start_bit`` and so on; null where the payload is too short."""
+    start, size, little = (F.col(f"{at}{c}") for c in ("start_bit", "bit_len", "little_endian"))
+    digits = F.when(_last_byte(at) < F.octet_length("data"), _eight(F.floor(start / 8).cast("int")))
+
+    def number(own: Column) -> Column:
+        # in big-endian order bit 7 of the first byte is the top of the 64
+        shift = F.when(little, start % 8).otherwise(57 + start % 8 - size).cast("int")
+        mask = F.when(size >= 64, F.lit(-1)).otherwise(F.expr(f"shiftleft(1L, {at}bit_len) - 1"))
+        bits = F.call_function("shiftrightunsigned", _number(F.when(little, _turned(own)).otherwise(own)), shift).bitwiseAND(mask)
+        return F.element_at(F.transform(F.array(bits), signed), 1)
+
+    def signed(bits: Column) -> Column:
+        negative = F.col(f"{at}signed") & (size < 64) & (F.call_function("shiftrightunsigned", bits, size - 1) == 1)
+        return F.when(negative, bits - F.expr(f"shiftleft(1L, {at}bit_len)")).otherwise(bits)
+
+    return F.element_at(F.transform(F.array(digits), number), 1)
+
+
+def _last_byte(at: str = "") -> Column:
     """The last byte a signal needs."""
-    little = F.floor((F.col("start_bit") + F.col("bit_len") - 1) / 8)
-    big = F.floor(F.col("start_bit") / 8) + F.floor((7 - F.col("start_bit") % 8 + F.col("bit_len") - 1) / 8)
-    return F.when(F.col("little_endian"), little).otherwise(big)
+    start, size = F.col(f"{at}start_bit"), F.col(f"{at}bit_len")
+    little = F.floor((start + size - 1) / 8)
+    big = F.floor(start / 8) + F.floor((7 - start % 8 + size - 1) / 8)
+    return F.when(F.col(f"{at}little_endian"), little).otherwise(big)
+
+
+def _with_switches(signal_dict: DataFrame) -> DataFrame:
+    """The dictionary with the layout of each signal's multiplexer in ``_mux_*``: that of the message's signal named ``mux_signal``, or ``mux``."""
+    name = F.coalesce("mux_signal", F.lit("mux")) if "mux_signal" in signal_dict.columns else F.lit("mux")
+    layout = ("start_bit", "bit_len", "little_endian", "signed")
+    switch = signal_dict.select(F.col("frame_id").alias("_f"), F.col("signal").alias("_s"), *[F.col(c).alias(f"_mux_{c}") for c in layout])
+    own = signal_dict.withColumn("_name", F.when(F.col("mux_value").isNotNull(), name))
+    return own.join(switch, (own["frame_id"] == switch["_f"]) & (own["_name"] == switch["_s"]), "left").drop("_f", "_s", "_name")
 
 
 def decode_signals(frames: DataFrame, signal_dict: DataFrame, unmapped_policy: str = "report") -> DataFrame:
     """A row for each signal of each frame: the frame's columns, msg_name, signal, value, text, is_float, ``_error``.
 
     ``unmapped_policy`` says what becomes of frames without an entry: ``report`` (a row ``unmapped``), ``ignore`` (none), ``strict`` (an error
-    row, see ``route_errors``). A payload too short gives a row ``error``. Signals with ``mux_value`` count only where the
-    message's signal ``mux`` (of that name) has that value. A signal must lie within eight bytes from its first.
+    row, see ``route_errors``). A payload too short gives a row ``error``. Signals with ``mux_value`` count only where their multiplexer, the message's
+    signal named by the dictionary's column ``mux_signal`` (without it, or where it is null, ``mux``), has that number. A signal must lie within eight bytes from its first.
     """
     if unmapped_policy not in ("report", "ignore", "strict"):
         raise ValueError(f"unknown policy {unmapped_policy!r}; known: report, ignore, strict")
-    n = signal_dict.count()
-    known = F.broadcast(signal_dict) if n <= MOST_BROADCAST else signal_dict
+    known = _with_switches(signal_dict)
+    known = F.broadcast(known) if signal_dict.count() <= MOST_BROADCAST else known
     joined = frames.join(known, frames["arbitration_id"] == known["frame_id"], "inner" if unmapped_policy == "ignore" else "left")
-    joined = _with_raw(joined)
+    joined = joined.where(F.col("mux_value").isNull() | (_raw("_mux_") == F.col("mux_value"))).withColumns({"_short": _last_byte() >= F.octet_length("data"), "_raw": _raw()})
     unmapped, short, raw = F.col("frame_id").isNull(), F.coalesce("_short", F.lit(False)), F.col("_raw")
     named = F.element_at("choices", raw)
     linear = (F.col("factor") == F.floor("factor")) & (F.col("offset") == F.floor("offset"))
@@ -81,16 +94,10 @@ def decode_signals(frames: DataFrame, signal_dict: DataFrame, unmapped_policy: s
     text = F.when(unmapped, frame_text()).when(short, F.concat(frame_text(), F.lit(" | Decoding error: payload too short"))).otherwise(F.coalesce(named, whole))
     signal = F.when(unmapped, "unmapped").when(short, "error").otherwise(F.col("signal"))
     strict = unmapped if unmapped_policy == "strict" else F.lit(False)
-    out = joined.select(
+    return joined.select(
         *[frames[c] for c in frames.columns], F.coalesce("msg_name", F.lit("")).alias("msg_name"), signal.alias("signal"), F.when(~unmapped & ~short, value).alias("value"), text.alias("text"),
-        (~unmapped & ~short & ~linear & named.isNull()).alias("is_float"), F.when(strict, text).alias("_error"), F.col("mux_value").alias("_mux"), raw.alias("_raw"),
+        (~unmapped & ~short & ~linear & named.isNull()).alias("is_float"), F.when(strict, text).alias("_error"),
     )
-    if signal_dict.where("mux_value is not null").isEmpty():
-        return out.drop("_mux", "_raw")
-    switch = out.where("signal = 'mux'").select(*[F.col(c).alias(f"_s_{c}") for c in ("source", "frame_seq") if c in frames.columns], F.col("_raw").alias("_switch"))
-    same = [out[c] == switch[f"_s_{c}"] for c in ("source", "frame_seq") if c in frames.columns]
-    plain, muxed = out.where("_mux is null"), out.where("_mux is not null").join(switch, same, "left").where("_mux = _switch")
-    return plain.unionByName(muxed.select(*plain.columns)).drop("_mux", "_raw")
 
 
 def signals_to_logs(signals: DataFrame, device: str, prepend_msg_name: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from loomlog.functions import text as T
 from loomlog.operators import lines as L
 from loomlog.operators import order, signals
+from loomlog.storage import materialize
+from loomlog.streaming.stateful import split_lines_stream
 
 #: A step takes a column and its options; ``reads`` and ``gives`` are ``bytes`` or ``text``.
 STEPS: dict[str, tuple[Callable[..., Column], str, str]] = {}
@@ -64,7 +66,8 @@ PRESETS = {
 def build_pipeline(spec: dict) -> Callable[..., DataFrame]:
     """A function from an input table to log rows. ``spec``: ``type`` (a preset), ``device``, and options over the preset's.
 
-    Frames need a ``signal_dict`` table in the spec. Stages that leave a line empty drop it.
+    Frames need a ``signal_dict`` table in the spec. A line that cleaning, decoding or the steps leave empty is dropped. Chunks may be a stream; lines that run over
+    chunks are then state of their source (see ``loomlog.streaming.stateful``).
     """
     options = dict(spec)
     name = str(options.pop("type", "default")).lower()
@@ -76,14 +79,19 @@ def build_pipeline(spec: dict) -> Callable[..., DataFrame]:
     own = {"ignore_invalid": False} | PRESETS[name] | options
     device = own["device"].lower()
 
+    def split(chunks: DataFrame) -> DataFrame:
+        if own["split"] is None:
+            return chunks.withColumnsRenamed({"payload": "raw", "chunk_seq": "line_no"})
+        return (split_lines_stream if chunks.isStreaming else L.split_lines)(chunks, own["split"])
+
     def text(chunks: DataFrame) -> DataFrame:
-        rows = chunks.withColumnsRenamed({"payload": "raw", "chunk_seq": "line_no"}) if own["split"] is None else L.split_lines(chunks, own["split"])
-        column = F.col("raw")
-        stages = [lambda c: T.printable(c, **own["printable"])] if own["printable"] is not None else []
-        for stage in (*stages, lambda c: T.decode_bytes(c, **own["decode"]), lambda c: transform_steps(c, own["steps"])):
-            column = stage(column)
-        plain = T.decode_bytes(F.col("raw"), "ascii")
-        rows = rows.withColumn("line", F.coalesce(column, plain)).withColumn("_bad", column.isNull()).where("line <> ''")
+        rows = split(chunks)
+        keep = [F.col(c) for c in rows.columns if c not in ("line", "_bad")]
+        clean = F.col("raw") if own["printable"] is None else T.printable(F.col("raw"), **own["printable"])
+        rows = rows.withColumn("_clean", clean).withColumn("_text", T.decode_bytes(F.col("_clean"), **own["decode"])).withColumn("_final", transform_steps(F.col("_text"), own["steps"]))
+        plain = F.coalesce("_final", T.decode_bytes(F.col("raw"), "ascii"))
+        left = (F.octet_length("_clean") > 0) & F.coalesce(F.col("_text") != "", F.lit(True)) & (plain != "")
+        rows = rows.select(*keep, F.inline(F.array(F.struct(F.when(left, plain).alias("line"), F.col("_final").isNull().alias("_bad"))))).where("line is not null")
         parsed = L.default_rows(rows, device).withColumn("_error", F.lit(None).cast("string")) if own["parse"] is None else L.parse_line(rows, device, **own["parse"])
         parsed = parsed.withColumn("_error", F.coalesce("_error", F.when(F.col("_bad"), F.col("message")))).drop("_bad", "raw")
         return L.route_errors(parsed, own["ignore_invalid"])
@@ -101,19 +109,28 @@ def build_pipeline(spec: dict) -> Callable[..., DataFrame]:
     return {"text": text, "records": records, "frames": frames, "key_value": key_value}[own["kind"]]
 
 
-def run_topology(spec: dict[str, dict], inputs: dict[str, DataFrame], order_cols: tuple[str, ...] = ("timestamp_ns", "device", "module", "message")) -> DataFrame:
+#: What tells rows apart in one order, as far as inputs have it.
+PLACES = ("source", "chunk_seq", "frame_seq", "line_no", "kv_pos")
+
+
+def run_topology(spec: dict[str, dict], inputs: dict[str, DataFrame], order_cols: tuple[str, ...] | None = None) -> DataFrame:
     """Runs several pipelines and merges their rows in one order with ``seq``.
 
-    ``spec``: name -> pipeline spec with ``sources``, a list of inputs or of pipelines named before (a key-value pipeline reads those).
-    ``order_cols`` must tell all rows apart for ``seq`` to be the same on every run.
+    ``spec``: name -> pipeline spec with ``sources``, a list of inputs or of pipelines named before (a key-value pipeline reads those; what is
+    read again is written once). Rows go by time, then by their place in the input (``PLACES``), then by device, module, level and message, or by
+    ``order_cols``, which must tell all rows apart for ``seq`` to be the same on every run.
     """
     done: dict[str, DataFrame] = {}
+    read_again = {s for one in spec.values() for s in one["sources"]}
     for name, one in spec.items():
         own = dict(one)
         missing = [s for s in own["sources"] if s not in inputs and s not in done]
         if missing:
             raise ValueError(f"{name}: unknown sources {missing}")
         parts = [done.get(s, inputs.get(s)) for s in own.pop("sources")]
-        done[name] = build_pipeline(own)(order.merge_logs(*parts))
+        out = build_pipeline(own)(order.merge_logs(*parts))
+        done[name] = materialize(out, "pipeline") if name in read_again else out
     columns = ["timestamp_ns", "device", "module", "level", "message"]
-    return order.assign_seq(order.merge_logs(*[x.select(*columns) for x in done.values()]), order_cols)
+    places = [c for c in PLACES if any(c in x.columns for x in done.values())]
+    merged = order.merge_logs(*[x.select(*columns, *[c for c in places if c in x.columns]) for x in done.values()])
+    return order.assign_seq(merged, order_cols or ("timestamp_ns", *places, "device", "module", "level", "message"))

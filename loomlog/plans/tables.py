@@ -38,6 +38,26 @@ def chunks(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
     return cut.select(F.col("doc_id").cast("string").alias("source"), "chunk_seq", (F.col("doc_id") * 1_000_000 + F.col("chunk_seq")).alias("timestamp_ns"), F.encode(piece, "UTF-8").alias("payload"))
 
 
+def _little_endian(number, size: int):
+    digits = F.lpad(F.hex(number), 2 * size, "0")
+    return F.concat(*[F.substring(digits, k, 2) for k in range(2 * size - 1, 0, -2)])
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of each document as one capture part, ``source, part, content``, with a record cut short at the end."""
+    record = F.concat(F.lit("A5010100"), _little_endian(F.octet_length("payload"), 4), _little_endian(F.col("timestamp_ns"), 8), F.hex("payload"))
+    parts = chunks(spark, sf_dir).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("chunk_seq", record.alias("r")))).alias("_r"))
+    return parts.select("source", F.lit(0).alias("part"), F.unhex(F.concat(F.array_join("_r.r", ""), F.lit("A501"))).alias("content"))
+
+
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The device lines, without their times and with an unknown level for errors, from twenty sources, each line in two chunks."""
+    rows = raw_lines(spark, sf_dir).withColumn("line", F.regexp_replace(F.regexp_replace("line", r"^\S+ ", ""), "^E ", "? "))
+    halves = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.substring("line", 1, 10).alias("p")), F.struct(F.lit(1).alias("k"), F.concat(F.substring("line", 11, 1000), F.lit("\r\n")).alias("p"))))
+    cut = rows.select((F.col("seq") % 20).cast("string").alias("source"), "seq", "timestamp_ns", halves.alias("_h"))
+    return cut.select("source", (2 * F.col("seq") + F.col("_h.k")).alias("chunk_seq"), "timestamp_ns", F.encode("_h.p", "UTF-8").alias("payload"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as bus frames of eight bytes: user, cents, k and a negative number."""
     return _events(spark, sf_dir).selectExpr(
@@ -59,6 +79,15 @@ def signal_dict(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, SIGNALS)
 
 
+def switched_signals(spark: SparkSession) -> DataFrame:
+    """Signals of the frames' first two bytes that count only for certain values of ``k``."""
+    rows = [
+        (256, "event", "k", 48, 8, True, False, 1.0, 0.0, None, None, None), (256, "event", "low", 0, 8, True, False, 1.0, 0.0, None, 7, "k"),
+        (256, "event", "high", 8, 8, True, False, 1.0, 0.0, None, 8, "k"), (256, "event", "never", 0, 8, True, False, 1.0, 0.0, None, 7, "none"),
+    ]
+    return spark.createDataFrame(rows, f"{SIGNALS}, mux_signal string")
+
+
 def overrides(spark: SparkSession) -> DataFrame:
     rows = [("dev0", "", True, 20), ("dev0", "app", False, 0), ("dev0", "app.click", True, 5), ("dev1", "app.error", True, 50), ("dev2", "app", True, 30), ("dev3", "", False, 0)]
     return spark.createDataFrame(rows, "device string, module string, enabled boolean, level int")

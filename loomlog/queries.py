@@ -16,6 +16,7 @@ from loomlog.sources import capture, session_log
 from loomlog.sources.stream import stream_chunks
 from loomlog.storage import scratch
 from loomlog.streaming.fan_out import fan_out
+from loomlog.streaming.stateful import state_store
 
 #: The log table in SQL; every oracle starts with it.
 LOGS = """logs as (
@@ -66,6 +67,22 @@ def _(spark, d):
     return session_log.parse_session_lines(rows).where("_error is null").drop("_error")
 
 
+@query("s1_read_raw_capture", """select cast(doc_id as varchar) as source, i as chunk_seq, doc_id * 1000000 + i as timestamp_ns, 1 as kind, substr(t, i * 64 + 1, 64) as piece, null::bigint as bad_offset
+  from (select doc_id, t, unnest(range(0, (length(t) - 1) // 64 + 1)) as i from texts)
+  union all select cast(doc_id as varchar), (length(t) - 1) // 64 + 1, null, null, null, strlen(t) + 16 * ((length(t) - 1) // 64 + 1) from texts""",
+  "texts as (select doc_id, concat(coalesce(text, ''), chr(10)) as t from documents)")
+def _(spark, d):
+    out = capture.parse_captures(tables.captures(spark, d))
+    return out.select("source", "chunk_seq", "timestamp_ns", "kind", F.col("payload").cast("string").alias("piece"), "bad_offset")
+
+
+@query("s2_read_byte_file", """select cast(doc_id as varchar) as source, i as chunk_seq, 5 + i * 1000000000 // 48000 as timestamp_ns, substr(h, (i % n) * 128 + 1, 128) as hex
+  from (select *, unnest(range(0, 2 * n)) as i from (select doc_id, h, (length(h) + 127) // 128 as n from (select doc_id, hex(encode(text)) as h from documents where text <> '')))""")
+def _(spark, d):
+    files = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("source"), F.encode("text", "UTF-8").alias("content"))
+    return capture.cut_bytes(files, 64, 48_000, 5, 2).select("source", "chunk_seq", "timestamp_ns", F.hex("payload").alias("hex"))
+
+
 @query("s5_records_to_logs", """select seq, timestamp_ns, 'rec' as device, case when level = 5 and seq % 2 = 0 then '_unknown' else module end as module,
   case when level = 5 and seq % 2 = 0 then 40 else level end as level, message from logs""")
 def _(spark, d):
@@ -132,6 +149,18 @@ def _(spark, d):
     return tables.logs(spark, d).select("seq", pipeline.transform_steps(raw, steps, "bytes").alias("line"))
 
 
+@pipeline.register_step("first_words")
+def first_words(text, n: int):
+    """A user's step: the first n words."""
+    return F.array_join(F.slice(F.split(text, " "), F.lit(1), F.lit(n)), " ")
+
+
+@query("u1_register_step", "select seq, upper(array_to_string(string_split(message, ' ')[1:1], ' ')) as line from logs")
+def _(spark, d):
+    steps = [{"step": "First_Words", "n": 1}, {"step": "regex_replace", "pattern": "cents", "replace": "CENTS"}]
+    return tables.logs(spark, d).select("seq", pipeline.transform_steps(F.col("message"), steps).alias("line"))
+
+
 @query("p10_strip", "select seq, trim(message, ';ces') as line from logs")
 def _(spark, d):
     return tables.logs(spark, d).select("seq", T.strip(F.col("message"), ";ces").alias("line"))
@@ -193,6 +222,13 @@ def _(spark, d):
     return out.select("frame_seq", "timestamp_ns", "signal", F.round("value", 6).alias("value"))
 
 
+@query("n1_multiplexed", """select frame_seq, 'k' as signal, k::double as value from frames where arbitration_id = 256
+  union all select frame_seq, 'low', user_id % 256 from frames where arbitration_id = 256 and k = 7
+  union all select frame_seq, 'high', user_id // 256 from frames where arbitration_id = 256 and k = 8""", FRAMES)
+def _(spark, d):
+    return signals.decode_signals(tables.frames(spark, d), tables.switched_signals(spark), "ignore").select("frame_seq", "signal", "value")
+
+
 @query("n2_unmapped_policy", "select frame_seq, timestamp_ns, signal, text from decoded where signal <> 'cents'", FRAMES, _DECODED)
 def _(spark, d):
     return signals.decode_signals(tables.frames(spark, d), tables.signal_dict(spark)).where("signal <> 'cents'").select("frame_seq", "timestamp_ns", "signal", "text")
@@ -298,6 +334,11 @@ def _(spark, d):
     return filters.find_from(tables.logs(spark, d).withColumnRenamed("message", "line"), "k=42;", 500)
 
 
+@query("f9_find_prev", "select coalesce(max(seq) filter (seq < 500), max(seq)) as seq from logs where contains(message, 'k=42;')")
+def _(spark, d):
+    return filters.find_from(tables.logs(spark, d).withColumnRenamed("message", "line"), "k=42;", 500, forward=False)
+
+
 # latest values ---------------------------------------------------------------------------------------------------------
 
 
@@ -474,6 +515,14 @@ def _(spark, d):
     return model.with_ts(tables.logs(spark, d)).select("seq", render.session_line().alias("line"))
 
 
+@query("k1_s3_session_files", "select timestamp_ns, device, module, level, message from logs")
+def _(spark, d):
+    """Written as session files of about 100 kB and read back."""
+    path = scratch(spark, "session")
+    session_log.write_session_log(tables.logs(spark, d), path, 100_000)
+    return session_log.read_log_text(spark, path).where("_error is null").drop("_error")
+
+
 @query("k3_session_manifest", """select cast(doc_id as varchar) as source, length(t) // 64 + (length(t) % 64 > 0)::int as chunks, strlen(t) as total_bytes, doc_id * 1000000 as created_ns,
   doc_id * 1000000 + (length(t) - 1) // 64 as finished_ns, round(((length(t) - 1) // 64) / 1e9, 3) as duration_seconds from (select doc_id, concat(coalesce(text, ''), chr(10)) as t from documents)""")
 def _(spark, d):
@@ -531,13 +580,31 @@ def _(spark, d):
     return run(chunks).select(F.col("source").cast("long").alias("seq"), *model.LOG_COLUMNS)
 
 
+@query("c1_stream_pipeline", """select timestamp_ns, 'unit' as device, case when level = 40 then '_unknown' else module end as module, level,
+  case when level = 40 then concat('? ', module, ': ', message) else message end as message from logs""")
+def _(spark, d):
+    """Chunks dropped as files in three parts; lines run over chunks and batches; rows are numbered as they come."""
+    dropped, out, state = (scratch(spark, x) for x in ("dropped", "rows", "state"))
+    chunks = tables.line_chunks(spark, d)
+    late = chunks.agg(F.max("chunk_seq")).first()[0]
+    part = F.col("chunk_seq") * 3 / (late + 1)
+    for k in range(3):
+        chunks.where((part >= k) & (part < k + 1)).repartition(4, "source").write.mode("append").parquet(dropped)
+    run = pipeline.build_pipeline({"type": "Serial_Default", "device": "Unit", "parse": {"level_index": 0, "module_index": 1, "message_index": 2}})
+    rows = run(stream_chunks(spark, {"path": dropped, "maxFilesPerTrigger": 4}))
+    sink = order.seq_sink(out, ("timestamp_ns", "source", "line_no"))
+    with state_store(spark):
+        rows.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("timestamp_ns long, device string, module string, level int, message string, seq long").parquet(f"{out}/rows").select(*model.LOG_COLUMNS)
+
+
 @query("c2_run_topology", """select row_number() over (order by timestamp_ns, device, module, message) as seq, timestamp_ns, device, module, message from (
   select timestamp_ns, 'rec' as device, module, message from logs
   union all select timestamp_ns, device, module, message from kv)""", KV)
 def _(spark, d):
     records = tables.logs(spark, d).selectExpr("timestamp_ns as created_ns", "level as levelno", "module as name", "message as msg")
     spec = {"main": {"type": "records", "device": "rec", "sources": ["in"]}, "values": {"type": "key_value", "device": "kv", "sources": ["main"]}}
-    return pipeline.run_topology(spec, {"in": records}).select("seq", "timestamp_ns", "device", "module", "message")
+    return pipeline.run_topology(spec, {"in": records}, ("timestamp_ns", "device", "module", "message")).select("seq", "timestamp_ns", "device", "module", "message")
 
 
 def newest_by_module(spark, sf_dir: str) -> DataFrame:

@@ -28,9 +28,21 @@ def read_log_text(spark: SparkSession, path: str) -> DataFrame:
     return parse_session_lines(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
-def write_session_log(logs: DataFrame, path: str, max_rows_per_file: int = 1_000_000) -> None:
-    """One line a row, in order of time over the files; a file is rolled by its rows."""
-    rows = with_ts(logs)
+def _rolled(logs: DataFrame, roll_bytes: int, mode: str, path: str) -> None:
+    """As many files as the bytes ask for, by ranges of time, so that files come near ``roll_bytes`` each; none holds more than twice the average row count."""
     order = ["timestamp_ns", *[c for c in ("seq",) if c in logs.columns]]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select(session_line().alias("value"))
-    dealt.write.option("maxRecordsPerFile", max_rows_per_file).mode("append").text(path)
+    lines = with_ts(logs).select(*order, session_line().alias("value"))
+    n, size = lines.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0))).first()
+    files = max(1, -(-size // roll_bytes))
+    dealt = lines.repartitionByRange(files, *order).sortWithinPartitions(*order).select("value")
+    dealt.write.option("maxRecordsPerFile", max(1, 2 * n // files)).mode(mode).text(path)
+
+
+def write_session_log(logs: DataFrame, path: str, roll_bytes: int = 100 * 1024 * 1024) -> None:
+    """One line a row, in order of time over the files; a new file about every ``roll_bytes`` bytes."""
+    _rolled(logs, roll_bytes, "append", path)
+
+
+def session_log_sink(path: str, roll_bytes: int = 100 * 1024 * 1024):
+    """``write_session_log`` for ``foreachBatch``: a batch that comes again takes the place of its first try, below ``batch=<id>``."""
+    return lambda batch, batch_id: _rolled(batch, roll_bytes, "overwrite", f"{path}/batch={batch_id}")

@@ -2,19 +2,34 @@
 
 They use no watermark: late rows must stay. Time is the newest timestamp that a key has seen. What is still held when a stream
 ends is let go by an end row: one whose ``is_end`` is true. Spark wants the RocksDB state store for these operators
-(``spark.sql.streaming.stateStore.providerClass``).
+(see ``state_store``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_LINES = "source string, timestamp_ns long, raw binary"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """While it is open, streams that start use the RocksDB state store; then the session's setting is as before."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
+
+
+_LINES = "source string, line_no long, timestamp_ns long, raw binary"
 
 
 class _Lines(StatefulProcessor):
@@ -22,25 +37,30 @@ class _Lines(StatefulProcessor):
         self.sep = bytes([sep])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "rest binary")
+        self.tail = handle.getValueState("tail", "rest binary, line_no long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rest = bytes(self.tail.get()[0]) if self.tail.exists() else b""
+        rest, line_no = self.tail.get() if self.tail.exists() else (b"", 0)
+        held = [bytes(rest)]  # pieces of the line not ended yet
         chunks = pd.concat(list(rows)).sort_values("chunk_seq", kind="stable")
         out = []
         for ns, payload in zip(chunks["timestamp_ns"], chunks["payload"], strict=True):
-            *done, rest = (rest + bytes(payload)).split(self.sep)
-            out += [(key[0], int(ns), line) for line in done if line]
-        self.tail.update((rest,))
-        yield pd.DataFrame(out, columns=["source", "timestamp_ns", "raw"])
+            first, *others = bytes(payload).split(self.sep)
+            held.append(first)
+            for piece in others:
+                if line := b"".join(held):
+                    out.append((key[0], line_no, int(ns), line))
+                held, line_no = [piece], line_no + 1
+        self.tail.update((b"".join(held), line_no))
+        yield pd.DataFrame(out, columns=["source", "line_no", "timestamp_ns", "raw"])
 
     def close(self) -> None:
         pass
 
 
 def split_lines_stream(chunks: DataFrame, sep: int = 10) -> DataFrame:
-    """As ``split_lines``, without line numbers; the unterminated rest of a source is its state."""
-    return chunks.groupBy("source").transformWithStateInPandas(_Lines(sep), _LINES, "append", "none")
+    """As ``split_lines``; a source's state is its unterminated rest and the number of its next line."""
+    return chunks.select("source", "chunk_seq", "timestamp_ns", "payload").groupBy("source").transformWithStateInPandas(_Lines(sep), _LINES, "append", "none")
 
 
 _ROWS = "device string, timestamp_ns long, module string, level int, message string"

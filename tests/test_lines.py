@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomlog.operators import filters, lines, modules, order, signals
+from loomlog.operators import filters, latest, lines, modules, order, signals
 from loomlog.operators.signals import SIGNALS
 
 RAW = b"one\n\ntwo\r\n" + bytes(range(128, 200)) + b"\nthree\nrest"
@@ -102,3 +102,68 @@ def test_modules_of_an_empty_log(spark):
     assert modules.modules(logs).count() == 0
     assert modules.devices(logs).count() == 0
     assert filters.find_text(logs.select(F.lit("x").alias("line")), " ").count() == 0
+
+
+CHUNK = "source string, chunk_seq long, timestamp_ns long, payload binary"
+
+
+def test_null_sources_and_tails_without_end(spark):
+    rows = [(None, 0, 1, b"a\nb"), (None, 1, 2, b"c\n"), ("s", 0, 3, b"x\n\ny\nz")] + [("tail", k, k, b"never ends ") for k in range(3000)]
+    out = lines.split_lines(spark.createDataFrame(rows, CHUNK), block=100).collect()
+    got = sorted(((r["source"], r["line_no"], r["timestamp_ns"], bytes(r["raw"])) for r in out), key=str)
+    assert got == sorted([(None, 0, 1, b"a"), (None, 1, 2, b"bc"), ("s", 0, 3, b"x"), ("s", 2, 3, b"y")], key=str)
+    zero = spark.createDataFrame([("s", 0, 1, b"a\x00b\x00")], CHUNK)
+    assert [bytes(r["raw"]) for r in lines.split_lines(zero, sep=0).orderBy("line_no").collect()] == [b"a", b"b"]
+    assert lines.split_lines(zero.limit(0)).count() == 0
+
+
+def test_words_are_parted_by_unicode_space(spark):
+    rows = spark.createDataFrame([(1, "I\u00a0app.x\u2003hello  there")], "timestamp_ns long, line string")
+    out = lines.parse_line(rows, "D", level_index=0, module_index=1, message_index=2).first()
+    assert (out["level"], out["module"], out["message"], out["_error"]) == (20, "app.x", "hello  there", None)
+
+
+def test_a_filter_on_parsed_rows_does_not_parse_twice(spark):
+    rows = spark.createDataFrame([(1, "[1.5] I app.x: hi")], "timestamp_ns long, line string")
+    out = lines.parse_line(rows, "D", time_index=0, level_index=1, module_index=2, message_index=3).where("_error is null and level >= 20")
+    assert out.count() == 1
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_multiplexers_have_any_name_and_frames_any_columns(spark):
+    frames = spark.createDataFrame([(7, 1, 4, b"\x01\x05\x06\x02"), (7, 2, 4, b"\x02\x05\x06\x02"), (7, 3, 1, b"\x01")], "arbitration_id int, timestamp_ns long, dlc int, data binary")
+    entries = [("page", 0, None, None), ("a", 8, 1, "page"), ("b", 16, 2, "page"), ("kind", 24, None, None), ("c", 8, 2, "kind"), ("d", 8, 3, "kind")]
+    known = spark.createDataFrame([(7, "m", name, start, 8, True, False, 1.0, 0.0, None, value, switch) for name, start, value, switch in entries], f"{SIGNALS}, mux_signal string")
+    got = sorted((r["timestamp_ns"], r["signal"], r["text"]) for r in signals.decode_signals(frames, known).where("signal <> 'error'").collect())
+    assert got == [(1, "a", "5"), (1, "c", "5"), (1, "kind", "2"), (1, "page", "1"), (2, "b", "6"), (2, "c", "5"), (2, "kind", "2"), (2, "page", "2"), (3, "page", "1")]
+
+
+def test_module_levels_with_a_table_of_modules(spark):
+    logs = spark.createDataFrame([("d", "a.b", 20), ("d", "x", 20), ("d", "a.c", 40)], "device string, module string, level int")
+    over = spark.createDataFrame([("d", "a", True, 30)], "device string, module string, enabled boolean, level int")
+    known = logs.select("device", "module").distinct()
+    want = [("a.c", 40), ("x", 20)]
+    for one in (None, known):
+        assert sorted((r["module"], r["level"]) for r in filters.filter_module_levels(logs, over, "INFO", one).collect()) == want
+
+
+def test_changes_do_not_depend_on_blocks(spark):
+    rng = random.Random(2)
+    rows = [(k, kv, "d", f"m{rng.randrange(3)}", rng.choice(["x", "y", None])) for k in range(400) for kv in range(2)]
+    logs = spark.createDataFrame(rows, "seq long, kv_pos int, device string, module string, message string")
+    last, want = {}, []
+    for seq, kv, _, module, message in rows:
+        if last.get(module) is None or last[module] != message:
+            want.append((seq, kv))
+        last[module] = message
+    for block in (1, 7, 100, 1_000_000):
+        assert sorted((r["seq"], r["kv_pos"]) for r in latest.value_changes(logs, block).collect()) == want
+
+
+def test_overload_over_midnight(spark):
+    day = 86_400
+    busy = [*range(day - 2, day + 2), *range(2 * day - 1, 3 * day + 1), 5 * day, 7 * day - 1, 9 * day, 100, 101, 102, 103]
+    logs = spark.createDataFrame([(s,) for s in busy], "s long").selectExpr("s * 1000000000 as timestamp_ns", "explode(sequence(1, 2)) as k")
+    got = sorted((r["start_s"], r["end_s"], r["rows"]) for r in latest.overload_periods(logs, 1, 3, 50).collect())
+    assert got == [(100, 103, 8), (day - 2, day + 1, 8), (2 * day - 1, 3 * day, 2 * (day + 2))]
+    assert latest.overload_periods(logs.limit(0)).count() == 0

@@ -1,10 +1,13 @@
 """Round trips of files."""
 
+import os
 import struct
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
-from loomlog import model
+from loomlog import model, storage
 from loomlog.sources import capture, session_log
 
 
@@ -60,3 +63,64 @@ def test_session_log(spark, tmp_path):
 def test_levels(spark):
     assert model.levels(spark).where(F.col("bold")).count() == 5
     assert model.level_number("WARNING") == 30
+
+
+def test_stamps_do_not_drift(spark):
+    files = spark.createDataFrame([("f", b"x" * 100_000), ("none", b""), ("null", None)], "source string, content binary")
+    for rate, start in ((48_000, 7), (3, 0), (0.5, 0), (29.97, 1)):
+        got = {r["chunk_seq"]: r["timestamp_ns"] for r in capture.cut_bytes(files, 1, rate, start).collect()}
+        exact = Fraction(rate).limit_denominator(1_000_000)
+        assert got == {i: start + int(i * 1_000_000_000 / exact) for i in range(100_000)}
+
+
+def test_parts_of_very_many_records(spark):
+    content = v1(5, b"12345678") * 50_000 + b"\xa5"
+    parts = spark.createDataFrame([("a", 0, content), ("b", 0, None)], "source string, part int, content binary")
+    out = capture.parse_captures(parts).groupBy("kind").agg(F.count("*").alias("n"), F.max("chunk_seq").alias("last"), F.max("bad_offset").alias("bad")).collect()
+    assert sorted((tuple(r) for r in out), key=str) == [(1, 50_000, 49_999, None), (None, 1, 50_000, len(content) - 1)]
+
+
+def test_session_files_roll_by_bytes(spark, tmp_path):
+    rows = [(k, 1_700_000_000_000_000_000 + k * 1000, "d", "m", 20, "x" * 100) for k in range(2000)]
+    logs = spark.createDataFrame(rows, "seq long, timestamp_ns long, device string, module string, level int, message string")
+    session_log.write_session_log(logs, str(tmp_path / "s"), 50_000)
+    files = sorted((tmp_path / "s").glob("*.txt"))
+    assert 3 < len(files) < 12 and all(f.stat().st_size < 100_000 for f in files)
+    assert session_log.read_log_text(spark, str(tmp_path / "s")).count() == 2000
+    sink = session_log.session_log_sink(str(tmp_path / "b"))
+    for batch, part in ((0, logs.where("seq < 500")), (0, logs.where("seq < 1000")), (1, logs.where("seq >= 1000"))):
+        sink(part, batch)
+    assert session_log.read_log_text(spark, str(tmp_path / "b")).count() == 2000
+    assert session_log.read_log_text(spark, str(tmp_path / "b" / "batch=0")).count() == 1000
+
+
+def test_capture_sink(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", 0, 1, b"x"), ("a", 1, 2, b"")], model.CHUNKS)
+    sink = capture.raw_capture_sink(str(tmp_path / "c"))
+    for batch in (0, 0, 1):
+        sink(chunks, batch)
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 4
+
+
+def test_shared_folder_and_passing_tables(spark, tmp_path):
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(name, default):
+                return default
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Cluster)
+    with storage.passing() as keep:
+        gone, kept = storage.materialize(spark.range(3), "gone"), keep(storage.materialize(spark.range(4), "kept"))
+        assert gone.count() == 3
+    assert kept.count() == 4 and not os.path.exists(gone.inputFiles()[0].removeprefix("file:") if gone.__dict__.get("_scratch_path") else "")
+    storage.drop(kept, spark.range(2))
+    assert "_scratch_path" not in kept.__dict__

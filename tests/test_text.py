@@ -72,3 +72,9 @@ def test_steps_check_their_types():
         pipeline.register_step("Strip")(T.strip)
     with pytest.raises(ValueError):
         pipeline.build_pipeline({"type": "none"})
+
+
+def test_headers_of_very_many_tags(spark):
+    text = "[tag] " * 100_000 + "rest"
+    row = spark.createDataFrame([(text,)], "t string").select(T.path_normalize(F.col("t")).alias("x")).first()
+    assert row["x"] == ".".join(["tag"] * 100_000) + " rest"
