@@ -5,13 +5,14 @@ not shuffled one by one. Each belongs to its minimizer, the ``core``-word string
 consecutive edges of a text that share a minimizer are one path (a super-k-mer). Equal edges share the minimizer, so:
 
 1. paths whose minimizer occurs once hold no repeated edge and leave (a count and a join);
-2. paths of a minimizer that are all alike do not branch: if there are two, all their edges are repeated, and the
-   path stays compact, a single row;
+2. a path that occurs twice is repeated text, all its edges alike. Such paths are compacted by joins: where one ends in its source the next begins, and
+   both occur equally often, the graph does not branch between them, and they are one unit, the longer the passage the fewer rows;
 3. where paths of a minimizer differ, the graph branches: one source of each different path, named by its
    coordinates, is read again, its edges are counted one by one, and the result is kept as a bit per edge;
-4. the paths join back to the coordinates of all their occurrences, and each text drops the words covered.
+4. units and paths join back to the coordinates of all their occurrences, which become spans of the texts. Each span of a whole unit is verified: a SHA-256 of its words
+   must be that of the unit's words, read at the coordinates of its source. Then each text drops the words covered.
 
-Two edges count as equal if both the minimizer's and the window's 64-bit hashes agree. No step collects the
+Parts of units, and the edges of branching paths, rest on the 64-bit hashes of minimizer and path or window. No step collects the
 occurrences of a path or edge; lists exist per text only.
 """
 
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomlog.llm.base import materialize, row_keys, same_row
+from loomlog.llm.base import drop, materialize, named, row_keys, same_row
 from loomlog.llm.rolling import RunHasher
 
 _CHUNK = 400_000  # words hashed at once; bounds the memory, not the result
@@ -92,7 +94,7 @@ def paths(docs: DataFrame, id_col: str, text_col: str, window: int, core: int) -
                     names=["_id", "_key", "start", "edges", "mini", "path"],
                 )
 
-    narrow = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("_text"))
+    narrow = docs.select(*row_keys(id_col, text_col), named(text_col).alias("_text"))
     return narrow.mapInArrow(run, f"{_id_type(docs, id_col)}, _key long, start int, edges int, mini long, path long")
 
 
@@ -100,48 +102,89 @@ def _id_type(docs: DataFrame, id_col: str) -> str:
     return f"_id {docs.schema[id_col].dataType.simpleString()}"
 
 
-def _edges(sources: DataFrame, window: int) -> DataFrame:
-    """The edges of the named paths, read from their source texts: ``mini, path, place, edge, times``."""
+def _digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.sha256(b" ".join(words[start:end])).digest()
+
+
+_READ = "mini long, path long, place int, edge long, times long, ukey long, ustart int, digest binary"
+
+
+def _read(sources: DataFrame, window: int) -> DataFrame:
+    """What the sources hold at the coordinates named: the edges of ``_paths`` one by one, and the digests of ``_units``."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    names = [x.split()[0] for x in _READ.split(", ")]
+
+    def rows(n: int, **have) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([have.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def run(batches):
         hasher = RunHasher()
         for batch in batches:
-            for text, named in zip(batch.column("_text"), batch.column("_named"), strict=True):
-                hasher.load((text.as_py() or "").encode().split())
-                named = named.as_py()
-                many = np.array([x["edges"] for x in named], np.int64)
-                row = np.repeat(np.arange(len(named)), many)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                start = np.array([x["start"] for x in named], np.int64)[row] + place
-                pick = lambda c: pa.array(np.array([x[c] for x in named], np.int64)[row])
-                yield pa.RecordBatch.from_arrays(
-                    [pick("mini"), pick("path"), pa.array(place.astype(np.int32)), _signed(hasher.of(start, window)), pick("times")], names=["mini", "path", "place", "edge", "times"]
-                )
-
-    return sources.select("_text", "_named").mapInArrow(run, "mini long, path long, place int, edge long, times long")
+            for text, opened, units in zip(batch.column("_text"), batch.column("_paths"), batch.column("_units"), strict=True):
+                words, opened, units = (text.as_py() or "").encode().split(), opened.as_py() or [], units.as_py() or []
+                if opened:
+                    hasher.load(words)
+                    many = np.array([x["edges"] for x in opened], np.int64)
+                    row = np.repeat(np.arange(len(opened)), many)
+                    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    start = np.array([x["start"] for x in opened], np.int64)[row] + place
+                    pick = lambda c: pa.array(np.array([x[c] for x in opened], np.int64)[row])  # noqa: B023, E731
+                    yield rows(len(row), mini=pick("mini"), path=pick("path"), place=pa.array(place.astype(np.int32)), edge=_signed(hasher.of(start, window)), times=pick("times"))
+                if units:
+                    digests = [_digest(words, x["ustart"], x["ustart"] + x["total"] + window - 1) for x in units]
+                    yield rows(len(units), ukey=pa.array([x["ukey"] for x in units], pa.int64()), ustart=pa.array([x["ustart"] for x in units], pa.int32()), digest=pa.array(digests, pa.binary()))
+
+    return sources.select("_text", "_paths", "_units").mapInArrow(run, _READ)
+
+
+def compacted(repeated: DataFrame) -> DataFrame:
+    """``mini, path, ukey, ustart, offset, total``: the unit of each repeated path, named by the coordinates of its source, and the path's place in it.
+
+    ``repeated`` has mini, path, times and the coordinates of one source: _key, _id, start, edges.
+    """
+    ends = repeated.select(F.col("_key").alias("_k"), F.col("_id").alias("_i"), (F.col("start") + F.col("edges")).alias("_s"), F.col("times").alias("_t"))
+    goes_on = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("start") == F.col("_s")) & (F.col("times") == F.col("_t"))
+    linked = repeated.join(ends, goes_on, "left").withColumn("_head", F.when(F.col("_s").isNull(), F.col("start")))
+    along = Window.partitionBy("_key", "_id").orderBy("start")  # within one text
+    units = linked.withColumn("ustart", F.last("_head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    total = F.sum("edges").over(Window.partitionBy("_key", "_id", "ustart"))
+    return units.select("mini", "path", F.col("_key").alias("ukey"), "_id", "ustart", (F.col("start") - F.col("ustart")).alias("offset"), total.cast("int").alias("total"))
 
 
-def repeated_paths(met: DataFrame, texts: DataFrame, window: int, name: str) -> DataFrame:
-    """``mini, path, bits``: bit i says that edge i of the path is repeated. Paths without one are left out."""
+def repeated_spans(met: DataFrame, texts: DataFrame, window: int, name: str) -> DataFrame:
+    """``_key, _id, start, edges, bits, digest``: repeated edges of the texts, as spans (with the digest that the span's words must have, if known) or as bits of a path."""
     whole = materialize(
         met.groupBy("mini", "path").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "start", "edges")).alias("at")), f"{name}-different"
     )
+    at = [F.col(f"at.{c}").alias(c) for c in ("_key", "_id", "start", "edges")]
+    units = materialize(compacted(whole.where("times > 1").select("mini", "path", "times", *at)), f"{name}-units")
     branching = whole.groupBy("mini").agg(F.count("*").alias("_n"), F.min("times").alias("_least")).where("_n > 1 and _least = 1").select("mini")
     open_paths = whole.join(materialize(branching, f"{name}-branching"), "mini", "left_semi")
-    named = open_paths.groupBy(F.col("at._key").alias("_key"), F.col("at._id").alias("_id")).agg(
-        F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.edges").alias("edges"), "mini", "path", "times")).alias("_named")
-    )
-    named = materialize(named, f"{name}-named")
-    edges = materialize(_edges(same_row(named, texts, "inner"), window), f"{name}-edges")
-    wanted = named.agg(F.sum(F.aggregate("_named", F.lit(0).cast("long"), lambda n, x: n + x["edges"]))).first()[0] or 0
-    if edges.count() != wanted:  # repeated rows: a source was read more than once
+
+    path = F.struct("start", "edges", "mini", "path", "times")
+    unit = F.struct("ukey", "ustart", "total")
+    wanted = open_paths.select(*at, "mini", "path", "times").select("_key", "_id", path.alias("p"), F.lit(None).cast("struct<ukey:long,ustart:int,total:int>").alias("u"))
+    wanted = wanted.unionByName(units.where("offset = 0").select(F.col("ukey").alias("_key"), "_id", unit.alias("u")), allowMissingColumns=True)
+    sources = materialize(wanted.groupBy("_key", "_id").agg(F.collect_list("p").alias("_paths"), F.collect_list("u").alias("_units")), f"{name}-named")
+    read = materialize(_read(same_row(sources, texts, "inner"), window), f"{name}-read")
+
+    edges, digests = read.where("mini is not null"), read.where("ukey is not null").select("ukey", "ustart", "digest").dropDuplicates(["ukey", "ustart"])
+    due = sources.agg(F.sum(F.aggregate("_paths", F.lit(0).cast("long"), lambda n, x: n + x["edges"]))).first()[0] or 0
+    if edges.count() != due:  # repeated rows: a source was read more than once
         edges = materialize(edges.dropDuplicates(["mini", "path", "place"]), f"{name}-edges")
     twice = edges.groupBy("mini", "edge").agg(F.sum("times").alias("_n")).where("_n > 1").select("mini", "edge")
-    some = edges.join(materialize(twice, f"{name}-twice"), ["mini", "edge"]).groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("_some"))
-    full = F.expr("shiftleft(1L, at.edges) - 1")
-    alike = whole.where("times > 1").select("mini", "path", full.alias("bits"))
-    single = whole.where("times = 1").select("mini", "path").join(some, ["mini", "path"]).select("mini", "path", F.col("_some").alias("bits"))
-    return alike.union(single)
+    some = edges.join(materialize(twice, f"{name}-twice"), ["mini", "edge"]).groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
+    single = whole.where("times = 1").select(*at, "mini", "path").join(some, ["mini", "path"])
+
+    placed = met.join(units.drop("_id"), ["mini", "path"]).groupBy("_key", "_id", "ukey", "ustart", (F.col("start") - F.col("offset")).alias("_begin")).agg(
+        F.collect_set(F.struct("start", "edges")).alias("_parts"), F.max("total").alias("_total")
+    )
+    n = F.aggregate("_parts", F.lit(0), lambda a, x: a + x["edges"])
+    first = F.array_min(F.transform("_parts", lambda x: x["start"]))
+    joined = F.array_max(F.transform("_parts", lambda x: x["start"] + x["edges"])) - first == n
+    spans = placed.select("_key", "_id", F.when(n == F.col("_total"), F.col("ukey")).alias("ukey"), "ustart", F.inline(F.when(joined, F.array(F.struct(first.alias("start"), n.alias("edges")))).otherwise(F.col("_parts"))))
+    spans = spans.join(digests, ["ukey", "ustart"], "left").select("_key", "_id", "start", "edges", F.lit(None).cast("long").alias("bits"), "digest")
+    return spans.unionByName(single.select("_key", "_id", "start", "edges", "bits"), allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, core: int = 12) -> DataFrame:
@@ -157,29 +200,33 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     shared = found.groupBy("mini").agg(F.count("*").alias("_n")).where("_n > 1").select("mini")
     shared = materialize(shared, "paths-shared")  # a bare exchange on either side lets a hot minimizer be split
     met = materialize(found.join(shared, "mini", "left_semi"), "paths-met")
-    texts = docs.select(*row_keys(id_col, text_col), F.col(text_col).alias("_text"))
-    repeated = materialize(repeated_paths(met, texts, window, "paths"), "paths-repeated")
-    gone = met.join(repeated, ["mini", "path"]).groupBy("_key", "_id").agg(F.collect_set(F.struct("start", "bits")).alias("_gone"))
+    drop(found, shared)
+    texts = docs.select(*row_keys(id_col, text_col), named(text_col).alias("_text"))
+    gone = repeated_spans(met, texts, window, "paths").groupBy("_key", "_id").agg(F.collect_list(F.struct("start", "edges", "bits", "digest")).alias("_gone"))
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc_id, text, gone in zip(batch.column("_id"), batch.column("_text"), batch.column("_gone"), strict=True):
+            for text, gone in zip(batch.column("_text"), batch.column("_gone"), strict=True):
                 words = (text.as_py() or "").encode().split()
                 change = np.zeros(len(words) + 1, np.int32)
                 for x in gone.as_py() or ():
-                    for k in range(x["bits"].bit_length()):
-                        if x["bits"] >> k & 1:
-                            change[x["start"] + k] += 1
-                            change[x["start"] + k + window] -= 1
+                    start, end = x["start"], x["start"] + x["edges"] + window - 1
+                    if x["bits"] is not None:
+                        for k in range(x["bits"].bit_length()):
+                            if x["bits"] >> k & 1:
+                                change[start + k] += 1
+                                change[start + k + window] -= 1
+                    elif x["digest"] is None or _digest(words, start, end) == x["digest"]:
+                        change[start] += 1
+                        change[end] -= 1
                 stays = np.cumsum(change)[:-1] == 0
-                kept = b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s])
-                out.append((doc_id.as_py(), len(words), len(words) - int(stays.sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[0], batch.schema.field("_id").type), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.string())],
-                names=["_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
+                n_removed = len(words) - int(stays.sum())
+                kept = b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s] if n_removed else words)
+                out.append((len(words), n_removed, kept.decode(), hashlib.sha256(kept).hexdigest()))
+            columns = list(zip(*out, strict=True)) if out else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     schema = f"{_id_type(docs, id_col)}, n_words long, n_removed long, kept_text string, kept_sha256 string"
     return same_row(texts, gone, "left").select("_id", "_text", "_gone").mapInArrow(run, schema).withColumnRenamed("_id", id_col)

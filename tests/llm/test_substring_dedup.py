@@ -2,9 +2,14 @@ import hashlib
 import random
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from loomlog.llm import queries, substring_dedup
+from loomlog.llm.base import row_keys
 
 SF = "/root/testdata/sf0.001"
+SF2 = "/root/testdata/sf0.01"
 
 
 def brute(rows, window=35):
@@ -25,11 +30,40 @@ def result(df):
     return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()), key=str)
 
 
-def test_query_equals_brute_force(spark):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+@pytest.mark.parametrize("sf", [SF, SF2])
+def test_query_equals_brute_force(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = brute(docs)
     assert any(r[2] for r in want)
-    assert result(queries.op4_substring_dedup(spark, SF)) == want
+    assert result(queries.op4_substring_dedup(spark, sf)) == want
+
+
+def test_paths_compact_where_the_graph_does_not_branch(spark):
+    rows = [(1, 1, 5, 7, None, 0, 10), (1, 2, 5, 7, None, 10, 3), (2, 3, 5, 7, None, 13, 4), (4, 4, 2, 7, None, 17, 5), (5, 5, 2, 7, None, 30, 6), (6, 6, 2, 8, 1, 22, 1)]
+    frame = spark.createDataFrame(rows, "mini long, path long, times long, _key long, _id long, start int, edges int")
+    got = {r["path"]: (r["ukey"], r["ustart"], r["offset"], r["total"]) for r in substring_dedup.compacted(frame).collect()}
+    assert got == {1: (7, 0, 0, 17), 2: (7, 0, 10, 17), 3: (7, 0, 13, 17), 4: (7, 17, 0, 5), 5: (7, 30, 0, 6), 6: (8, 22, 0, 1)}
+
+
+def test_long_passages_are_one_verified_span(spark, monkeypatch):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
+    passage = words(400)
+    docs = [(k, " ".join(words(60 * k) + passage + words(40))) for k in range(4)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substring_dedup.paths(frame, "doc_id", "text", 35, 12)
+    met = found.join(found.groupBy("mini").count().where("count > 1").select("mini"), "mini", "left_semi")
+    texts = frame.select(*row_keys("doc_id", "text"), F.col("text").alias("_text"))
+    spans = substring_dedup.repeated_spans(met, texts, 35, "t").where("digest is not null").collect()
+    longest = {d: max(r["edges"] for r in spans if r["_id"] == d) for d in range(4)}
+    assert min(longest.values()) > 300 and len(spans) < 20  # 366 edges in paths of at most 24
+    for r in spans:
+        own = docs[r["_id"]][1].encode().split()[r["start"] : r["start"] + r["edges"] + 34]
+        assert bytes(r["digest"]) == hashlib.sha256(b" ".join(own)).digest()
+    want = brute(docs)
+    assert result(substring_dedup.remove_repeats(frame)) == want
+    monkeypatch.setattr(substring_dedup, "_digest", lambda words, start, end: random.randbytes(32))  # as if hashes had met by chance
+    assert sum(r[2] for r in result(substring_dedup.remove_repeats(frame))) < sum(r[2] for r in want) / 2
 
 
 def test_branches_repeats_and_edge_cases(spark):
