@@ -48,3 +48,46 @@ def test_empty_and_repeated_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, SF)
     assert odd.count() == 1
+
+
+def test_run_is_the_stages_and_leaves_only_the_last_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, SF), "test")
+    want = corpus_pipeline.pack(spark, docs, SF)
+    key = lambda df: sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, SF)) == key(want)
+
+
+CLASHING = ["a.b", "_row", "_id", "_key", "_text", "kept", "n_words", "start", "score", "item_id", "spans", "_fp"]
+TEXT = " ".join(f"w{k}" for k in range(40))
+LONG = " ".join(f"long{k}" for k in range(120_000)) + " token=abcdef123"
+
+
+def odd_rows(spark, docs):
+    rows = [(1, TEXT, "en", "s", 5), (1, TEXT, "en", "s", 5), (2, TEXT, None, None, None), (None, TEXT + " tail", "en", "s", 1), (3, None, "en", "s", None), (4, "", "xx", "s", 0), (5, LONG, "en", "t", len(LONG)), (None, None, None, None, None)]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema) + "".join(f", `{c}` string" for c in CLASHING)
+    return spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], schema)
+
+
+def test_every_stage_takes_odd_rows_and_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = odd_rows(spark, docs)
+    out = {name: stage(spark, odd, SF) for name, stage in corpus_pipeline.STAGES}
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert out[name].columns == odd.columns, name
+        assert all(r["a.b"] == r["_id"] == r["kept"] == "x" for r in out[name].collect()), name
+    ids = lambda name: sorted((str(r["doc_id"]) for r in out[name].collect()))
+    assert ids("quality rules") == ["1", "1", "2", "5", "None"]
+    assert ids("SimHash near-dedup") in (["1", "3", "5"], ["1", "3", "5", "None"])  # the tail may move the fingerprint by more than two bits
+    assert ids("benchmark decontamination") == sorted(map(str, [1, 1, 2, None, 3, 4, 5, None]))
+    assert ids("secret scans") == sorted(map(str, [1, 1, 2, None, 3, 4, 5, None]))
+    long = next(r for r in out["secret scans"].collect() if r["doc_id"] == 5)
+    assert long["text"].endswith(" [SECRET]") and long["n_chars"] == len(long["text"])
+    check(out["best-fit packing"].collect(), [(r["doc_id"], r["text"]) for r in odd.collect()], 1024)
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
