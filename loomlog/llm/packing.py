@@ -130,8 +130,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max
     """Packs all documents into sequences of at most ``max_tokens`` ids.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one end token;
-    an id may be of any type, a null id stays null; the text of a special token becomes its id unless ``special_text``; repeated rows are packed each for itself; other columns are not looked at; no rows give
-    no rows. Among pieces of one length the order is by task and then as read, so ties need no rule.
+    an id may be of any type, a null id stays null; the text of a special token becomes its id unless ``special_text``; repeated rows are
+    packed each for itself; other columns are not looked at; no rows give no rows. Among pieces of one length the order is by task and then as read, so ties need no rule.
     """
     pieces = materialize(token_pieces(docs, id_col, text_col, max_tokens, end_id, tokenizer_path, special_text), "pieces")
     counts = pieces.groupBy("_part", "length").agg(F.count("*").alias("_n"))

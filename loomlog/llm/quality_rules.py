@@ -104,7 +104,10 @@ def certified(figures: DataFrame, good_ids: DataFrame, stratum: str, alpha: floa
     return unbroken.groupBy("_stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.05, delta: float = 0.05, keep_texts: bool = False) -> DataFrame:
+def judge(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.05, delta: float = 0.05,
+    keep_texts: bool = False,
+) -> DataFrame:
     """``_row`` (a struct: all columns of docs if ``keep_texts``, else the id), the base figures, metrics, base_failed, kept.
 
     ``labels`` has the id and ``quality``; an id counts as good if no label of it is null or 0. Null or empty texts

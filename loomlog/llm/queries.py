@@ -88,9 +88,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_token_counts, op1_token_counts_whole, op2_quality_rules, op2_quality_rules_wide, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity,
+    op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op1_token_counts_whole, op2_quality_rules, op2_quality_rules_wide, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity, op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": oracles.quality_sql(), "op2_quality_rules_wide": oracles.quality_sql(alpha=WIDE_ALPHA), "op5_secret_scan": oracles.secrets_sql(), "op1_token_counts_whole": oracles.token_counts_sql(), "op9_license_scan": oracles.licenses_sql()}
+    return {
+        "op1_token_counts_whole": oracles.token_counts_sql(),
+        "op2_quality_rules": oracles.quality_sql(),
+        "op2_quality_rules_wide": oracles.quality_sql(alpha=WIDE_ALPHA),
+        "op5_secret_scan": oracles.secrets_sql(),
+        "op9_license_scan": oracles.licenses_sql(),
+    }

@@ -82,7 +82,8 @@ def spans_of(kind: str, text: Column) -> Column:
             def put(sum_before) -> Column:
                 def span(m: Column, i: Column) -> Column:
                     start = sum_before(i) + F.get(ps, i)
-                    return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(m)).alias("end"), F.when(_passes(kind, m), F.sha2(_value(kind, m), 256)).alias("hash"))
+                    digest = F.when(_passes(kind, m), F.sha2(_value(kind, m), 256))
+                    return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (start + F.length(m)).alias("end"), digest.alias("hash"))
 
                 return F.filter(F.transform(ms, span), lambda s: s["hash"].isNotNull())
 
@@ -99,7 +100,10 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repository_cols: tuple[str, ...] = ("source", "lang"), most_owners: int = 2, most_repositories: int = 4, keep_texts: bool = False) -> DataFrame:
+def scan(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_cols: tuple[str, ...] = ("source",), repository_cols: tuple[str, ...] = ("source", "lang"),
+    most_owners: int = 2, most_repositories: int = 4, keep_texts: bool = False,
+) -> DataFrame:
     """The secrets of every row.
 
     A value is owner-specific if at most ``most_owners`` owners and ``most_repositories`` repositories hold it. ``documents`` names neither, so by default the source
@@ -111,7 +115,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     """
     row = every(docs) if keep_texts else F.struct(named(id_col))
     joined = lambda cols: F.concat_ws("\x00", *[F.coalesce(named(c).cast("string"), F.lit("")) for c in cols])
-    rows = docs.select(row.alias("_row"), *row_keys(id_col, text_col), joined(owner_cols).alias("_owner"), joined(repository_cols).alias("_repository"), F.coalesce(named(text_col), F.lit("")).alias("_text"))
+    owner, repository, text = joined(owner_cols), joined(repository_cols), F.coalesce(named(text_col), F.lit(""))
+    rows = docs.select(row.alias("_row"), *row_keys(id_col, text_col), owner.alias("_owner"), repository.alias("_repository"), text.alias("_text"))
     rows = rows.withColumns({f"_{k}": spans_of(k, F.col("_text")) for k in KINDS}).drop("_text")
     base = F.concat(*[F.col(f"_{k}") for k in KINDS[:3]])
     apart = lambda b: F.filter("_owned", lambda s: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (x["end"] > s["start"])))

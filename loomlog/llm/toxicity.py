@@ -120,7 +120,8 @@ def term_counts(sample: DataFrame) -> DataFrame:
             for text, y in zip(batch.column("_text"), batch.column("_y").to_pylist(), strict=True):
                 (with_it if y else without).update(beginnings(fold(text.as_py())))
             terms = list(with_it | without)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([with_it[t] for t in terms], pa.int64()), pa.array([without[t] for t in terms], pa.int64())], names=["term", "t", "c"])
+            counts = (pa.array([n[t] for t in terms], pa.int64()) for n in (with_it, without))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], names=["term", "t", "c"])
 
     return sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
@@ -143,7 +144,10 @@ def learn(sample: DataFrame, exceptions=EXCEPTIONS, least_docs: int = 5, least_w
     return lexicon, logistic.fit(data[:, :5], data[:, 5])
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cutoff: float = 0.3, most_rows: int = MOST_TRAINING_ROWS, exceptions=EXCEPTIONS) -> DataFrame:
+def score(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cutoff: float = 0.3,
+    most_rows: int = MOST_TRAINING_ROWS, exceptions=EXCEPTIONS,
+) -> DataFrame:
     """Returns the id, held_out, score and predicted for every row.
 
     Null and empty texts hold no terms and get the score of a text without; rows with a null id are scored and not held out;
