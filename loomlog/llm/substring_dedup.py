@@ -9,7 +9,7 @@ consecutive edges of a text that share a minimizer are one path (a super-k-mer).
    both occur equally often, the graph does not branch between them, and they are one unit, the longer the passage the fewer rows;
 3. where paths of a minimizer differ, the graph branches: one source of each different path, named by its
    coordinates, is read again, its edges are counted one by one, and the result is kept as a bit per edge;
-4. units and paths join back to the coordinates of all their occurrences, which become spans of the texts. Each span of a whole unit is verified: a SHA-256 of its words
+4. units and paths join back to the coordinates of all their occurrences. Where a text holds a whole unit, the long span is verified: the SHA-256 of its words
    must be that of the unit's words, read at the coordinates of its source. Then each text drops the words covered.
 
 Parts of units, and the edges of branching paths, rest on the 64-bit hashes of minimizer and path or window. No step collects the
@@ -114,25 +114,39 @@ def _read(sources: DataFrame, window: int) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     names = [x.split()[0] for x in _READ.split(", ")]
 
-    def rows(n: int, **have) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([have.get(c, pa.nulls(n, k)) for c, k in zip(names, kinds, strict=True)], names=names)
+    def rows(have: dict) -> pa.RecordBatch:
+        n = len(next(iter(have.values())))
+        return pa.RecordBatch.from_arrays([pa.array(have[c], k) if c in have else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
+
+    def edges(hasher: RunHasher, words: list[bytes], opened: list[dict]) -> list[np.ndarray]:
+        hasher.load(words)
+        many = np.array([x["edges"] for x in opened], np.int64)
+        row = np.repeat(np.arange(len(opened)), many)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        start = np.array([x["start"] for x in opened], np.int64)[row] + place
+        mini, path, times = (np.array([x[c] for x in opened], np.int64)[row] for c in ("mini", "path", "times"))
+        return [mini, path, place.astype(np.int32), hasher.of(start, window).view(np.int64), times]
 
     def run(batches):
-        hasher = RunHasher()
+        hasher, found, held, digests = RunHasher(), [], 0, {"ukey": [], "ustart": [], "digest": []}
         for batch in batches:
             for text, opened, units in zip(batch.column("_text"), batch.column("_paths"), batch.column("_units"), strict=True):
-                words, opened, units = (text.as_py() or "").encode().split(), opened.as_py() or [], units.as_py() or []
+                words, opened = (text.as_py() or "").encode().split(), opened.as_py()
                 if opened:
-                    hasher.load(words)
-                    many = np.array([x["edges"] for x in opened], np.int64)
-                    row = np.repeat(np.arange(len(opened)), many)
-                    place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                    start = np.array([x["start"] for x in opened], np.int64)[row] + place
-                    pick = lambda c: pa.array(np.array([x[c] for x in opened], np.int64)[row])  # noqa: B023, E731
-                    yield rows(len(row), mini=pick("mini"), path=pick("path"), place=pa.array(place.astype(np.int32)), edge=_signed(hasher.of(start, window)), times=pick("times"))
-                if units:
-                    digests = [_digest(words, x["ustart"], x["ustart"] + x["total"] + window - 1) for x in units]
-                    yield rows(len(units), ukey=pa.array([x["ukey"] for x in units], pa.int64()), ustart=pa.array([x["ustart"] for x in units], pa.int32()), digest=pa.array(digests, pa.binary()))
+                    found.append(edges(hasher, words, opened))
+                    held += len(found[-1][0])
+                for x in units.as_py() or ():
+                    digests["ukey"].append(x["ukey"])
+                    digests["ustart"].append(x["ustart"])
+                    digests["digest"].append(_digest(words, x["ustart"], x["ustart"] + x["total"] + window - 1))
+                if held >= _CHUNK:
+                    yield rows(dict(zip(names, map(np.concatenate, zip(*found, strict=True)))))
+                    found, held = [], 0
+            if digests["ukey"]:
+                yield rows(digests)
+                digests = {"ukey": [], "ustart": [], "digest": []}
+        if found:
+            yield rows(dict(zip(names, map(np.concatenate, zip(*found, strict=True)))))
 
     return sources.select("_text", "_paths", "_units").mapInArrow(run, _READ)
 
@@ -152,7 +166,10 @@ def compacted(repeated: DataFrame) -> DataFrame:
 
 
 def repeated_spans(met: DataFrame, texts: DataFrame, window: int, name: str) -> DataFrame:
-    """``_key, _id, start, edges, bits, digest``: repeated edges of the texts, as spans (with the digest that the span's words must have, if known) or as bits of a path."""
+    """``_key, _id, start, edges, bits, unit, offset, total, digest``: repeated edges of the texts, a row a path; all of its edges unless ``bits`` tells which.
+
+    A path of a unit has its place there in ``offset``, and the first one the unit's edges in ``total`` and the digest of its words.
+    """
     whole = materialize(
         met.groupBy("mini", "path").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "start", "edges")).alias("at")), f"{name}-different"
     )
@@ -168,7 +185,8 @@ def repeated_spans(met: DataFrame, texts: DataFrame, window: int, name: str) ->
     sources = materialize(wanted.groupBy("_key", "_id").agg(F.collect_list("p").alias("_paths"), F.collect_list("u").alias("_units")), f"{name}-named")
     read = materialize(_read(same_row(sources, texts, "inner"), window), f"{name}-read")
 
-    edges, digests = read.where("mini is not null"), read.where("ukey is not null").select("ukey", "ustart", "digest").dropDuplicates(["ukey", "ustart"])
+    edges = read.where("mini is not null")
+    digests = read.where("ukey is not null").select("ukey", "ustart", "digest").dropDuplicates(["ukey", "ustart"])
     due = sources.agg(F.sum(F.aggregate("_paths", F.lit(0).cast("long"), lambda n, x: n + x["edges"]))).first()[0] or 0
     if edges.count() != due:  # repeated rows: a source was read more than once
         edges = materialize(edges.dropDuplicates(["mini", "path", "place"]), f"{name}-edges")
@@ -176,15 +194,31 @@ def repeated_spans(met: DataFrame, texts: DataFrame, window: int, name: str) ->
     some = edges.join(materialize(twice, f"{name}-twice"), ["mini", "edge"]).groupBy("mini", "path").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits"))
     single = whole.where("times = 1").select(*at, "mini", "path").join(some, ["mini", "path"])
 
-    placed = met.join(units.drop("_id"), ["mini", "path"]).groupBy("_key", "_id", "ukey", "ustart", (F.col("start") - F.col("offset")).alias("_begin")).agg(
-        F.collect_set(F.struct("start", "edges")).alias("_parts"), F.max("total").alias("_total")
-    )
-    n = F.aggregate("_parts", F.lit(0), lambda a, x: a + x["edges"])
-    first = F.array_min(F.transform("_parts", lambda x: x["start"]))
-    joined = F.array_max(F.transform("_parts", lambda x: x["start"] + x["edges"])) - first == n
-    spans = placed.select("_key", "_id", F.when(n == F.col("_total"), F.col("ukey")).alias("ukey"), "ustart", F.inline(F.when(joined, F.array(F.struct(first.alias("start"), n.alias("edges")))).otherwise(F.col("_parts"))))
-    spans = spans.join(digests, ["ukey", "ustart"], "left").select("_key", "_id", "start", "edges", F.lit(None).cast("long").alias("bits"), "digest")
-    return spans.unionByName(single.select("_key", "_id", "start", "edges", "bits"), allowMissingColumns=True)
+    unit = F.xxhash64("ukey", "ustart").alias("unit")
+    heads = units.where("offset = 0").join(digests, ["ukey", "ustart"], "left").select("mini", "path", unit, "offset", "total", "digest")
+    known = heads.unionByName(units.where("offset > 0").select("mini", "path", unit, "offset"), allowMissingColumns=True)
+    known = materialize(known, f"{name}-known")  # a bare exchange on either side lets a path of many occurrences be split
+    placed = met.join(known, ["mini", "path"]).select("_key", "_id", "start", "edges", F.lit(None).cast("long").alias("bits"), "unit", "offset", "total", "digest")
+    return placed.unionByName(single.select("_key", "_id", "start", "edges", "bits"), allowMissingColumns=True)
+
+
+def _covered(words: list[bytes], rows: list[dict], window: int) -> np.ndarray:
+    """Which words of a text go. A unit that is there whole but whose words are not those of its source stays."""
+    edges = np.zeros(max(1, len(words) - window + 1), bool)
+    held: dict[tuple[int, int], int] = {}  # a unit and where it would begin: its edges that are there
+    for start, length, unit, offset in {(x["start"], x["edges"], x["unit"], x["offset"]) for x in rows if x["bits"] is None}:
+        edges[start : start + length] = True
+        held[unit, start - offset] = held.get((unit, start - offset), 0) + length
+    for x in rows:
+        start, total = x["start"], x["total"]
+        if x["digest"] is not None and held[x["unit"], start] == total and _digest(words, start, start + total + window - 1) != x["digest"]:
+            edges[start : start + total] = False
+    for x in rows:
+        for k in range((x["bits"] or 0).bit_length()):
+            edges[x["start"] + k] |= bool(x["bits"] >> k & 1)
+    at = np.flatnonzero(edges)
+    change = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + window, minlength=len(words) + 1)
+    return np.cumsum(change)[:-1] > 0
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 35, core: int = 12) -> DataFrame:
@@ -202,27 +236,17 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     met = materialize(found.join(shared, "mini", "left_semi"), "paths-met")
     drop(found, shared)
     texts = docs.select(*row_keys(id_col, text_col), named(text_col).alias("_text"))
-    gone = repeated_spans(met, texts, window, "paths").groupBy("_key", "_id").agg(F.collect_list(F.struct("start", "edges", "bits", "digest")).alias("_gone"))
+    gone = repeated_spans(met, texts, window, "paths").groupBy("_key", "_id").agg(F.collect_list(F.struct("start", "edges", "bits", "unit", "offset", "total", "digest")).alias("_gone"))
 
     def run(batches):
         for batch in batches:
             out = []
             for text, gone in zip(batch.column("_text"), batch.column("_gone"), strict=True):
                 words = (text.as_py() or "").encode().split()
-                change = np.zeros(len(words) + 1, np.int32)
-                for x in gone.as_py() or ():
-                    start, end = x["start"], x["start"] + x["edges"] + window - 1
-                    if x["bits"] is not None:
-                        for k in range(x["bits"].bit_length()):
-                            if x["bits"] >> k & 1:
-                                change[start + k] += 1
-                                change[start + k + window] -= 1
-                    elif x["digest"] is None or _digest(words, start, end) == x["digest"]:
-                        change[start] += 1
-                        change[end] -= 1
-                stays = np.cumsum(change)[:-1] == 0
-                n_removed = len(words) - int(stays.sum())
-                kept = b" ".join([w for w, s in zip(words, stays.tolist(), strict=True) if s] if n_removed else words)
+                gone = gone.as_py()
+                goes = _covered(words, gone, window) if gone else np.zeros(0, bool)
+                n_removed = int(goes.sum())
+                kept = b" ".join([w for w, g in zip(words, goes.tolist(), strict=True) if not g] if n_removed else words)
                 out.append((len(words), n_removed, kept.decode(), hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())

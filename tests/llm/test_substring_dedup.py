@@ -55,10 +55,10 @@ def test_long_passages_are_one_verified_span(spark, monkeypatch):
     met = found.join(found.groupBy("mini").count().where("count > 1").select("mini"), "mini", "left_semi")
     texts = frame.select(*row_keys("doc_id", "text"), F.col("text").alias("_text"))
     spans = substring_dedup.repeated_spans(met, texts, 35, "t").where("digest is not null").collect()
-    longest = {d: max(r["edges"] for r in spans if r["_id"] == d) for d in range(4)}
+    longest = {d: max(r["total"] for r in spans if r["_id"] == d) for d in range(4)}
     assert min(longest.values()) > 300 and len(spans) < 20  # 366 edges in paths of at most 24
     for r in spans:
-        own = docs[r["_id"]][1].encode().split()[r["start"] : r["start"] + r["edges"] + 34]
+        own = docs[r["_id"]][1].encode().split()[r["start"] : r["start"] + r["total"] + 34]
         assert bytes(r["digest"]) == hashlib.sha256(b" ".join(own)).digest()
     want = brute(docs)
     assert result(substring_dedup.remove_repeats(frame)) == want
@@ -79,3 +79,16 @@ def test_branches_repeats_and_edge_cases(spark):
     assert result(substring_dedup.remove_repeats(frame)) == brute(rows)
     assert result(substring_dedup.remove_repeats(frame, window=10, core=4)) == brute(rows, 10)
     assert substring_dedup.remove_repeats(frame.limit(0)).count() == 0
+
+
+def test_only_whole_units_are_verified():
+    words = [f"w{k}".encode() for k in range(60)]
+    row = lambda start, edges, unit, offset, total=None, digest=None, bits=None: {"start": start, "edges": edges, "bits": bits, "unit": unit, "offset": offset, "total": total, "digest": digest}
+    good = substring_dedup._digest(words, 0, 30)
+    gone = lambda *rows: substring_dedup._covered(words, list(rows), 10).nonzero()[0].tolist()
+    whole = [row(0, 12, 1, 0, 21, good), row(12, 9, 1, 12)]
+    assert gone(*whole) == gone(*whole, *whole) == list(range(30))
+    assert gone(row(0, 12, 1, 0, 21, b"other"), whole[1]) == []
+    assert gone(row(0, 12, 1, 0, 21, b"other"), row(12, 9, 2, 0)) == list(range(30))  # another passage follows: the unit is not there whole
+    assert gone(row(5, 4, None, None, bits=0b1001)) == [*range(5, 18)]
+    assert gone(row(50, 1, None, None, bits=1)) == list(range(50, 60))
