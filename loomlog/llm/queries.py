@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import decontaminate, licenses, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, token_counts, toxicity
+from loomlog.llm import conversation_repair, decontaminate, jaccard_join, licenses, oracles, packing, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup
+from loomlog.llm import token_counts, toxicity, whitening
 from loomlog.llm.base import scratch, table
 
 #: With five rules, holdouts of about 150 good documents a stratum certify a cutoff at this rate; the default of 0.05 needs about 600.
@@ -88,9 +89,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("_key")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repairs of damaged conversations; those of which no row is left have zeros, no edits and the hash of nothing."""
+    conversations = table(spark, sf_dir, "conversations")
+    found, _ = conversation_repair.repair(conversation_repair.damage(conversations))
+    every = conversations.select("conv_id").distinct()
+    found = found.withColumnRenamed("conv_id", "_conv")
+    out = every.join(found, every["conv_id"].eqNullSafe(found["_conv"]), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = (
     op1_token_counts, op1_token_counts_whole, op2_quality_rules, op2_quality_rules_wide, op3_quality_classifier, op4_substring_dedup, op5_secret_scan, op6_toxicity,
-    op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing,
+    op7_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan, op10_best_fit_packing, op11_jaccard_join, op12_embedding_whitening,
+    op13_conversation_repair,
 )
 
 
