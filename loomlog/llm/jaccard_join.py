@@ -143,13 +143,20 @@ def _fits(share: tuple[int, int]):
     return (F.least("a.n", "b.n") * share[1] >= F.greatest("a.n", "b.n") * share[0]) & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, share: tuple[int, int], name: str) -> DataFrame:
-    """The pairs ``a, b`` of sets that link."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int], name: str) -> DataFrame:
+    """The pairs ``a, b`` of sets that link. Only the texts of sets in pairs are read into sets."""
+    pairs = materialize(pairs.distinct(), f"{name}-pairs")
+    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+    keys = materialize(classes.select("sid", "_id", "_key").join(wanted, "sid", "left_semi"), f"{name}-keys")
+    found = same_row(docs, F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "inner")
+    sets = materialize(_whole_sets(found.select("sid", "_text").dropDuplicates(["sid"]), width), f"{name}-sets")
     one = sets.select(F.col("sid").alias("a"), F.col("own").alias("_x"))
     other = sets.select(F.col("sid").alias("b"), F.col("own").alias("_y"))
-    both = materialize(pairs.distinct(), f"{name}-pairs").join(one, "a").join(other, "b")
+    both = pairs.join(one, "a").join(other, "b")
     shared, all_ = F.size(F.array_intersect("_x", "_y")), F.size("_x") + F.size("_y")
-    return materialize(both.where(shared * (share[0] + share[1]) >= share[0] * all_).select("a", "b"), f"{name}-links")
+    out = materialize(both.where(shared * (share[0] + share[1]) >= share[0] * all_).select("a", "b"), f"{name}-links")
+    drop(pairs, keys, sets)
+    return out
 
 
 def _linked(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
@@ -161,14 +168,11 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, i
     alive = inside.join(places.select("gid").distinct(), "gid", "left_semi").union(inside.where("m > 1")).distinct()
     alive = materialize(alive, "jaccard-alive")
 
-    keys = materialize(classes.select("sid", "_id", "_key").join(alive, "sid", "left_semi"), "jaccard-keys")
-    found = same_row(docs, F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "inner")
-    sets = materialize(_whole_sets(found.select("sid", "_text").dropDuplicates(["sid"]), width), "jaccard-sets")
-
     pivots = materialize(places.where("host").groupBy("token", "band").agg(F.min(F.struct("gid", "n", "pos")).alias("p")).select("token", "band", "p.*"), "jaccard-pivots")
     star = places.alias("a").join(pivots.alias("b"), ["token", "band"]).where((F.col("a.gid") != F.col("b.gid")) & _fits(share))
     star = star.select(F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b"))
-    first = _verified(star.union(alive.where("sid <> gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))), sets, share, "jaccard-star")
+    star = star.union(alive.where("sid <> gid").select(F.col("gid").alias("a"), F.col("sid").alias("b")))
+    first = _verified(star, docs, classes, width, share, "jaccard-star")
     rooted = components(first, "jaccard-first")
 
     known = alive.join(rooted, alive["sid"] == rooted["node"], "left").select("sid", "gid", F.coalesce("root", "sid").alias("root"))
@@ -186,10 +190,10 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, i
     one = known.select(F.col("gid").alias("g"), F.col("sid").alias("a"), F.col("root").alias("ra"))
     other = known.select(F.col("gid").alias("h"), F.col("sid").alias("b"), F.col("root").alias("rb"))
     expanded = pairs.join(one, "g").join(other, "h").where("ra <> rb and (g <> h or a < b)").select("a", "b")
-    second = _verified(expanded, sets, share, "jaccard-rest")
+    second = _verified(expanded, docs, classes, width, share, "jaccard-rest")
     edges = rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
     final = components(edges, "jaccard-final")
-    drop(groups, places, alive, keys, sets, pivots, left, pairs, first, second)
+    drop(groups, places, alive, pivots, left, pairs, first, second)
     return final.select(F.col("node").alias("sid"), "root").union(final.select(F.col("root").alias("sid"), "root").distinct())
 
 
