@@ -61,15 +61,17 @@ def filter_module_levels(logs: DataFrame, overrides: DataFrame, default_level: i
     """Rows at or above their module's effective level; OFF lets nothing through.
 
     ``overrides`` has device, module, enabled, level. Levels are resolved on the distinct modules, not on the rows, and written once. ``known`` is
-    a table of all modules (device, module); where it is given, the rows are not read for them, so ``logs`` may be a stream.
+    a table of modules (device, module); where it is given, the rows are not read for them, so ``logs`` may be a stream. For the rows of modules
+    that it lacks, and of null devices or modules, the default level decides.
     """
     found = logs.select("device", "module") if known is None else known.select("device", "module")
     limits = materialize(effective_levels(found.distinct(), overrides, default_level).withColumnsRenamed({"device": "_d", "module": "_m"}), "levels")
     size = limits.agg(F.sum(F.octet_length("_d") + F.octet_length("_m") + 48)).first()[0] or 0
     if size <= MOST_BROADCAST_BYTES:
         limits = F.broadcast(limits)
-    out = logs.join(limits, (F.col("device") == F.col("_d")) & (F.col("module") == F.col("_m")))
-    return out.where((F.col("level") >= F.col("min_level")) & (F.col("min_level") < OFF)).select(*logs.columns)
+    out = logs.join(limits, (F.col("device") == F.col("_d")) & (F.col("module") == F.col("_m")), "left")
+    least = F.coalesce("min_level", F.lit(level_number(default_level)))
+    return out.where((F.col("level") >= least) & (least < OFF)).select(*logs.columns)
 
 
 @dataclass(frozen=True)

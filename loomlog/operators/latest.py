@@ -41,18 +41,18 @@ def watch_latest(logs: DataFrame, watches: DataFrame) -> DataFrame:
 
 
 def value_changes(logs: DataFrame, block: int = 1_000_000) -> DataFrame:
-    """The rows whose message differs from the one before in their module; the first row counts.
+    """The rows whose message differs from the one before in their module; the first row counts. Null devices and modules are modules like others.
 
     Rows of one ``seq`` go by ``kv_pos`` where there is one. Modules are cut into blocks of ``seq``, and the last message of the block before is carried over, so that a
     busy module is not one task.
     """
     place = [c for c in ("seq", "kv_pos") if c in logs.columns]
-    rows = logs.withColumn("_block", F.floor(F.col("seq") / block))
-    key = ["device", "module", "_block"]
-    last = rows.groupBy(*key).agg(F.max(F.struct(*place, F.struct("message").alias("m"))).alias("_l"))
-    carried = last.select(*key, F.lag("_l.m").over(Window.partitionBy("device", "module").orderBy("_block")).alias("_carried"))
-    inside = F.lag(F.struct("message")).over(Window.partitionBy(*key).orderBy(*place))
-    before = rows.withColumn("_inside", inside).join(carried, key).withColumn("_before", F.coalesce("_inside", "_carried")["message"])
+    # a struct can be a key even where its fields are null
+    rows = logs.withColumns({"_key": F.struct("device", "module"), "_block": F.floor(F.col("seq") / block)})
+    last = rows.groupBy("_key", "_block").agg(F.max(F.struct(*place, F.struct("message").alias("m"))).alias("_l"))
+    carried = last.select("_key", "_block", F.lag("_l.m").over(Window.partitionBy("_key").orderBy("_block")).alias("_carried"))
+    inside = F.lag(F.struct("message")).over(Window.partitionBy("_key", "_block").orderBy(*place))
+    before = rows.withColumn("_inside", inside).join(carried, ["_key", "_block"]).withColumn("_before", F.coalesce("_inside", "_carried")["message"])
     return before.where(~F.col("message").eqNullSafe(F.col("_before")) | F.col("_before").isNull()).select(*logs.columns)
 
 

@@ -95,7 +95,7 @@ def extract_key_values(logs: DataFrame, out_device: str) -> DataFrame:
     """
     out_device = out_device.lower()
     rows = logs.where(F.col("message").contains("=") & ~F.col("device").isin(out_device, "system"))
-    keep = [c for c in logs.columns if c not in ("device", "module", "message", "ts")]
+    keep = [c for c in logs.columns if c not in ("device", "module", "message", "ts", "kv_pos")]
     tokens = rows.select(*keep, F.col("module").alias("_module"), F.posexplode(F.split("message", " ", -1)).alias("kv_pos", "_token"))
     key, value = F.substring_index("_token", "=", 1), F.rtrim(F.regexp_replace("_token", "^[^=]*=", ""), F.lit(",;"))
     cut = tokens.where(F.col("_token").contains("=")).select(*keep, "kv_pos", F.lit(out_device).alias("device"), T.normalize_module(F.concat("_module", F.lit("."), key)).alias("module"), value.alias("message"), key.alias("_key"))

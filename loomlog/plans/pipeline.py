@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from loomlog.functions import text as T
 from loomlog.operators import lines as L
 from loomlog.operators import order, signals
-from loomlog.storage import materialize
+from loomlog.storage import materialize, passing
 from loomlog.streaming.stateful import split_lines_stream
 
 #: A step takes a column and its options; ``reads`` and ``gives`` are ``bytes`` or ``text``.
@@ -120,17 +121,73 @@ def run_topology(spec: dict[str, dict], inputs: dict[str, DataFrame], order_cols
     read again is written once). Rows go by time, then by their place in the input (``PLACES``), then by device, module, level and message, or by
     ``order_cols``, which must tell all rows apart for ``seq`` to be the same on every run.
     """
+    _check_sources(spec, inputs)
     done: dict[str, DataFrame] = {}
     read_again = {s for one in spec.values() for s in one["sources"]}
     for name, one in spec.items():
         own = dict(one)
-        missing = [s for s in own["sources"] if s not in inputs and s not in done]
-        if missing:
-            raise ValueError(f"{name}: unknown sources {missing}")
         parts = [done.get(s, inputs.get(s)) for s in own.pop("sources")]
         out = build_pipeline(own)(order.merge_logs(*parts))
         done[name] = materialize(out, "pipeline") if name in read_again else out
+    merged, default_order = _merged(done)
+    return order.assign_seq(merged, order_cols or default_order)
+
+
+def _check_sources(spec: dict[str, dict], inputs: dict[str, DataFrame]) -> None:
+    """Sources are inputs or pipelines named before."""
+    known = set(inputs)
+    for name, one in spec.items():
+        missing = [s for s in one["sources"] if s not in known]
+        if missing:
+            raise ValueError(f"{name}: unknown sources {missing}")
+        known.add(name)
+
+
+def _merged(done: dict[str, DataFrame]) -> tuple[DataFrame, tuple[str, ...]]:
+    """The rows of all pipelines with the places that some of them have, and the order by default."""
     columns = ["timestamp_ns", "device", "module", "level", "message"]
     places = [c for c in PLACES if any(c in x.columns for x in done.values())]
     merged = order.merge_logs(*[x.select(*columns, *[c for c in places if c in x.columns]) for x in done.values()])
-    return order.assign_seq(merged, order_cols or ("timestamp_ns", *places, "device", "module", "level", "message"))
+    return merged, ("timestamp_ns", *places, "device", "module", "level", "message")
+
+
+def stream_topology(spec: dict[str, dict], inputs: dict[str, DataFrame]) -> tuple[DataFrame, Callable[[DataFrame], dict[str, DataFrame]]]:
+    """``run_topology`` over streams, in two parts: one stream, and what becomes of its batches.
+
+    The stream holds the rows of every pipeline that reads an input, with the pipeline's name in ``_pipeline``; lines that run over chunks and batches are
+    its state, kept once however many read the pipeline. The function takes a batch of it and gives the rows of all pipelines by name, those that read other pipelines too.
+    A pipeline may read inputs and pipelines. Inputs may be streams or tables.
+    """
+    _check_sources(spec, inputs)
+    own = {name: ({k: v for k, v in one.items() if k != "sources"}, [s for s in one["sources"] if s in inputs], [s for s in one["sources"] if s not in inputs]) for name, one in spec.items()}
+    first = [build_pipeline(options)(order.merge_logs(*[inputs[s] for s in read])).withColumn("_pipeline", F.lit(name)) for name, (options, read, _) in own.items() if read]
+    if not first:
+        raise ValueError("no pipeline reads an input")
+
+    def rest(batch: DataFrame) -> dict[str, DataFrame]:
+        done: dict[str, DataFrame] = {}
+        for name, (options, read, behind) in own.items():
+            parts = [batch.where(F.col("_pipeline") == name).drop("_pipeline")] if read else []
+            parts += [build_pipeline(options)(order.merge_logs(*[done[s] for s in behind]))] if behind else []
+            done[name] = order.merge_logs(*parts)
+        return done
+
+    return order.merge_logs(*first), rest
+
+
+def start_topology(spec: dict[str, dict], inputs: dict[str, DataFrame], path: str, order_cols: tuple[str, ...] | None = None, subscribers: Callable[[DataFrame, int], None] | None = None) -> DataStreamWriter:
+    """A writer of the whole topology as one streaming query, to be started; its state and its log table lie below ``path``.
+
+    Each batch is parsed, passed to the pipelines that read others, merged and numbered (see ``seq_sink``): the rows are at ``<path>/rows``, and a batch that comes
+    again is numbered as before. ``subscribers``, a ``FanOut`` for instance, get the numbered rows of each batch. Rows of one batch are in one order; over batches they go as they come.
+    """
+    stream, rest = stream_topology(spec, inputs)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with passing():
+            rows, default_order = _merged(rest(materialize(batch, "topology")))  # several pipelines read it
+            order.seq_sink(path, order_cols or default_order)(rows, batch_id)
+        if subscribers:
+            subscribers(batch.sparkSession.read.parquet(f"{path}/rows/batch={batch_id}"), batch_id)
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", f"{path}/state")

@@ -13,9 +13,11 @@ from loomlog.operators import filters, latest, lines, modules, order, render, se
 from loomlog.operators.filters import LogFilter
 from loomlog.plans import pipeline, tables
 from loomlog.sources import capture, session_log
+from loomlog.sources.log_store import LogStore
 from loomlog.sources.stream import stream_chunks
 from loomlog.storage import scratch
-from loomlog.streaming.fan_out import fan_out
+from loomlog.streaming.fan_out import FanOut, fan_out
+from loomlog.streaming.registry import Registry
 from loomlog.streaming.stateful import state_store
 
 #: The log table in SQL; every oracle starts with it.
@@ -466,6 +468,18 @@ def _(spark, d):
     return modules.modules(tables.logs(spark, d)).drop("ancestors")
 
 
+@query("h2_stable_ids", """select d.device_id, d.first_seq as device_seq, k.device, k.module, k.first_seq,
+  (row_number() over (partition by k.device order by k.first_seq, case k.module when '' then 0 when 'app' then 1 else 2 end, k.module) - 1)::int as module_id
+  from known k join (select device, (row_number() over (order by min(seq), device) - 1)::int as device_id, min(seq) as first_seq from logs group by device) d using (device)""", KNOWN)
+def _(spark, d):
+    """Devices and modules registered in three batches, the second one twice; the ids are those of one pass."""
+    logs = tables.logs(spark, d)
+    registry = Registry(spark, scratch(spark, "registry"))
+    for batch_id, rows in ((0, logs.where("seq <= 5")), (1, logs.where("seq between 6 and 40")), (1, logs.where("seq between 6 and 40")), (2, logs.where("seq > 40"))):
+        registry.add(rows, batch_id)
+    return registry.modules().join(registry.devices().withColumnRenamed("first_seq", "device_seq"), "device").select("device_id", "device_seq", "device", "module", "first_seq", "module_id")
+
+
 @query("h3_module_closure", "select device, unnest(case module when '' then [] when 'app' then [''] else ['', 'app'] end) as ancestor, module as descendant from known", KNOWN)
 def _(spark, d):
     return modules.module_closure(modules.modules(tables.logs(spark, d)))
@@ -500,6 +514,14 @@ def _(spark, d):
     return render.tail(tables.logs(spark, d), LogFilter(device="dev2", level="WARNING"), 50)
 
 
+@query("q1_newest", "select * from (select * from logs where level >= 30 and device = 'dev2' order by seq desc limit 50) order by seq")
+def _(spark, d):
+    """The same from a stored log, by range probing."""
+    store = LogStore(spark, scratch(spark, "store"), ("timestamp_ns", "_seq"))
+    store.append(tables.logs(spark, d).withColumnRenamed("seq", "_seq"), 0)
+    return store.newest(LogFilter(device="dev2", level="WARNING"), 50).select("seq", "timestamp_ns", "device", "module", "level", "message")
+
+
 @query("q2_render", f"select seq, {_RENDERED} as line from logs")
 def _(spark, d):
     return render.render(tables.logs(spark, d))
@@ -554,6 +576,30 @@ def _(spark, d):
     return spark.read.schema("source string, chunks long").parquet(counts).groupBy("source").agg(F.sum("chunks").alias("chunks")).join(sizes, "source")
 
 
+@query("o6_sinks_catch_up", """select cast(doc_id as varchar) as source, length(t) // 64 + (length(t) % 64 > 0)::int as steady, length(t) // 64 + (length(t) % 64 > 0)::int as shaky
+  from (select doc_id, concat(coalesce(text, ''), chr(10)) as t from documents)""")
+def _(spark, d):
+    """Chunks streamed in small batches to two sinks, one of which fails twice; it catches up, and no batch is lost or doubled."""
+    dropped, out, state = (scratch(spark, x) for x in ("dropped", "sinks", "state"))
+    tables.chunks(spark, d).repartition(6).write.parquet(dropped)
+    failures = iter([0, 1])
+
+    def put(name: str, batch: DataFrame, n: int) -> None:
+        batch.groupBy("source").agg(F.count("*").alias("chunks")).write.parquet(f"{out}/{name}/batch={n}")  # a batch given twice would be an error
+
+    def shaky(batch: DataFrame, n: int) -> None:
+        if next(failures, None) is not None:
+            raise OSError("not now")
+        put("shaky", batch, n)
+
+    sinks = FanOut({"shaky": shaky, "steady": lambda batch, n: put("steady", batch, n)}, f"{out}/ledger")
+    stream = stream_chunks(spark, {"path": dropped, "maxFilesPerTrigger": 2})
+    stream.writeStream.foreachBatch(sinks).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    sinks.catch_up(spark)
+    counts = [spark.read.schema("source string, chunks long").parquet(f"{out}/{x}").groupBy("source").agg(F.sum("chunks").alias(x)) for x in ("steady", "shaky")]
+    return counts[0].join(counts[1], "source", "full")
+
+
 @query("a1_latest_stream", "select * from latest", LATEST)
 def _(spark, d):
     """The latest rows kept by a stream in update mode, its batches merged by seq."""
@@ -607,6 +653,23 @@ def _(spark, d):
     return pipeline.run_topology(spec, {"in": records}, ("timestamp_ns", "device", "module", "message")).select("seq", "timestamp_ns", "device", "module", "message")
 
 
+@query("c2_stream_topology", """select row_number() over (order by timestamp_ns, device, module, message) as seq, timestamp_ns, device, module, message from (
+  select timestamp_ns, 'rec' as device, module, message from logs
+  union all select timestamp_ns, device, module, message from kv)""", KV)
+def _(spark, d):
+    """The same topology as one streaming query over records that drop in three parts by time."""
+    dropped, out = (scratch(spark, x) for x in ("dropped", "topology"))
+    records = tables.logs(spark, d).selectExpr("timestamp_ns as created_ns", "level as levelno", "module as name", "message as msg")
+    low, high = records.agg(F.min("created_ns"), F.max("created_ns")).first()
+    for k in range(3):
+        begin, end = (low + (high + 1 - low) * x // 3 for x in (k, k + 1))
+        records.where(F.col("created_ns").between(begin, end - 1)).coalesce(4).write.mode("append").parquet(dropped)
+    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 4).parquet(dropped)
+    spec = {"main": {"type": "records", "device": "rec", "sources": ["in"]}, "values": {"type": "key_value", "device": "kv", "sources": ["main"]}}
+    pipeline.start_topology(spec, {"in": stream}, out, ("timestamp_ns", "device", "module", "message")).trigger(availableNow=True).start().awaitTermination()
+    return LogStore(spark, out).rows().select("seq", "timestamp_ns", "device", "module", "message")
+
+
 def newest_by_module(spark, sf_dir: str) -> DataFrame:
     """The flagship: the latest row of each module among those at WARNING or above, the newest 50."""
     return latest.latest_by_module(filters.apply_filter(tables.logs(spark, sf_dir), LogFilter(level="WARNING"))).orderBy(F.desc("seq")).limit(50)

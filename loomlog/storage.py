@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: list[str] = []
-#: The tables written inside each open ``passing``, innermost last.
-_open: list[list[DataFrame]] = []
+#: The tables written inside each open ``passing`` of this thread, innermost last.
+_open: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("open", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,9 +32,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loomlog-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _at(spark: SparkSession, path: str):
+    """The file system of a path and the path in it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies in a folder; none if there is no such folder."""
+    files, at = _at(spark, path)
+    return sorted(x.getPath().getName() for x in files.listStatus(at)) if files.exists(at) else []
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    files, at = _at(spark, path)
+    files.create(at, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _remove(spark, path)
 
 
 def drop_scratch(spark: SparkSession) -> None:
@@ -48,8 +71,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
-    if _open:
-        _open[-1].append(out)
+    if _open.get():
+        _open.get()[-1].append(out)
     return out
 
 
@@ -75,11 +98,12 @@ def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.add(id(df))
         return df
 
-    _open.append(made)
+    before = _open.get()
+    _open.set((*before, made))
     try:
         yield keep
     finally:
-        _open.pop()
+        _open.set(before)
         drop(*[x for x in made if id(x) not in kept])
-        if _open:
-            _open[-1].extend(x for x in made if id(x) in kept)
+        if before:
+            before[-1].extend(x for x in made if id(x) in kept)

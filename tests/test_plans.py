@@ -9,7 +9,7 @@ from loomlog.plans import tables
 
 SF = "/root/testdata/sf0.001"
 #: These have a single-partition window on a table of a row or two a device, day or partition, a scalar maximum of partial ones, or a final sort with a limit.
-SMALL_WINDOWS = {"h1_devices", "a7_backlog", "a8_overload_periods", "o3_assign_seq", "c2_run_topology", "f9_find_next", "f9_find_prev", "latest_warnings", "q1_tail", "o4_retain_last", "t5_view_window"}
+SMALL_WINDOWS = {"h1_devices", "a7_backlog", "a8_overload_periods", "o3_assign_seq", "c2_run_topology", "f9_find_next", "f9_find_prev", "latest_warnings", "q1_tail", "o4_retain_last", "t5_view_window", "q1_newest"}
 
 
 def plan_of(df):
