@@ -3,10 +3,9 @@
 Texts are cut into lower-case words without ASCII punctuation. Seeds are pairs of item words, neighbours or one word apart,
 that stand next to each other or one word apart in a text. Of an alignment with m matches and e edits (score 2m - e), all but
 the gaps of two edits or more between matches are seeds; so the seeds of a score of t weigh t - 2 at least, where a pair without an
-edit weighs 2 and one with an edit 1. Items that one matched word brings to the least score have single words as seeds. No seed is left
-out for being frequent. Those parts of a text that hold enough seeds of an item are aligned with it, alike parts once a task. While the seeds are few,
-tasks look them up as they read the texts; beyond that, the texts' seeds that pass a bitmap of a fixed size meet those of the items in a join, and
-the same parts are aligned.
+edit weighs 2 and one with an edit 1. Items that one matched word brings to the least score have single words as seeds. Those parts of a text that hold enough seeds of an item are aligned with it, alike parts once a task. While the seeds are few,
+tasks look them up as they read the texts; beyond that, each item keeps the rarest of its seeds, so many that no alignment can do without all of them; the texts'
+seeds that pass a bitmap of a fixed size meet these in a join, and the same parts are aligned.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomlog.llm.base import every, materialize, named, row_keys, same_row
 
@@ -26,6 +26,8 @@ from loomlog.llm.base import every, materialize, named, row_keys, same_row
 MOST_BROADCAST = 4_000_000
 #: The bitmap that texts' seeds pass before the join has so many bits, as a power of two (8 MB).
 BITMAP = 26
+#: So many texts tell, beside the items, which seeds are frequent, and one of them counts for so many items.
+SAMPLED_TEXTS, SAMPLE_WEIGHT = 2_000, 1_000
 #: Alignments that a task remembers, so that alike parts are aligned once.
 MOST_KNOWN = 20_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -244,18 +246,41 @@ def _bitmap(seeds: DataFrame) -> np.ndarray:
     return out
 
 
+def _rare(seeds: DataFrame, hashed: DataFrame) -> DataFrame:
+    """``_ikey, seed, near, least``: the rarer seeds of each item, and the weight that an alignment has in them at least.
+
+    The most frequent seeds of an item are left out as long as all they can weigh together stays below what an alignment needs, so every alignment
+    holds some that stay. How frequent seeds are is told by the items and by a sample of texts; it decides what is joined, not what is found.
+    """
+
+    def of_sample(batches):
+        for batch in batches:
+            for words in batch.column("words"):
+                own = words.values.to_numpy().view(np.uint64)
+                each = np.unique(np.concatenate([_seeds(own, apart) for apart in range(min(3, len(own)))]))
+                yield pa.RecordBatch.from_arrays([pa.array(each.view(np.int64))], names=["seed"])
+
+    sampled = hashed.select("words").limit(SAMPLED_TEXTS).mapInArrow(of_sample, "seed long").groupBy("seed").agg((F.count("*") * SAMPLE_WEIGHT).alias("c"))
+    often = materialize(seeds.groupBy("seed").agg(F.count("*").alias("c")).union(sampled.join(seeds.select("seed").distinct(), "seed", "left_semi")).groupBy("seed").agg(F.sum("c").alias("c")), "seed-counts")
+    inside = Window.partitionBy("_ikey").orderBy(F.desc("c"), "seed").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = seeds.join(often, "seed").withColumn("_upto", F.sum("most").over(inside))
+    gone = F.max(F.when(F.col("_upto") < F.col("need"), F.col("_upto"))).over(Window.partitionBy("_ikey"))
+    return ranked.withColumn("least", F.col("need") - F.coalesce(gone, F.lit(0))).where("_upto >= need").select("_ikey", "seed", "near", "least")
+
+
 def _joined(hashed: DataFrame, bench: DataFrame, least_score: float, size: int, kinds: str) -> DataFrame:
     """The alignments of every text, by a join on seeds."""
 
     def of_items(batches):
         for batch in batches:
             for key, words in zip(batch.column("_ikey"), batch.column("words"), strict=True):
-                own, near, _, need = _item_seeds(words.values.to_numpy().view(np.uint64), least_score)
+                own, near, most, need = _item_seeds(words.values.to_numpy().view(np.uint64), least_score)
                 keys, needs = (pa.array([x] * len(own), pa.int64()) for x in (key.as_py(), need))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(own.view(np.int64)), pa.array(near), needs], names=["_ikey", "seed", "near", "need"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(own.view(np.int64)), pa.array(near), pa.array(most, pa.int64()), needs], names=["_ikey", "seed", "near", "most", "need"])
 
     wanted = bench.select("_ikey", "words").dropDuplicates(["_ikey"])
-    seeds = materialize(wanted.mapInArrow(of_items, "_ikey long, seed long, near boolean, need long"), "item-seeds")
+    every_seed = materialize(wanted.mapInArrow(of_items, "_ikey long, seed long, near boolean, most long, need long"), "item-seeds")
+    seeds = materialize(_rare(every_seed, hashed), "rare-seeds")
     maybe, shift = hashed.sparkSession.sparkContext.broadcast(_bitmap(seeds)), np.uint64(64 - BITMAP)
 
     def of_texts(batches):
@@ -293,7 +318,7 @@ def _joined(hashed: DataFrame, bench: DataFrame, least_score: float, size: int,
 
     texts = hashed.select("_id", "_key", "words").mapInArrow(of_texts, f"{kinds}, seed long, beside boolean, n long")
     weight = F.col("n") * F.when(F.col("near") & F.col("beside"), 2).otherwise(1)
-    pairs = texts.join(seeds, "seed").groupBy("_id", "_key", "_ikey").agg(F.sum(weight).alias("w"), F.first("need").alias("need")).where("w >= need")
+    pairs = texts.join(seeds, "seed").groupBy("_id", "_key", "_ikey").agg(F.sum(weight).alias("w"), F.first("least").alias("least")).where("w >= least")
     pairs = same_row(pairs.select("_id", "_key", "_ikey"), hashed, "inner").join(wanted.withColumnRenamed("words", "_words"), "_ikey")
     return pairs.select("_id", "_key", "_ikey", "words", "_words").mapInArrow(run, f"{kinds}, _ikey long, score double, start int, end int, seeds long")
 

@@ -13,8 +13,9 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from loomlog.llm.base import let, named, row_keys
+from loomlog.llm.base import let, materialize, named, row_keys
 
 #: Notices by which licences are applied, in their published wording.
 NOTICES = {
@@ -182,11 +183,12 @@ def templates(spark: SparkSession, texts: dict[str, list[str]] = TEMPLATES) -> D
     return forms.select("license", "form", bigrams(F.col("_template")).alias("_grams"), F.size(normal_words(F.col("_template"))).alias("_words"))
 
 
-def _runs(rows: DataFrame, known: DataFrame, dice: float) -> DataFrame:
-    """``_id, _key, license, unit, dice`` of the best run of whole lines for each licence, with the line where it begins.
+def _runs(rows: DataFrame, known: DataFrame, found: DataFrame, dice: float) -> DataFrame:
+    """``_id, _key, license, unit, dice`` of the best run of whole lines for each licence that is not among ``found``, with the line where it begins.
 
     The first and the last line of a run hold bigrams of the template, no further apart than the template's words, repeats too, allow within
-    ``dice``. Bigrams of a run that the template lacks count as often as they stand.
+    ``dice``. Bigrams of a run that the template lacks count as often as they stand. The places of a template's bigrams in a text are cut into
+    blocks as long as a run may be, each with the places of the next, so what a run is chosen from is bounded by the template, not by the text.
     """
 
     def placed(line: Column, i: Column) -> Column:
@@ -199,19 +201,39 @@ def _runs(rows: DataFrame, known: DataFrame, dice: float) -> DataFrame:
     pair = lambda a, b: F.struct(a["line"].alias("line"), a["before"].alias("before"), b["after"].alias("after"), F.concat_ws(" ", a["w"], b["w"]).alias("gram"))
     pairs = F.zip_with(F.slice("_w", F.lit(1), n), F.slice("_w", F.lit(2), n), pair)
     places = words.select("_id", "_key", F.posexplode(pairs).alias("p", "x")).select("_id", "_key", "p", "x.line", "x.before", "x.after", F.col("x.gram").alias("_gram"))
-    by_form = places.join(known, "_gram").groupBy("_id", "_key", "license", "form", "_t", "_reach")
-    hits = by_form.agg(F.array_sort(F.collect_list(F.struct("p", "line", "before", "after", F.col("_gram").alias("gram")))).alias("_hits"))
+    hits = places.join(known, "_gram")
+    told = found.select(F.col("_id").alias("_fid"), F.col("_key").alias("_fkey"), F.col("license").alias("_flicense")).distinct()
+    hits = hits.join(told, (hits["_key"] == told["_fkey"]) & (hits["license"] == told["_flicense"]) & hits["_id"].eqNullSafe(told["_fid"]), "left_anti")
+
+    own = ["_id", "_key", "license", "form", "_t", "_reach"]
+    in_order = Window.partitionBy(*own).orderBy("p")
     need = F.col("_t") * dice / (2 - dice) - 1e-9
-    hits = hits.where(F.size(F.array_distinct("_hits.gram")) >= need)
-    starts = hits.select("*", F.posexplode("_hits").alias("i", "from"))
-    starts = starts.withColumn("_near", F.expr("filter(slice(_hits, i + 1, _reach), x -> x.p < from.p + _reach)")).drop("_hits")
-    starts = starts.where(F.size(F.array_distinct("_near.gram")) >= need)
-    ends = starts.select("*", F.posexplode("_near").alias("k", "to")).withColumn("_shared", F.expr("size(array_distinct(slice(_near.gram, 1, k + 1)))"))
-    long = F.col("to.p") + 1 + F.col("to.after") - F.col("from.p") + F.col("from.before")  # bigrams of the whole lines
-    score = 2 * F.col("_shared") / (F.col("_t") + F.col("_shared") + long - (F.col("k") + 1))
-    found = ends.select("_id", "_key", "license", F.col("from.line").alias("unit"), score.alias("dice")).where(F.col("dice") >= dice)
-    best = found.groupBy("_id", "_key", "license").agg(F.max(F.struct("dice", (-F.col("unit")).alias("u"))).alias("b"))
-    return best.select("_id", "_key", "license", (-F.col("b.u")).alias("unit"), "b.dice")
+    hits = hits.repartition(*own).withColumn("prev", F.coalesce(F.lag("p").over(Window.partitionBy(*own, "_gram").orderBy("p")), F.lit(-1)))
+    hits = hits.withColumns({  # of a line only the first place can begin the best run, and only the last can end it
+        "begins": F.coalesce(F.lag("line").over(in_order) != F.col("line"), F.lit(True)),
+        "ends": F.coalesce(F.lead("line").over(in_order) != F.col("line"), F.lit(True)),
+        "_kinds": F.sum((F.col("prev") < 0).cast("int")).over(Window.partitionBy(*own)),
+    }).where(F.col("_kinds") >= need)
+    block = F.floor(F.col("p") / F.col("_reach"))
+    hits = hits.select(*own, "p", "line", "before", "after", "prev", "begins", "ends", block.alias("_own"), F.explode(F.array(block, block - 1)).alias("_block"))
+    each = F.struct("p", "line", "before", "after", "prev", (F.col("begins") & (F.col("_own") == F.col("_block"))).alias("begins"), "ends")
+    blocks = hits.groupBy(*own, "_block").agg(F.sort_array(F.collect_list(each)).alias("_hits"))
+
+    def best_from(start: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            taken, shared = state["taken"] + 1, state["shared"] + (x["prev"] < start["p"]).cast("int")
+            long = x["p"] + 1 + x["after"] - start["p"] + start["before"]  # bigrams of the whole lines
+            score = 2 * shared / (F.col("_t") + shared + long - taken)
+            return F.struct(taken.alias("taken"), shared.alias("shared"), F.greatest(state["best"], F.when(x["ends"], score).otherwise(0.0)).alias("best"))
+
+        near = F.filter("_hits", lambda x: (x["p"] >= start["p"]) & (x["p"] < start["p"] + F.col("_reach")))
+        nothing = F.struct(F.lit(0).alias("taken"), F.lit(0).alias("shared"), F.lit(0.0).alias("best"))
+        return F.struct(F.aggregate(near, nothing, step, lambda state: state["best"]).alias("dice"), (-start["line"]).alias("u"))
+
+    best = F.array_max(F.transform(F.filter("_hits", lambda x: x["begins"]), best_from))
+    runs = blocks.select("_id", "_key", "license", best.alias("b")).where(F.col("b.dice") >= dice)
+    runs = runs.groupBy("_id", "_key", "license").agg(F.max("b").alias("b"))
+    return runs.select("_id", "_key", "license", (-F.col("b.u")).alias("unit"), "b.dice")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dice: float = 0.8, texts: dict[str, list[str]] = TEMPLATES) -> DataFrame:
@@ -238,7 +260,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", dic
     shared = units.select("_id", "_key", "unit", "_n", F.explode("_grams").alias("_gram")).join(known.drop("_reach"), "_gram")
     bound = 2 * F.least("_n", "_t") / (F.col("_n") + F.col("_t")) >= dice  # the most that sizes allow
     hits = shared.where(bound).groupBy("_id", "_key", "unit", "license", "form").agg((2 * F.count_distinct("_gram") / F.first(F.col("_n") + F.col("_t"))).alias("dice")).where(F.col("dice") >= dice)
-    hits = hits.select("_id", "_key", "license", "unit", "dice", F.lit(1).alias("own"))
-    hits = hits.unionByName(_runs(rows, known, dice).withColumn("own", F.lit(0)))
+    hits = materialize(hits.select("_id", "_key", "license", "unit", "dice"), "license-units")
+    hits = hits.withColumn("own", F.lit(1)).unionByName(_runs(rows, known, hits, dice).withColumn("own", F.lit(0)))
     best = hits.groupBy("_id", "_key", "license").agg(F.max(F.struct("own", "dice", (-F.col("unit")).alias("u"))).alias("b"))
     return best.select(F.col("_id").alias(id_col), "license", (-F.col("b.u")).alias("unit"), F.col("b.dice").alias("dice"), "_key")

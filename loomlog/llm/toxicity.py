@@ -92,7 +92,13 @@ class Lexicon:
                 else:
                     start = end - size + 1
                     best[start] = max(best.get(start, (0, 0.0)), (size, weight))
-        found = [w for s, (_, w) in best.items() if not any(a <= s < b for a, b in safe)]
+        found, reach, at = [], -1, 0
+        safe.sort()
+        for start in sorted(best):  # both lists once, however long
+            while at < len(safe) and safe[at][0] <= start:
+                reach, at = max(reach, safe[at][1]), at + 1
+            if reach <= start:
+                found.append(best[start][1])
         total, words = sum(found), max(1, folded.count(" ") - 1)  # one space more than words
         return math.log1p(total), math.log1p(100 * total / words), float(len(found) > 0), float(len(found) > 1), math.log1p(words)
 
@@ -151,8 +157,8 @@ def score(
     """Returns the id, held_out, score and predicted for every row.
 
     Null and empty texts hold no terms and get the score of a text without; rows with a null id are scored and not held out;
-    repeated rows score alike, and one of them is learned from; several labels of one id count as the largest; without labels all scores are one half; other
-    columns are not looked at; no rows give no rows.
+    repeated rows score alike, and one of them is learned from; several labels of one id count as the largest; without labels all scores are one half; very long
+    texts are scored whole, in time that goes with their length; other columns are not looked at; no rows give no rows.
     """
     sample = materialize(training_sample(docs, labels, id_col, text_col, label_col, most_rows, ~held_out(id_col)), "toxicity-sample")
     lexicon, weights = learn(sample, exceptions)

@@ -140,3 +140,25 @@ def test_parts_of_texts_lose_no_alignment():
         found = [align(text[a:b], item)[0] for _, a, b in decontaminate._Index([7], [item], least).parts(text)]
         if score / (2 * len(item)) >= least:
             assert max(found, default=0) == score
+
+
+def test_a_pair_that_stands_in_every_text_and_item(spark, monkeypatch):
+    """The join leaves the frequent pair out, and finds what the lookup finds; an item of nothing but the pair keeps it."""
+    rng = random.Random(8)
+    items = [(k, " ".join(["of", "the", *(f"i{k}w{j}" for j in range(18)), "of", "the"])) for k in range(30)] + [(90, "of the of the of the of the")]
+    docs = []
+    for k in range(400):
+        words = [w for _ in range(20) for w in ("of", "the", f"x{rng.randrange(500)}")]
+        if k % 5 == 0:
+            words[30:30] = items[k // 5 % 30][1].split()[: 22 - k // 5 % 9]
+        docs.append((k, " ".join(words)))
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    assert result(decontaminate.leaks(frame, bench)) == want and len(want) > 400
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    met = []
+    rare = decontaminate._rare
+    monkeypatch.setattr(decontaminate, "_rare", lambda *x: met.append(rare(*x)) or met[-1])
+    assert result(decontaminate.leaks(frame, bench)) == want
+    pair = int(decontaminate._seeds(decontaminate.word_hashes("of the"), 1).view(np.int64)[0])
+    assert met[0].where(f"seed = {pair}").count() == 1  # the item of the pair alone

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import duckdb
@@ -331,3 +332,24 @@ def test_runs_of_dots_take_linear_time(spark):
     got = [r["w"] for r in frame.collect()]
     assert got == [[], ["a." * 499_999 + "a"], ["licensed", "apache"], ["..v2"], [".x", "..y"]]
     assert licenses.scan(spark.createDataFrame([(1, texts[2])], "doc_id long, text string")).count() == 0
+
+
+def test_notices_repeated_thousands_of_times(spark):
+    """A text of 20,000 words, each line a notice; the notice wrapped over lines; and a whole licence wrapped over lines again and again."""
+    began = time.perf_counter()
+    wrapped = "\n".join(textwrap.wrap(licenses.WHOLE["mit"], 60))
+    rows = [(1, "Released under the MIT License.\n" * 4000), (2, "other words\nreleased under\nthe MIT License.\n" * 3000), (3, f"{wrapped}\nand then\n" * 100)]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = (r["unit"], r["dice"])
+    assert got[1] == {"mit": (1, 1.0)} and got[2] == {"mit": (2, 1.0)}
+    assert got[3]["mit"][0] in (0, 1) and got[3]["mit"][1] > 0.95
+    assert time.perf_counter() - began < 120
+
+
+def test_exceptions_are_walked_once():
+    began = time.perf_counter()
+    lexicon = toxicity.Lexicon({"idiot": 1.0, "trash": 2.0}, ("trash can", "can idiot proof"))
+    total = lexicon.figures("trash can idiot " * 100_000)[0]
+    assert total == pytest.approx(math.log1p(100_000)) and time.perf_counter() - began < 10
+    assert lexicon.figures("trash can idiot proof trash")[0] == pytest.approx(math.log1p(2.0))
