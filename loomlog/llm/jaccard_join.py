@@ -3,7 +3,8 @@
 Texts with equal sets are one set first. Shingles are put in one order for all sets, by how often the shingles of their hash bucket occur, then by
 hash; any order is right, and rare ones first keeps what many texts share out of the prefixes. Two sets that link share a shingle within
 their prefixes (a set of n shingles that must share o keeps n - o + 1), and sets of equal prefix and size form one group, so that prefixes meet as groups.
-Pairs of groups are filtered by size and by the place of the shingle they share, then expanded to their sets, which are compared shingle by shingle.
+Pairs of groups are filtered by size and by the place of the shingle they share, then expanded to their sets. Sets have sketches, parities of the number of their
+shingles in each of some buckets: sets that differ in d shingles differ in d parities at most, so most pairs are told apart by their sketches; what is left is compared shingle by shingle.
 
 Only components are asked for, so pairs that are connected already need no comparison. The first step compares each group with one pivot of
 every shingle it shares, and each set with the first of its group: as many pairs as there are places in prefixes. The second compares what is left,
@@ -43,6 +44,13 @@ def shingles(text: str | None, width: int, hasher: RunHasher) -> np.ndarray:
     return np.unique(hasher.of(np.arange(n - width + 1), width) if n >= width else hasher.of(np.zeros(1, np.int64), n))
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Parities by the last bits of the hash, about half as many as the set has shingles, a power of two."""
+    bits = max(64, 1 << (len(own) // 2).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _count(docs: DataFrame, width: int, id_type: str) -> DataFrame:
     """A row a document: ``_id, _key, n, sig``; and rows ``slice, counts``: what each task has counted of the buckets."""
     schema = f"_id {id_type}, _key long, n long, sig binary, slice int, counts array<long>"
@@ -78,15 +86,15 @@ def _bucket_counts(counted: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, share: tuple[int, int], id_type: str) -> DataFrame:
-    """``_id, _key, n, sig, gkey, prefix`` of the texts whose sets can link with another set."""
+    """``_id, _key, n, sig, gkey, prefix, sketch`` of the texts whose sets can link with another set."""
     num, den = share
     least, known = -(-num // (den - num)) if den > num else 1 << 62, docs.sparkSession.sparkContext.broadcast(counts)
-    schema = f"_id {id_type}, _key long, n long, sig binary, gkey binary, prefix array<long>"
+    schema = f"_id {id_type}, _key long, n long, sig binary, gkey binary, prefix array<long>, sketch array<long>"
 
     def run(batches):
         hasher, often = RunHasher(), known.value
         for batch in batches:
-            at, n, sig, gkey, prefix = [], [], [], [], []
+            at, n, sig, gkey, prefix, short = [], [], [], [], [], []
             for k, text in enumerate(batch.column(2)):
                 own = shingles(text.as_py(), width, hasher)
                 size = len(own)
@@ -99,9 +107,10 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, share: tuple[int,
                 sig.append(xxhash.xxh3_128_digest(own.tobytes()))
                 gkey.append(xxhash.xxh3_128_digest(size.to_bytes(8, "little") + first.tobytes()))
                 prefix.append(first)
+                short.append(sketch(own))
             keep = pa.array(at, pa.int64())
-            columns = [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(gkey, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "n", "sig", "gkey", "prefix"])
+            columns = [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(gkey, pa.binary()), *(pa.array(x, pa.list_(pa.int64())) for x in (prefix, short))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_id", "_key", "n", "sig", "gkey", "prefix", "sketch"])
 
     return docs.mapInArrow(run, schema)
 
@@ -144,8 +153,13 @@ def _fits(share: tuple[int, int]):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int], name: str) -> DataFrame:
-    """The pairs ``a, b`` of sets that link. Only the texts of sets in pairs are read into sets."""
-    pairs = materialize(pairs.distinct(), f"{name}-pairs")
+    """The pairs ``a, b`` of sets that link. Pairs are filtered by sketches; only the texts of those left are read into sets."""
+    one, other = (classes.select(F.col("sid").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s")) for x in "ab")
+    half = lambda c, k: F.slice(c, 1 + k * (F.size(c) / 2).cast("int"), (F.size(c) / 2).cast("int"))
+    folded = lambda c, d: F.when(F.size(c) > F.size(d), F.zip_with(half(c, 0), half(c, 1), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(c))
+    differ = F.aggregate(F.zip_with(folded("as", "bs"), folded("bs", "as"), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda total, k: total + k)
+    close = differ <= F.col("an") + F.col("bn") - 2 * _need(F.col("an"), F.col("bn"), share)
+    pairs = materialize(pairs.distinct().join(one, "a").join(other, "b").where(close).select("a", "b"), f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
     keys = materialize(classes.select("sid", "_id", "_key").join(wanted, "sid", "left_semi"), f"{name}-keys")
     found = same_row(docs, F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "inner")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from loomlog.llm import jaccard_join, queries
@@ -96,3 +97,14 @@ def test_other_shares_and_widths(spark):
     rows = list(enumerate(family(rng, 60, 40, 6)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(jaccard_join.join(docs, share=(1, 1))) == [r for r in sorted(((d, len({tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)}), min(e for e, u in rows if u == t)) for d, t in rows), key=str)]
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (9, 60, 127, 128, 300, 511, 512, 5000):
+        base = rng.integers(0, 2**63, n).astype(np.uint64)
+        other = np.concatenate((base[n // 10 :], rng.integers(0, 2**63, n // 20).astype(np.uint64)))
+        a, b = jaccard_join.sketch(np.unique(base)), jaccard_join.sketch(np.unique(other))
+        while len(a) > len(b):
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        assert 0 < np.bitwise_count((a ^ b).view(np.uint64)).sum() <= n // 10 + n // 20 or n < 20
