@@ -7,7 +7,8 @@ Pairs of groups are filtered by size and by the place of the shingle they share,
 shingles in each of some buckets: sets that differ in d shingles differ in d parities at most, so most pairs are told apart by their sketches; what is left is compared shingle by shingle.
 
 Only components are asked for, so pairs that are connected already need no comparison. The first step compares each group with one pivot of
-every shingle it shares, and each set with the first of its group: as many pairs as there are places in prefixes. The second compares what is left,
+every shingle it shares, the group that has fewest rarer shingles and so is nearest to what the others are copies of, and each set with the first of its group: as many
+pairs as there are places in prefixes. The second compares what is left,
 all pairs of sets of different components whose groups share a shingle and pass the filters.
 """
 
@@ -182,7 +183,7 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, i
     alive = inside.join(places.select("gid").distinct(), "gid", "left_semi").union(inside.where("m > 1")).distinct()
     alive = materialize(alive, "jaccard-alive")
 
-    pivots = materialize(places.where("host").groupBy("token", "band").agg(F.min(F.struct("gid", "n", "pos")).alias("p")).select("token", "band", "p.*"), "jaccard-pivots")
+    pivots = materialize(places.where("host").groupBy("token", "band").agg(F.min(F.struct("pos", "gid", "n")).alias("p")).select("token", "band", "p.*"), "jaccard-pivots")
     star = places.alias("a").join(pivots.alias("b"), ["token", "band"]).where((F.col("a.gid") != F.col("b.gid")) & _fits(share))
     star = star.select(F.least("a.gid", "b.gid").alias("a"), F.greatest("a.gid", "b.gid").alias("b"))
     star = star.union(alive.where("sid <> gid").select(F.col("gid").alias("a"), F.col("sid").alias("b")))
