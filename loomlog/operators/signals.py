@@ -6,54 +6,57 @@ bit and goes up; a big-endian one starts at its most significant bit, goes down
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.functions import text as T
+from loomlog.functions.text import let
 from loomlog.model import ERROR, INFO, UNKNOWN
 
 SIGNALS = "frame_id int, msg_name string, signal string, start_bit int, bit_len int, little_endian boolean, signed boolean, factor double, offset double, choices map<bigint,string>, mux_value int"
-#: A dictionary of more signals is joined by shuffle instead of broadcast.
-MOST_BROADCAST = 200_000
+#: A dictionary of more bytes is joined by shuffle instead of broadcast.
+MOST_BROADCAST_BYTES = 32_000_000
 
 
 def frame_text(id_col: str = "arbitration_id") -> Column:
     return F.concat(F.format_string("%04X | %d | ", F.col(id_col), F.col("dlc")), F.lower(F.hex("data")))
 
 
-def _eight(first: Column) -> Column:
-    """Eight bytes of ``data`` from byte ``first`` on, as 16 hex digits, zeros beyond the end."""
-    return F.rpad(F.substring(F.hex("data"), 2 * first + 1, F.lit(16)), 16, "0")
-
+def _part(msb: Column, little: Column, size: Column) -> Column:
+    """Up to 32 bits of ``data`` as a number. ``msb`` is the place of the lowest bit in little-endian order, else that of the highest in reading order."""
+    digits = F.substring(F.hex("data"), 2 * F.floor(msb / 8).cast("int") + 1, F.lit(10))
+    five = let(F.rpad(digits, 10, "0"), lambda d: F.when(little, F.concat(*[F.substring(d, k, 2) for k in range(9, 0, -2)])).otherwise(d))
+    shift = F.when(little, msb % 8).otherwise(40 - msb % 8 - size).cast("int")
+    # bits above the size are cut by shifting them out and back
+    return F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.conv(five, 16, 10).cast("long"), shift), 64 - size), 64 - size)
 
-def _number(digits: Column) -> Column:
-    """64 bits of 16 hex digits, as a signed number."""
-    half = lambda at: F.conv(F.substring(digits, at, 8), 16, 10).cast("long")
-    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
 
+def _raw(at: str = "") -> Column:
+    """The 64 bits of a signal before scaling, with its sign; from its layout in the columns ``<at>start_bit`` and so on; null where the payload is too short.
 
-def _turned(digits: Column) -> Column:
-    """The bytes of 16 hex digits in reverse order."""
-    return F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])
+    Signals of up to 64 bits that begin anywhere are read as two parts of 32 bits at most, so they may span nine bytes.
+    """
+    start, size, little, signed = (F.col(f"{at}{c}") for c in ("start_bit", "bit_len", "little_endian", "signed"))
+    low_size = F.least(size, F.lit(32))
+    reading = start - start % 8 + 7 - start % 8  # the highest bit of a big-endian signal, counted in reading order
+    low = _part(F.when(little, start).otherwise(reading + size - low_size), little, low_size)
+    high = _part(F.when(little, start + 32).otherwise(reading), little, size - 32)
+    bits = F.when(size > 32, F.call_function("shiftleft", high, F.lit(32)).bitwiseOR(low)).otherwise(low)
+    signed_ = lambda x: F.call_function("shiftright", F.call_function("shiftleft", x, 64 - size), 64 - size)
+    return F.when(_fits(at) & (_last_byte(at) < F.octet_length("data")), F.when(signed, signed_(bits)).otherwise(bits))
 
 
-def _raw(at: str = "") -> Column:
-    """A signal's number before scaling, from its layout in the columns ``<at>start_bit`` and so on; null where the payload is too short."""
-    start, size, little = (F.col(f"{at}{c}") for c in ("start_bit", "bit_len", "little_endian"))
-    digits = F.when(_last_byte(at) < F.octet_length("data"), _eight(F.floor(start / 8).cast("int")))
+def _fits(at: str = "") -> Column:
+    """Whether a layout is one: 1 to 64 bits from bit 0 on."""
+    return F.col(f"{at}bit_len").between(1, 64) & (F.col(f"{at}start_bit") >= 0)
 
-    def number(own: Column) -> Column:
-        # in big-endian order bit 7 of the first byte is the top of the 64
-        shift = F.when(little, start % 8).otherwise(57 + start % 8 - size).cast("int")
-        mask = F.when(size >= 64, F.lit(-1)).otherwise(F.expr(f"shiftleft(1L, {at}bit_len) - 1"))
-        bits = F.call_function("shiftrightunsigned", _number(F.when(little, _turned(own)).otherwise(own)), shift).bitwiseAND(mask)
-        return F.element_at(F.transform(F.array(bits), signed), 1)
 
-    def signed(bits: Column) -> Column:
-        negative = F.col(f"{at}signed") & (size < 64) & (F.call_function("shiftrightunsigned", bits, size - 1) == 1)
-        return F.when(negative, bits - F.expr(f"shiftleft(1L, {at}bit_len)")).otherwise(bits)
-
-    return F.element_at(F.transform(F.array(digits), number), 1)
+def _exact(raw: Column) -> Column:
+    """The number of 64 bits as a decimal; those of an unsigned signal of 64 bits have no sign."""
+    wide = raw.cast("decimal(20,0)")
+    return F.when((F.col("bit_len") == 64) & ~F.col("signed") & (raw < 0), wide + F.lit(Decimal(1 << 64))).otherwise(wide)
 
 
 def _last_byte(at: str = "") -> Column:
@@ -64,6 +67,12 @@ def _last_byte(at: str = "") -> Column:
     return F.when(F.col(f"{at}little_endian"), little).otherwise(big)
 
 
+def _entry_bytes(signal_dict: DataFrame) -> Column:
+    """About what an entry takes in memory."""
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c in ("msg_name", "signal")]
+    return sum(texts, F.lit(160)) + F.coalesce(F.octet_length(F.array_join(F.map_values("choices"), "")) + 24 * F.size("choices"), F.lit(0))
+
+
 def _with_switches(signal_dict: DataFrame) -> DataFrame:
     """The dictionary with the layout of each signal's multiplexer in ``_mux_*``: that of the message's signal named ``mux_signal``, or ``mux``."""
     name = F.coalesce("mux_signal", F.lit("mux")) if "mux_signal" in signal_dict.columns else F.lit("mux")
@@ -77,26 +86,38 @@ def decode_signals(frames: DataFrame, signal_dict: DataFrame, unmapped_policy: s
     """A row for each signal of each frame: the frame's columns, msg_name, signal, value, text, is_float, ``_error``.
 
     ``unmapped_policy`` says what becomes of frames without an entry: ``report`` (a row ``unmapped``), ``ignore`` (none), ``strict`` (an error
-    row, see ``route_errors``). A payload too short gives a row ``error``. Signals with ``mux_value`` count only where their multiplexer, the message's
-    signal named by the dictionary's column ``mux_signal`` (without it, or where it is null, ``mux``), has that number. A signal must lie within eight bytes from its first.
+    row, see ``route_errors``). A payload too short and a layout of other than 1 to 64 bits give a row ``error``. Signals with ``mux_value`` count only where their multiplexer, the message's
+    signal named by the dictionary's column ``mux_signal`` (without it, or where it is null, ``mux``), has that number.
+
+    ``value`` is a double; ``text`` of whole factors and offsets is exact for all 64 bits, signed and unsigned (beyond 38 digits it falls back to the double).
     """
     if unmapped_policy not in ("report", "ignore", "strict"):
         raise ValueError(f"unknown policy {unmapped_policy!r}; known: report, ignore, strict")
-    known = _with_switches(signal_dict)
-    known = F.broadcast(known) if signal_dict.count() <= MOST_BROADCAST else known
+    size, switched = signal_dict.agg(F.sum(_entry_bytes(signal_dict)), F.max(F.col("mux_value").isNotNull())).first()
+    known = _with_switches(signal_dict) if switched else signal_dict
+    known = F.broadcast(known) if (size or 0) <= MOST_BROADCAST_BYTES else known
     joined = frames.join(known, frames["arbitration_id"] == known["frame_id"], "inner" if unmapped_policy == "ignore" else "left")
-    joined = joined.where(F.col("mux_value").isNull() | (_raw("_mux_") == F.col("mux_value"))).withColumns({"_short": _last_byte() >= F.octet_length("data"), "_raw": _raw()})
-    unmapped, short, raw = F.col("frame_id").isNull(), F.coalesce("_short", F.lit(False)), F.col("_raw")
-    named = F.element_at("choices", raw)
-    linear = (F.col("factor") == F.floor("factor")) & (F.col("offset") == F.floor("offset"))
-    value = raw * F.col("factor") + F.col("offset")
-    whole = F.when(linear, value.cast("long").cast("string")).otherwise(F.format_string("%.3f", F.bround(value, 3)))
-    text = F.when(unmapped, frame_text()).when(short, F.concat(frame_text(), F.lit(" | Decoding error: payload too short"))).otherwise(F.coalesce(named, whole))
-    signal = F.when(unmapped, "unmapped").when(short, "error").otherwise(F.col("signal"))
+    if switched:
+        joined = joined.where(F.col("mux_value").isNull() | (_raw("_mux_") == F.col("mux_value")))
+    bad = F.when(~_fits(), "bad layout").when(_last_byte() >= F.octet_length("data"), "payload too short")
+    joined = joined.withColumns({"_bad": F.when(F.col("frame_id").isNotNull(), bad), "_raw": _raw()})
+    unmapped, error, raw = F.col("frame_id").isNull(), F.col("_bad"), F.col("_raw")
+    exact = _exact(raw)
+    named = F.element_at("choices", F.when((F.col("bit_len") == 64) & ~F.col("signed") & (raw < 0), None).otherwise(raw))
+    factor, offset = F.col("factor"), F.col("offset")
+    linear = (factor == F.floor(factor)) & (offset == F.floor(offset))
+    value = exact.cast("double") * factor + offset
+    small = (F.col("bit_len") <= 32) & (F.abs(factor) < 1 << 19) & (F.abs(offset) < 1 << 51)  # doubles hold the result exactly
+    scaled = F.try_add(F.try_multiply(exact, factor.try_cast("decimal(18,0)")), offset.try_cast("decimal(19,0)")).cast("string")
+    whole = F.when(small, (raw * factor + offset).cast("long").cast("string")).otherwise(F.coalesce(scaled, F.format_string("%.0f", value)))
+    plain = F.when(linear, whole).otherwise(F.format_string("%.3f", F.bround(value, 3)))
+    text = F.when(unmapped, frame_text()).when(error.isNotNull(), F.concat(frame_text(), F.lit(" | Decoding error: "), error)).otherwise(F.coalesce(named, plain))
+    signal = F.when(unmapped, "unmapped").when(error.isNotNull(), "error").otherwise(F.col("signal"))
     strict = unmapped if unmapped_policy == "strict" else F.lit(False)
+    good = ~unmapped & error.isNull()
     return joined.select(
-        *[frames[c] for c in frames.columns], F.coalesce("msg_name", F.lit("")).alias("msg_name"), signal.alias("signal"), F.when(~unmapped & ~short, value).alias("value"), text.alias("text"),
-        (~unmapped & ~short & ~linear & named.isNull()).alias("is_float"), F.when(strict, text).alias("_error"),
+        *[frames[c] for c in frames.columns], F.coalesce("msg_name", F.lit("")).alias("msg_name"), signal.alias("signal"), F.when(good, value).alias("value"), text.alias("text"),
+        (good & ~linear & named.isNull()).alias("is_float"), F.when(strict, text).alias("_error"),
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlog import model
 from loomlog.functions import text as T
-from loomlog.operators import filters, latest, lines, modules, order, render, series, signals
+from loomlog.operators import filters, latest, lines, modules, order, render, series, signals, text_index
 from loomlog.operators.filters import LogFilter
 from loomlog.plans import pipeline, tables
 from loomlog.sources import capture, session_log
@@ -18,7 +18,7 @@ from loomlog.sources.stream import stream_chunks
 from loomlog.storage import scratch
 from loomlog.streaming.fan_out import FanOut, fan_out
 from loomlog.streaming.registry import Registry
-from loomlog.streaming.stateful import state_store
+from loomlog.streaming.stateful import rolled_points, rolling_points_stream, staleness_stream, state_store
 
 #: The log table in SQL; every oracle starts with it.
 LOGS = """logs as (
@@ -331,6 +331,16 @@ def _(spark, d):
     return filters.find_text(tables.logs(spark, d).select("seq", F.concat_ws(" ", "module", "message").alias("line")), "K=7;")
 
 
+@query("f9_find_indexed", "select seq, line, strpos(lower(line), 'cents=49')::int as position from (select seq, concat(module, ' ', message) as line from logs) where contains(lower(line), 'cents=49')")
+def _(spark, d):
+    """The same search by a table of trigrams of blocks of ``seq``."""
+    stored, index = (scratch(spark, x) for x in ("lines", "trigrams"))
+    tables.logs(spark, d).select("seq", F.concat_ws(" ", "module", "message").alias("line")).repartitionByRange("seq").sortWithinPartitions("seq").write.parquet(stored)
+    lines_ = spark.read.parquet(stored)
+    text_index.write_trigrams(lines_, index, 64)
+    return text_index.find_indexed(lines_, spark.read.parquet(index), "Cents=49", 64)
+
+
 @query("f9_find_next", "select coalesce(min(seq) filter (seq > 500), min(seq)) as seq from logs where contains(message, 'k=42;')")
 def _(spark, d):
     return filters.find_from(tables.logs(spark, d).withColumnRenamed("message", "line"), "k=42;", 500)
@@ -413,6 +423,27 @@ def _(spark, d):
     return latest.overload_periods(slow, 3, 3, 12)
 
 
+@query("a6_staleness_stream", """select device, module, newest_ns, stale, at_ns from (
+  select device, module, timestamp_ns as newest_ns, false as stale, timestamp_ns as at_ns from gaps where b is null or timestamp_ns - b > 30000000000
+  union all select device, module, b, true, b + 30000000000 from gaps where timestamp_ns - b > 30000000000
+  union all select device, module, max(timestamp_ns), true, max(timestamp_ns) + 30000000000 from logs group by device, module)""",
+  "gaps as (select device, module, timestamp_ns, lag(timestamp_ns) over (partition by device, module order by timestamp_ns) as b from logs)")
+def _(spark, d):
+    """When modules turn stale and fresh again: log rows stream in by time, a tick an hour after the last one ends it."""
+    dropped, out, state = (scratch(spark, x) for x in ("dropped", "stale", "state"))
+    logs = tables.logs(spark, d).select("device", "module", "timestamp_ns", F.lit(False).alias("is_tick"))
+    low, high = logs.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
+    for k in range(3):
+        begin, end = (low + (high + 1 - low) * x // 3 for x in (k, k + 1))
+        logs.where(F.col("timestamp_ns").between(begin, end - 1)).coalesce(4).write.mode("append").parquet(dropped)
+    for k in (1, 2):
+        spark.createDataFrame([("", "", high + k * 3_600_000_000_000, True)], logs.schema).coalesce(1).write.mode("append").parquet(dropped)
+    changes = staleness_stream(spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(dropped))
+    with state_store(spark):
+        changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(changes.schema).parquet(out)
+
+
 # series ----------------------------------------------------------------------------------------------------------------
 
 
@@ -432,6 +463,20 @@ def _(spark, d):
     return series.rolling_points(series.numeric_series(tables.logs(spark, d)), 20)
 
 
+@query("t3_rolling_stream", "select * from series qualify row_number() over (partition by device, module, channel order by seq desc) <= 20", SERIES)
+def _(spark, d):
+    """The same as a stream of three parts by seq, whose points take slots in rings of twenty."""
+    dropped, out, state = (scratch(spark, x) for x in ("dropped", "points", "state"))
+    logs = tables.logs(spark, d)
+    last = logs.agg(F.max("seq")).first()[0]
+    for k in range(3):
+        logs.where((F.col("seq") > last * k // 3) & (F.col("seq") <= last * (k + 1) // 3)).coalesce(4).write.mode("append").parquet(dropped)
+    points = rolling_points_stream(spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(dropped), 20)
+    with state_store(spark):
+        points.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return rolled_points(spark.read.schema(points.schema).parquet(out))
+
+
 @query("t4_parse_duration", """select seq, (case seq % 6 when 0 then (seq % 90) when 1 then 60 * (seq % 90) when 2 then 3600 * (seq % 90) when 3 then (seq % 90) when 4 then 30 * (2 * (seq % 90) + 1) end)::int as seconds from logs""")
 def _(spark, d):
     text = F.expr("case seq % 6 when 0 then concat(seq % 90, 's') when 1 then concat(seq % 90, ' M') when 2 then concat(seq % 90, 'h') when 3 then string(seq % 90) when 4 then concat(seq % 90, '.5m') else 'x' end")
@@ -545,10 +590,22 @@ def _(spark, d):
     return session_log.read_log_text(spark, path).where("_error is null").drop("_error")
 
 
-@query("k3_session_manifest", """select cast(doc_id as varchar) as source, length(t) // 64 + (length(t) % 64 > 0)::int as chunks, strlen(t) as total_bytes, doc_id * 1000000 as created_ns,
+@query("k1_session_parts", """select timestamp_ns, device, module, level, concat(message, chr(10), '\\', seq, chr(13), '\\n') as message from logs""")
+def _(spark, d):
+    """Messages with line ends and backslashes, written by six small batches into parts of about 200 kB, one batch twice, and read back."""
+    path = scratch(spark, "parts")
+    logs = tables.logs(spark, d).withColumn("message", F.concat("message", F.lit("\n\\"), F.col("seq").cast("string"), F.lit("\r\\n")))
+    parts = session_log.SessionParts(spark, path, 200_000)
+    for batch_id in (0, 1, 2, 2, 3, 4, 5):
+        parts.add(logs.where(F.col("seq") % 6 == batch_id), batch_id)
+    parts.finish()
+    return session_log.read_log_text(spark, f"{path}/parts").where("_error is null").drop("_error")
+
+
+@query("k3_session_manifest", """select cast(doc_id as varchar) as source, length(t) // 64 + (length(t) % 64 > 0)::int as chunks, (strlen(t) - strlen(substr(t, (length(t) - 1) // 64 * 64 + 1))) // 1000 + 1 as parts, strlen(t) as total_bytes, doc_id * 1000000 as created_ns,
   doc_id * 1000000 + (length(t) - 1) // 64 as finished_ns, round(((length(t) - 1) // 64) / 1e9, 3) as duration_seconds from (select doc_id, concat(coalesce(text, ''), chr(10)) as t from documents)""")
 def _(spark, d):
-    return capture.session_manifest(tables.chunks(spark, d))
+    return capture.session_manifest(tables.chunks(spark, d), 1_000)
 
 
 @query("k2_write_raw_capture", """select cast(doc_id as varchar) as source, i as chunk_seq, doc_id * 1000000 + i as timestamp_ns, substr(t, i * 64 + 1, 64) as piece

@@ -98,10 +98,19 @@ def raw_capture_sink(path: str, files: int = 1):
     return put
 
 
-def session_manifest(chunks: DataFrame) -> DataFrame:
-    """Per source: chunks, total_bytes, created_ns, finished_ns, duration_seconds (3 decimals)."""
-    out = chunks.groupBy("source").agg(F.count("*").alias("chunks"), F.sum(F.octet_length("payload")).cast("long").alias("total_bytes"), F.min("timestamp_ns").alias("created_ns"), F.max("timestamp_ns").alias("finished_ns"))
-    return out.withColumn("duration_seconds", F.round((F.col("finished_ns") - F.col("created_ns")) / 1e9, 3))
+def session_manifest(chunks: DataFrame, roll_bytes: int = 100 * 1024 * 1024) -> DataFrame:
+    """Per source: chunks, parts, total_bytes, created_ns, finished_ns, duration_seconds (3 decimals).
+
+    ``parts`` are the files that hold the source's payloads: a new one begins with the first chunk beyond each multiple of ``roll_bytes``.
+    """
+    size = F.octet_length("payload")
+    out = chunks.groupBy("source").agg(
+        F.count("*").alias("chunks"), F.sum(size).cast("long").alias("total_bytes"), F.max_by(size, "chunk_seq").alias("_last"),
+        F.min("timestamp_ns").alias("created_ns"), F.max("timestamp_ns").alias("finished_ns"),
+    )
+    parts = F.floor((F.col("total_bytes") - F.col("_last")) / roll_bytes) + 1
+    seconds = F.round((F.col("finished_ns") - F.col("created_ns")) / 1e9, 3)
+    return out.select("source", "chunks", parts.alias("parts"), "total_bytes", "created_ns", "finished_ns", seconds.alias("duration_seconds"))
 
 
 def rx_dump(rows: DataFrame, device: str) -> DataFrame:

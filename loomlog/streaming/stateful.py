@@ -1,12 +1,13 @@
-"""Line splitting, reordering and overload detection on streams, with state per key.
+"""Line splitting, reordering, staleness, rolling points and overload detection on streams, with state per key.
 
-They use no watermark: late rows must stay. Time is the newest timestamp that a key has seen. What is still held when a stream
+They use no watermark, staleness aside: late rows must stay. Time is the newest timestamp that a key has seen. What is still held when a stream
 ends is let go by an end row: one whose ``is_end`` is true. Spark wants the RocksDB state store for these operators
 (see ``state_store``).
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -15,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loomlog.functions import text as T
+
+#: Buckets of the time for which ``reorder_stream`` holds rows.
+_BUCKETS = 64
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -37,13 +42,15 @@ class _Lines(StatefulProcessor):
         self.sep = bytes([sep])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tail = handle.getValueState("tail", "rest binary, line_no long")
+        self.line = handle.getValueState("line", "line_no long")
+        self.tail = handle.getListState("tail", "piece binary")  # of a line not ended; a batch adds to it
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rest, line_no = self.tail.get() if self.tail.exists() else (b"", 0)
-        held = [bytes(rest)]  # pieces of the line not ended yet
+        line_no = self.line.get()[0] if self.line.exists() else 0
         chunks = pd.concat(list(rows)).sort_values("chunk_seq", kind="stable")
-        out = []
+        ends = any(self.sep in bytes(x) for x in chunks["payload"])
+        before = [bytes(x[0]) for x in self.tail.get()] if ends and self.tail.exists() else []  # read only when its line ends
+        held, out = before, []
         for ns, payload in zip(chunks["timestamp_ns"], chunks["payload"], strict=True):
             first, *others = bytes(payload).split(self.sep)
             held.append(first)
@@ -51,7 +58,12 @@ class _Lines(StatefulProcessor):
                 if line := b"".join(held):
                     out.append((key[0], line_no, int(ns), line))
                 held, line_no = [piece], line_no + 1
-        self.tail.update((b"".join(held), line_no))
+        rest = b"".join(held)
+        if ends:
+            self.tail.put([(rest,)]) if rest else self.tail.clear()
+        elif rest:
+            self.tail.appendValue((rest,))
+        self.line.update((line_no,))
         yield pd.DataFrame(out, columns=["source", "line_no", "timestamp_ns", "raw"])
 
     def close(self) -> None:
@@ -67,12 +79,25 @@ _ROWS = "device string, timestamp_ns long, module string, level int, message str
 
 
 class _Reorder(StatefulProcessor):
+    """Held rows lie in buckets by time, as pieces that are written once: a batch touches what it brings and what is due, however much is held.
+
+    Nothing older than the newest row less the delay is held, so there are about ``_BUCKETS`` buckets.
+    """
+
     def __init__(self, delay_ns: int):
-        self.delay_ns = delay_ns
+        self.delay_ns, self.width = delay_ns, max(1, delay_ns // _BUCKETS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", "timestamp_ns long, module string, level int, message string")
         self.seen = handle.getValueState("seen", "newest long, released long")
+        self.open = handle.getValueState("open", "buckets binary")  # bucket: (its first piece, the number after its last)
+        self.pieces = handle.getMapState("pieces", "bucket long, piece long", "rows binary")
+
+    def _taken(self, bucket: int, first: int, end: int) -> list[tuple]:
+        rows = []
+        for piece in range(first, end):
+            rows += pickle.loads(self.pieces.getValue((bucket, piece))[0])
+            self.pieces.removeKey((bucket, piece))
+        return rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         columns = ["timestamp_ns", "module", "level", "message"]
@@ -80,18 +105,30 @@ class _Reorder(StatefulProcessor):
         end = bool(new["is_end"].any())
         new = new[~new["is_end"]]
         newest, released = self.seen.get() if self.seen.exists() else (-(1 << 62), -(1 << 62))
-        held = pd.DataFrame([tuple(x) for x in self.held.get()], columns=columns) if self.held.exists() else new[columns].iloc[:0]
-        every = pd.concat([held, new[columns]]).sort_values("timestamp_ns", kind="stable")
         newest = max(newest, int(new["timestamp_ns"].max())) if len(new) else newest
-        go = every["timestamp_ns"] <= newest - self.delay_ns
-        go |= every["timestamp_ns"] < released
-        out = every if end else every[go]
-        stay = every[~go] if not end else every.iloc[:0]
+        due = max(newest - self.delay_ns, released - 1)  # later rows stay, unless all end
+        held: dict[int, tuple[int, int]] = pickle.loads(self.open.get()[0]) if self.open.exists() else {}
+        go: list[tuple] = []
+        for bucket in sorted(held):
+            if end or bucket * self.width <= due:
+                go += self._taken(bucket, *held.pop(bucket))
+        go += new[columns].itertuples(index=False, name=None)
+        stay: dict[int, list[tuple]] = {}
+        if not end:
+            for row in go:
+                if row[0] > due:
+                    stay.setdefault(row[0] // self.width, []).append(row)
+            go = [row for row in go if row[0] <= due]
+        for bucket, own in stay.items():
+            first, after = held.get(bucket, (0, 0))
+            self.pieces.updateValue((bucket, after), (pickle.dumps(own),))
+            held[bucket] = first, after + 1
+        out = pd.DataFrame(go, columns=columns).sort_values("timestamp_ns", kind="stable")
         late = out["timestamp_ns"] < released
         if len(out):
             released = max(released, int(out["timestamp_ns"].max()))
         self.seen.update((newest, released))
-        self.held.put([tuple(r) for r in stay.itertuples(index=False)]) if len(stay) else self.held.clear()
+        self.open.update((pickle.dumps(held),))
         yield out.assign(device=key[0], is_late=late)[["device", *columns, "is_late"]]
 
     def close(self) -> None:
@@ -108,6 +145,105 @@ def reorder_stream(logs: DataFrame, delay_ms: int = 100) -> DataFrame:
     return rows.groupBy("device").transformWithStateInPandas(_Reorder(delay_ms * 1_000_000), f"{_ROWS}, is_late boolean", "append", "none")
 
 
+class _Stale(StatefulProcessor):
+    def __init__(self, threshold_ns: int):
+        self.threshold_ns = threshold_ns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "newest_ns long, stale boolean")
+
+    def _out(self, key, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *r) for r in rows], columns=["device", "module", "newest_ns", "stale", "at_ns"])
+
+    def _due_ms(self, newest: int) -> int:
+        return (newest + self.threshold_ns) // 1_000_000 + 1
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        times = sorted(map(int, new.loc[~new["is_tick"], "timestamp_ns"]))
+        if not times:
+            return
+        newest, stale = self.newest.get() if self.newest.exists() else (None, True)
+        out = []
+        for ns in times:
+            if newest is not None and not stale and ns - newest > self.threshold_ns:
+                out.append((newest, True, newest + self.threshold_ns))
+                stale = True
+            if newest is None or ns > newest:
+                newest = ns
+                if stale:
+                    out.append((newest, False, ns))
+                    stale = False
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(self._due_ms(newest))
+        self.newest.update((newest, stale))
+        yield self._out(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        newest, stale = self.newest.get()
+        if not stale and self._due_ms(newest) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.newest.update((newest, True))
+            yield self._out(key, [(newest, True, newest + self.threshold_ns)])
+
+    def close(self) -> None:
+        pass
+
+
+def staleness_stream(logs: DataFrame, threshold_s: float = 30, late: str = "0 seconds") -> DataFrame:
+    """``device, module, newest_ns, stale, at_ns``: a row when a module's first row comes or one after a gap (fresh from ``at_ns`` on) and one when it turns stale (after ``at_ns``).
+
+    A module turns stale without a row of its own: event time goes on with the rows of others and with tick rows, those whose boolean ``is_tick`` is true, by a timer of each
+    module. At any time that the stream has passed, the last change before it says what ``staleness`` says. Rows older than the newest of all less ``late`` are dropped.
+    """
+    rows = logs if "is_tick" in logs.columns else logs.withColumn("is_tick", F.lit(False))
+    rows = rows.select("device", "module", "timestamp_ns", "is_tick", F.expr("timestamp_micros(timestamp_ns div 1000)").alias("ts")).withWatermark("ts", late)
+    schema = "device string, module string, newest_ns long, stale boolean, at_ns long"
+    return rows.groupBy("device", "module").transformWithStateInPandas(_Stale(int(threshold_s * 1e9)), schema, "append", "eventtime")
+
+
+class _Ring(StatefulProcessor):
+    def __init__(self, max_points: int):
+        self.max_points = max_points
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("counts", "points array<long>")  # of each channel; their number is that of the first row
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        counts = list(self.counts.get()[0]) if self.counts.exists() else [0] * len(new["numbers"].iloc[0])
+        out: dict[tuple[int, int], tuple] = {}
+        for seq, ns, numbers in zip(new["seq"], new["timestamp_ns"], new["numbers"], strict=True):
+            for channel, value in enumerate(numbers[: len(counts)]):
+                slot = counts[channel] % self.max_points
+                out[channel, slot] = (*key, channel, slot, int(seq), int(ns), float(value))  # a slot filled twice in a batch is given once
+                counts[channel] += 1
+        self.counts.update((counts,))
+        yield pd.DataFrame(list(out.values()), columns=["device", "module", "channel", "slot", "seq", "timestamp_ns", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_points_stream(logs: DataFrame, max_points: int = 10_000) -> DataFrame:
+    """``numeric_series`` and ``rolling_points`` of a stream: ``device, module, channel, slot, seq, timestamp_ns, value``, the points that a batch brings.
+
+    Each module and channel is a ring of ``max_points`` slots; a point takes the place of the one that left, so a sink that overwrites by device, module, channel and slot
+    holds the newest points, and ``rolled_points`` reads them from a log of the changes. State is a count a channel; a module's first row with a number fixes its channels.
+    Rows of a module must come in the order of ``seq``.
+    """
+    rows = logs.select("device", "module", "seq", "timestamp_ns", T.extract_numbers(F.col("message")).alias("numbers")).where("size(numbers) > 0")
+    schema = "device string, module string, channel int, slot int, seq long, timestamp_ns long, value double"
+    return rows.groupBy("device", "module").transformWithStateInPandas(_Ring(max_points), schema, "append", "none")
+
+
+def rolled_points(changes: DataFrame) -> DataFrame:
+    """``device, module, channel, seq, timestamp_ns, value`` of the points in their slots, from all that ``rolling_points_stream`` gave."""
+    last = changes.groupBy("device", "module", "channel", "slot").agg(F.max(F.struct("seq", "timestamp_ns", "value")).alias("p"))
+    return last.select("device", "module", "p.seq", "p.timestamp_ns", "channel", "p.value")
+
+
 class _Overload(StatefulProcessor):
     def __init__(self, limit: int, burst: int, cap: int):
         self.limit, self.burst, self.cap = limit, burst, cap

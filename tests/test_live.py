@@ -1,14 +1,18 @@
 """Topologies, sinks, ids and stored logs that live over batches."""
 
+import random
+
 import pytest
 
-from loomlog.operators import filters, latest, render
+from loomlog.operators import filters, latest, render, series, text_index
 from loomlog.operators.filters import LogFilter
 from loomlog.plans import pipeline
+from loomlog.sources import session_log
 from loomlog.sources.log_store import LogStore
+from loomlog.streaming import stateful
 from loomlog.streaming.fan_out import FanOut
 from loomlog.streaming.registry import Registry
-from tests.test_streaming import files
+from tests.test_streaming import files, run
 
 LOGS = "seq long, timestamp_ns long, device string, module string, level int, message string"
 
@@ -132,3 +136,106 @@ def test_changes_of_null_modules(spark):
     logs = spark.createDataFrame(rows, LOGS)
     assert sorted(r["seq"] for r in latest.value_changes(logs, block=2).collect()) == [1, 3, 4, 5, 6]
     assert tuples(latest.last_change(logs), "device", "module", "seq") == [("d", None, 3), (None, "m", 6), (None, None, 4)]
+
+
+def test_messages_with_line_ends_round_trip(spark, tmp_path):
+    messages = ["a\nb", "a\\nb", "\\", "\\\\n\n\\", "\r\n", "C:\\new\\right", "", "plain", "\\\\\\n"]
+    logs = spark.createDataFrame([(k, 1_000 * k, "d", "m", 20, m) for k, m in enumerate(messages)], LOGS)
+    session_log.write_session_log(logs, str(tmp_path / "s"))
+    got = session_log.read_log_text(spark, str(tmp_path / "s"))
+    assert [r["message"] for r in got.orderBy("timestamp_ns").collect()] == messages and got.where("_error is not null").count() == 0
+    line = spark.createDataFrame([("2024-01-01T00:00:00.000000Z I d m: C:\\new",)], "line string")
+    assert session_log.parse_session_lines(line, escaped=False).first()["message"] == "C:\\new"
+
+
+def test_parts_roll_over_batches(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    rows = lambda a, b: spark.createDataFrame([(k, 1_000 * k, "d", "m", 20, f"{k:020d}") for k in range(a, b)], LOGS)
+    writer = lambda: session_log.SessionParts(spark, path, 3_000)  # noqa: E731  one a process; a line has 56 bytes
+    for n in range(7):
+        writer().add(rows(10 * n, 10 * n + 10), n)
+        writer().add(rows(10 * n, 10 * n + 10), n)  # comes again
+    assert [(r["part"], r["rows"]) for r in writer().manifest().orderBy("part").collect()] == [("0000", 60)]
+    assert [x.name for x in (tmp_path / "s" / "open").iterdir()] == ["batch=6"]
+    commit = session_log.remove
+    monkeypatch.setattr(session_log.SessionParts, "_commit", lambda *x: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        writer().add(rows(70, 300), 7)
+    monkeypatch.undo()
+    assert session_log.remove is commit
+    writer().add(rows(70, 300), 7)  # a large batch: 60 to 300 are about 13 kB
+    writer().add(rows(300, 305), 8)
+    writer().finish()
+    writer().finish()
+    found = [(r["part"], r["rows"], r["bytes"], r["first_ns"]) for r in writer().manifest().orderBy("part").collect()]
+    assert [x[0] for x in found] == [f"{k:04d}" for k in range(len(found))] and len(found) == 6
+    assert sum(x[1] for x in found) == 305 and all(x[2] == 56 * x[1] for x in found) and found[-1][1] == 5
+    assert sorted(r["message"] for r in session_log.read_log_text(spark, f"{path}/parts").collect()) == [f"{k:020d}" for k in range(305)]
+    assert {x.name for x in (tmp_path / "s" / "parts").iterdir() if x.is_dir()} == {f"part={k:04d}" for k in range(6)}
+
+
+EVENTS = "device string, timestamp_ns long, module string, level int, message string, is_end boolean"
+
+
+def test_reorder_holds_much_and_touches_little(spark, tmp_path):
+    """Many rows held in many batches, ties, late rows; the order is that of a plain pass."""
+    rng = random.Random(1)
+    second = 1_000_000_000
+    batches, newest, n = [], 0, 0
+    for _ in range(8):
+        rows = []
+        for _ in range(40):
+            newest += rng.randrange(second // 4)
+            n += 1
+            rows.append(("d", max(0, newest - rng.randrange(3 * second)), "m", 20, str(n), False))
+        batches.append(rows)
+    got = [(r["timestamp_ns"], r["message"], r["is_late"]) for r in run(stateful.reorder_stream(files(spark, tmp_path, [*batches, [("d", 0, "", 0, "", True)]], EVENTS), 2000), tmp_path).collect()]
+    held, top, released, want = [], -(1 << 62), -(1 << 62), []
+    for rows in [*batches, None]:
+        held += [(r[1], r[4]) for r in rows or ()]
+        top = max([top, *(r[1] for r in rows or ())])
+        go = sorted([x for x in held if rows is None or x[0] <= top - 2 * second or x[0] < released], key=lambda x: x[0])
+        held = [x for x in held if x not in go]
+        want += [(*x, x[0] < released) for x in go]
+        released = max([released, *(x[0] for x in go)])
+    assert sorted(got) == sorted(want) and [x[0] for x in got] == [x[0] for x in want] and any(x[2] for x in want)
+
+
+def test_modules_turn_stale_without_a_row(spark, tmp_path):
+    schema = "device string, module string, timestamp_ns long, is_tick boolean"
+    s = 1_000_000_000
+    batches = [[("d", "a", 1 * s, False), ("d", "b", 2 * s, False)], [("d", "a", 20 * s, False)], [("", "", 40 * s, True)], [("d", "a", 45 * s, False), ("d", "a", 90 * s, False), ("d", "c", 91 * s, False)], [("", "", 200 * s, True)]]
+    changes = run(stateful.staleness_stream(files(spark, tmp_path, batches, schema)), tmp_path).collect()
+    assert sorted((r["module"], r["at_ns"] // s, r["stale"]) for r in changes) == [
+        ("a", 1, False), ("a", 75, True), ("a", 90, False), ("a", 120, True), ("b", 2, False), ("b", 32, True), ("c", 91, False), ("c", 121, True),
+    ]
+    logs = spark.createDataFrame([x for b in batches for x in b if not x[3]], schema)
+    for tick in (10, 40, 60, 80, 100, 130):
+        seen = logs.where(f"timestamp_ns <= {tick * s}")
+        want = {r["module"]: r["stale"] for r in latest.staleness(seen, seen.select("device", "module").distinct(), tick * s).collect()}
+        before = sorted((r["at_ns"], r["stale"], r["module"]) for r in changes if r["at_ns"] < tick * s or not r["stale"] and r["at_ns"] == tick * s)
+        assert {m: stale for _, stale, m in before} == want
+
+
+def test_rolling_points_over_batches(spark, tmp_path):
+    rows = [(k, k, "d", f"m{k % 2}", 20, f"{k} {k / 2} x" if k % 3 else f"{k}") for k in range(1, 60)] + [(60, 60, "d", "n", 20, "none")]
+    stream = files(spark, tmp_path, [rows[:7], rows[7:30], rows[30:]], LOGS)
+    got = stateful.rolled_points(run(stateful.rolling_points_stream(stream, 5), tmp_path))
+    want = series.rolling_points(series.numeric_series(spark.createDataFrame(rows, LOGS)), 5)
+    columns = ("device", "module", "seq", "timestamp_ns", "channel", "value")
+    assert tuples(got, *columns) == tuples(want, *columns)
+
+
+def test_search_by_trigrams(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice("abAB é.%_") for _ in range(rng.randrange(30)))) for k in range(3000)] + [(3000, "the Rare needle"), (3001, None), (9000, "rare NEEDLE again")]
+    spark.createDataFrame(rows, "seq long, line string").repartitionByRange(6, "seq").sortWithinPartitions("seq").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    text_index.write_trigrams(lines, str(tmp_path / "index"), 100)
+    index = spark.read.parquet(str(tmp_path / "index"))
+    for needle in ("rare needle", "aba", "b.", "é a", "A%_", "zzz", " ", "abab"):
+        got = text_index.find_indexed(lines, index, needle, 100)
+        assert tuples(got, "seq", "position") == tuples(filters.find_text(lines, needle), "seq", "position")
+    plan = text_index.find_indexed(lines, index, "Rare needle", 100)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(seq,3000)" in plan and "LessThan(seq,3100)" in plan
+    assert {r["block"] for r in text_index.candidate_blocks(index, "rare needle").collect()} == {30, 90}
