@@ -5,8 +5,8 @@ not shuffled one by one. Each belongs to its minimizer, the ``core``-word string
 consecutive edges of a text that share a minimizer are one path (a super-k-mer). Equal edges share the minimizer, so:
 
 1. paths whose minimizer occurs once hold no repeated edge and leave (a count and a join);
-2. a path that occurs twice is repeated text, all its edges alike. Such paths are compacted by joins: where one ends in its source the next begins, and
-   both occur equally often, the graph does not branch between them, and they are one unit, the longer the passage the fewer rows;
+2. a path that occurs twice is repeated text, all its edges alike. Such paths are compacted by joins: where one ends in its source the next begins, the
+   next follows it at all its occurrences, and both occur equally often, the graph does not branch between them, and they are one unit, the longer the passage the fewer rows;
 3. where paths of a minimizer differ, the graph branches: one source of each different path, named by its
    coordinates, is read again, its edges are counted one by one, and the result is kept as a bit per edge;
 4. units and paths join back to the coordinates of all their occurrences. Where a text holds a whole unit, the long span is verified: the SHA-256 of its words
@@ -32,6 +32,11 @@ from loomlog.llm.rolling import RunHasher
 _CHUNK = 400_000  # words hashed at once; bounds the memory, not the result
 
 
+_NO_PATHS = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, bool)]
+#: Keys of texts that lose words are broadcast up to so many, so that the other texts are not shuffled.
+MOST_BROADCAST = 1_000_000
+
+
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     """The place of the least of each ``width`` consecutive values, the first on ties."""
     place, have = np.arange(len(values)), 1
@@ -44,11 +49,11 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _paths(hasher: RunHasher, sizes: list[int], window: int, core: int):
-    """Of texts with so many words each, loaded one after another: text, start in it, edges, minimizer, hash of the path."""
+    """Of texts with so many words each, loaded one after another: text, start in it, edges, minimizer, hash of the path, and whether the next path goes on from it."""
     sizes = np.array(sizes, np.int64)
     total = int(sizes.sum())
     if total < window:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        return _NO_PATHS
     owner = np.repeat(np.arange(len(sizes)), sizes)
     ends = np.repeat(np.cumsum(sizes), sizes)
     cores = hasher.of(np.arange(total - core + 1), core)
@@ -56,7 +61,7 @@ def _paths(hasher: RunHasher, sizes: list[int], window: int, core: int):
     valid = np.arange(len(place)) + window <= ends[: len(place)]
     at = np.flatnonzero(valid)
     if not len(at):
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
+        return _NO_PATHS
     mine = place[at]
     new = np.ones(len(at), bool)
     new[1:] = (mine[1:] != mine[:-1]) | (at[1:] != at[:-1] + 1)
@@ -64,7 +69,8 @@ def _paths(hasher: RunHasher, sizes: list[int], window: int, core: int):
     edges = np.diff(first, append=len(at))
     start = at[first]
     text = owner[start]
-    return text, start - (np.cumsum(sizes) - sizes)[text], edges, cores[mine[first]], hasher.of(start, edges + window - 1)
+    goes_on = np.append((start[1:] == start[:-1] + edges[:-1]) & (text[1:] == text[:-1]), False)
+    return text, start - (np.cumsum(sizes) - sizes)[text], edges, cores[mine[first]], hasher.of(start, edges + window - 1), goes_on
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -72,7 +78,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def paths(docs: DataFrame, id_col: str, text_col: str, window: int, core: int) -> DataFrame:
-    """A row for each path of each text: ``_id, _key, start, edges, mini, path``."""
+    """A row for each path of each text: ``_id, _key, start, edges, mini, path`` and ``next``, the path that goes on from it in the text, if one does."""
 
     def run(batches):
         hasher = RunHasher()
@@ -87,15 +93,15 @@ def paths(docs: DataFrame, id_col: str, text_col: str, window: int, core: int) -
                     sizes.append(len(own))
                     k += 1
                 hasher.load(words)
-                text, start, edges, mini, path = _paths(hasher, sizes, window, core)
-                row = pa.array(text + begin)
+                text, start, edges, mini, path, goes_on = _paths(hasher, sizes, window, core)
+                row, after = pa.array(text + begin), pa.array(np.roll(path, -1).view(np.int64), mask=~goes_on)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(row), keys.take(row), pa.array(start.astype(np.int32)), pa.array(edges.astype(np.int32)), _signed(mini), _signed(path)],
-                    names=["_id", "_key", "start", "edges", "mini", "path"],
+                    [ids.take(row), keys.take(row), pa.array(start.astype(np.int32)), pa.array(edges.astype(np.int32)), _signed(mini), _signed(path), after],
+                    names=["_id", "_key", "start", "edges", "mini", "path", "next"],
                 )
 
     narrow = docs.select(*row_keys(id_col, text_col), named(text_col).alias("_text"))
-    return narrow.mapInArrow(run, f"{_id_type(docs, id_col)}, _key long, start int, edges int, mini long, path long")
+    return narrow.mapInArrow(run, f"{_id_type(docs, id_col)}, _key long, start int, edges int, mini long, path long, next long")
 
 
 def _id_type(docs: DataFrame, id_col: str) -> str:
@@ -154,10 +160,12 @@ def _read(sources: DataFrame, window: int) -> DataFrame:
 def compacted(repeated: DataFrame) -> DataFrame:
     """``mini, path, ukey, ustart, offset, total``: the unit of each repeated path, named by the coordinates of its source, and the path's place in it.
 
-    ``repeated`` has mini, path, times and the coordinates of one source: _key, _id, start, edges.
+    ``repeated`` has mini, path, times, ``follow``, the one path that goes on from all its occurrences, if there is one, and the coordinates of one source: _key, _id, start, edges.
+    The graph does not branch between a path and the next if that one follows it everywhere and occurs no more often: then it is preceded by it everywhere, too.
     """
-    ends = repeated.select(F.col("_key").alias("_k"), F.col("_id").alias("_i"), (F.col("start") + F.col("edges")).alias("_s"), F.col("times").alias("_t"))
-    goes_on = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("start") == F.col("_s")) & (F.col("times") == F.col("_t"))
+    ends = repeated.select(F.col("_key").alias("_k"), F.col("_id").alias("_i"), (F.col("start") + F.col("edges")).alias("_s"), F.col("times").alias("_t"), F.col("follow").alias("_f"))
+    same_place = (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_i")) & (F.col("start") == F.col("_s"))
+    goes_on = same_place & (F.col("times") == F.col("_t")) & (F.col("path") == F.col("_f"))
     linked = repeated.join(ends, goes_on, "left").withColumn("_head", F.when(F.col("_s").isNull(), F.col("start")))
     along = Window.partitionBy("_key", "_id").orderBy("start")  # within one text
     units = linked.withColumn("ustart", F.last("_head", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -170,11 +178,11 @@ def repeated_spans(met: DataFrame, texts: DataFrame, window: int, name: str) ->
 
     A path of a unit has its place there in ``offset``, and the first one the unit's edges in ``total`` and the digest of its words.
     """
-    whole = materialize(
-        met.groupBy("mini", "path").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "start", "edges")).alias("at")), f"{name}-different"
-    )
+    follow = F.when((F.count("next") == F.count("*")) & (F.min("next") == F.max("next")), F.min("next"))
+    whole = met.groupBy("mini", "path").agg(F.count("*").alias("times"), F.min(F.struct("_key", "_id", "start", "edges")).alias("at"), follow.alias("follow"))
+    whole = materialize(whole, f"{name}-different")
     at = [F.col(f"at.{c}").alias(c) for c in ("_key", "_id", "start", "edges")]
-    units = materialize(compacted(whole.where("times > 1").select("mini", "path", "times", *at)), f"{name}-units")
+    units = materialize(compacted(whole.where("times > 1").select("mini", "path", "times", "follow", *at)), f"{name}-units")
     branching = whole.groupBy("mini").agg(F.count("*").alias("_n"), F.min("times").alias("_least")).where("_n > 1 and _least = 1").select("mini")
     open_paths = whole.join(materialize(branching, f"{name}-branching"), "mini", "left_semi")
 
@@ -226,7 +234,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Every word covered by a window that also starts elsewhere goes, all
     its copies alike. Null and empty texts have no words and an empty kept text; a null id stays null; repeated rows are
-    repeats of each other; texts shorter than a window are kept; other columns are not looked at; no rows give none.
+    repeats of each other; texts shorter than a window are kept; very long texts are read whole, some hundred thousand words at a time; other columns are not looked at; no rows give none.
     """
     if not 0 < core <= window or window - core + 1 > 63:
         raise ValueError("core must be positive and window - core at most 62")
@@ -237,6 +245,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     drop(found, shared)
     texts = docs.select(*row_keys(id_col, text_col), named(text_col).alias("_text"))
     gone = repeated_spans(met, texts, window, "paths").groupBy("_key", "_id").agg(F.collect_list(F.struct("start", "edges", "bits", "unit", "offset", "total", "digest")).alias("_gone"))
+    gone = materialize(gone, "paths-gone")
 
     def run(batches):
         for batch in batches:
@@ -253,4 +262,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("_id"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=["_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
     schema = f"{_id_type(docs, id_col)}, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    return same_row(texts, gone, "left").select("_id", "_text", "_gone").mapInArrow(run, schema).withColumnRenamed("_id", id_col)
+    if gone.count() <= MOST_BROADCAST:  # texts that keep all words stay where they are
+        keys = F.broadcast(gone.select("_key", "_id"))
+        whole = same_row(texts, keys, "left_anti").withColumn("_gone", F.lit(None).cast(gone.schema["_gone"].dataType))
+        both = whole.unionByName(same_row(same_row(texts, keys, "left_semi"), gone, "inner"))
+    else:
+        both = same_row(texts, gone, "left")
+    return both.select("_id", "_text", "_gone").mapInArrow(run, schema).withColumnRenamed("_id", id_col)

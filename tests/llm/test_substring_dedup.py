@@ -38,13 +38,38 @@ def test_query_equals_brute_force(spark, sf):
     assert result(queries.op4_substring_dedup(spark, sf)) == want
 
 
+COMPACT = "mini long, path long, times long, follow long, _key long, _id long, start int, edges int"
+
+
 def test_paths_compact_where_the_graph_does_not_branch(spark):
-    rows = [(1, 1, 5, 7, None, 0, 10), (1, 2, 5, 7, None, 10, 3), (2, 3, 5, 7, None, 13, 4), (4, 4, 2, 7, None, 17, 5), (5, 5, 2, 7, None, 30, 6), (6, 6, 2, 8, 1, 22, 1)]
-    frame = spark.createDataFrame(rows, "mini long, path long, times long, _key long, _id long, start int, edges int")
+    rows = [(1, 1, 5, 2, 7, None, 0, 10), (1, 2, 5, 3, 7, None, 10, 3), (2, 3, 5, 4, 7, None, 13, 4), (4, 4, 2, None, 7, None, 17, 5), (5, 5, 2, None, 7, None, 30, 6), (6, 6, 2, None, 8, 1, 22, 1)]
+    frame = spark.createDataFrame(rows, COMPACT)
     got = {r["path"]: (r["ukey"], r["ustart"], r["offset"], r["total"]) for r in substring_dedup.compacted(frame).collect()}
     assert got == {1: (7, 0, 0, 17), 2: (7, 0, 10, 17), 3: (7, 0, 13, 17), 4: (7, 17, 0, 5), 5: (7, 30, 0, 6), 6: (8, 22, 0, 1)}
 
 
+def test_paths_of_equal_counts_that_part_are_not_compacted(spark):
+    rows = [(1, 1, 2, None, 7, None, 0, 10), (2, 2, 2, None, 7, None, 10, 3)]  # 1 goes on to 2 in one text and elsewhere in another
+    assert [r["total"] for r in substring_dedup.compacted(spark.createDataFrame(rows, COMPACT)).orderBy("path").collect()] == [10, 3]
+    rng = random.Random(9)
+    a, b, c, d, e = ([f"{x}{rng.randrange(10**6)}" for _ in range(120)] for x in "abcde")
+    docs = [(k, " ".join(x)) for k, x in enumerate((a + b, a + c, d + b, d + c, a + b + e))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = substring_dedup.paths(frame, "doc_id", "text", 35, 12)
+    texts = frame.select(*row_keys("doc_id", "text"), F.col("text").alias("_text"))
+    spans = substring_dedup.repeated_spans(found, texts, 35, "t").where("digest is not null").collect()
+    for r in spans:  # every unit is there whole wherever it begins
+        own = docs[r["_id"]][1].encode().split()[r["start"] : r["start"] + r["total"] + 34]
+        assert bytes(r["digest"]) == hashlib.sha256(b" ".join(own)).digest()
+    assert result(substring_dedup.remove_repeats(frame)) == brute(docs)
+
+
+def test_texts_meet_by_broadcast_or_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "MOST_BROADCAST", 0)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert result(queries.op4_substring_dedup(spark, SF)) == brute(docs)
+
+
 def test_long_passages_are_one_verified_span(spark, monkeypatch):
     rng = random.Random(4)
     words = lambda n: [f"w{rng.randrange(10_000)}" for _ in range(n)]
