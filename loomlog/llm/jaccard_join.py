@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import drop, materialize, named, row_keys, same_row
+from loomlog.llm.base import drop, every, materialize, named, row_keys, same_row
 from loomlog.llm.components import components
 from loomlog.llm.rolling import RunHasher
 
@@ -213,8 +213,8 @@ def _linked(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, i
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, share: tuple[int, int] = SHARE) -> DataFrame:
-    """Returns the id column, n_shingles (size of the set), component_id (smallest id reachable over links, itself included) and ``_key``, the
-    hash of id and text that tells rows of one id apart.
+    """Returns the id column, n_shingles (size of the set), component_id (smallest id reachable over links, itself included), ``_key``, the
+    hash of id and text that tells rows of one id apart, and ``_root``, a name of the component (null for an empty set).
 
     Texts are lower-cased (A-Z) and cut at the six white-space bytes; sets compare by 64-bit hashes of shingles. A text of fewer words than ``width`` is
     one shingle; null texts and those without a word have an empty set, link with nothing, and are their own component. Very long texts count whole.
@@ -232,7 +232,18 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
     firsts = rows.where("sig is not null").groupBy("sig").agg(F.min("_id").alias("_first"))
     known = materialize(firsts.join(linked, "sig", "left"), "jaccard-classes-found")
     least = known.where("root is not null").groupBy("root").agg(F.min("_first").alias("_least"))
-    named_ = materialize(known.join(least, "root", "left").select(F.col("sig").alias("_sig"), F.when(F.col("root").isNull(), F.col("_first")).otherwise(F.col("_least")).alias("_component")), "jaccard-components")
+    named_ = materialize(known.join(least, "root", "left").select(F.col("sig").alias("_sig"), F.when(F.col("root").isNull(), F.col("_first")).otherwise(F.col("_least")).alias("_component"), F.coalesce(F.col("root").cast("string"), F.hex("sig")).alias("_root")), "jaccard-components")
     out = rows.join(named_, rows["sig"] == named_["_sig"], "left")
     component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("_component"))
-    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "_key")
+    return out.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), "_key", "_root")
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs, one of each component: the one of the smallest id, null ids last; repeated rows once, and rows of empty sets all."""
+    found = materialize(join(docs, id_col=id_col, text_col=text_col, **how).select(named(id_col).alias("_id"), "_key", "_root"), "jaccard-found")
+    one = found.where("_root is not null").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_key")).alias("_one")).select("_one._id", "_one._key")
+    kept = one.union(found.where("_root is null").select("_id", "_key").distinct())
+    rows = same_row(docs.select(*row_keys(id_col, text_col), every(docs).alias("_row")), kept, "left_semi")
+    if not found.where("_root is not null").groupBy("_id", "_key").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates(["_id", "_key"])
+    return rows.select("_row.*")

@@ -110,3 +110,58 @@ scored as (
   from units u join forms f on len(u.g) > 0 and len(u.g) between len(f.g) * {dice} / {2 - dice} - 1 and len(f.g) * {2 - dice} / {dice} + 1)
 select doc_id, license, unit, dice from scored where dice >= {dice}
 qualify row_number() over (partition by doc_id, license order by dice desc, unit) = 1"""
+
+
+def jaccard_sql() -> str:
+    """Classes of equal sets, links by counts of shared shingles, the least id reachable."""
+    return r"""
+with recursive texts as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sets as (
+  select doc_id, list_sort(case when len(w) > 2 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from texts),
+classes as (select s, len(s) as n, min(doc_id) as id from sets where len(s) > 0 group by s),
+grams as (select id, n, unnest(s) as g from classes),
+pairs as (select a.id as a, b.id as b, a.n as an, b.n as bn, count(*) as c from grams a join grams b on a.g = b.g and a.id < b.id and 100 * a.n >= 90 * b.n and 100 * b.n >= 90 * a.n group by all),
+links as (select a, b from pairs where 100 * c >= 90 * (an + bn - c)),
+reach as (
+  select id, id as root from classes
+  union select l.b, r.root from reach r join (select a, b from links union all select b, a from links) l on l.a = r.id),
+least as (select id, min(root) as root from reach group by id)
+select doc_id, len(sets.s)::bigint as n_shingles, coalesce(root, doc_id) as component_id from sets left join classes on sets.s = classes.s left join least using (id)"""
+
+
+def repair_sql() -> str:
+    """A pass over rows and states; inserting is left out, because deleting the inserted row's partner, and a system row left alone, is always cheaper."""
+    return r"""
+with recursive hashed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')), ''), lambda x: ord(x)::ubigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)::ubigint[]), lambda x, i: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 20 as k from conversations),
+damaged as (
+  select conv_id, turn, case when k = 4 then 'user' else role end as role, case when k = 1 then '' when k = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(range(case when k = 3 then 2 else 1 end)) as again from hashed where k <> 0),
+numbered as (
+  select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn nulls first, role, text) as i from damaged),
+told as (select *, row_number() over (partition by conv_id, role, text order by i) as same from numbered),
+faults as (
+  select *, left(role, 1) as r, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank' when same > 1 then 'duplicate'
+      when right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by i) as before from told),
+counts as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (before is not null and before || r not in ('su', 'ua', 'au')) as illegal from faults group by conv_id),
+moves(q, r, p) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits as (
+  select f.conv_id, f.i, q.q, e.* from faults f, (values (0), (1), (2), (3)) q(q), lateral (
+    select 'D' as edit, 2 as cost, q.q as p, null as said
+    union all select 'R', 1 + case when fault = 'truncated' then 5 else 0 end, case when q.q = 2 then 3 else 2 end, concat(case when q.q = 2 then 'assistant' else 'user' end, ':', text) where fault not in ('blank', 'duplicate')
+    union all select 'K', case when fault = 'truncated' then 5 else 0 end, m.p, concat(role, ':', text) from moves m where m.q = q.q and m.r = f.r and fault not in ('blank', 'duplicate')) e),
+best as (
+  select conv_id, 0::bigint as i, 0 as q, {'cost': 0, 'audit': ''} as w, null::varchar as said from counts
+  union all
+  select b.conv_id, b.i + 1, e.p, min({'cost': b.w.cost + e.cost, 'audit': b.w.audit || e.edit}), arg_min(nullif(concat_ws(chr(10), b.said, e.said), ''), {'cost': b.w.cost + e.cost, 'audit': b.w.audit || e.edit})
+  from best b join edits e on e.conv_id = b.conv_id and e.i = b.i + 1 and e.q = b.q group by b.conv_id, b.i, e.p),
+done as (select b.conv_id, min(w) as w, arg_min(coalesce(said, ''), w) as said from best b join counts c on c.conv_id = b.conv_id and c.n = b.i where q in (0, 3) group by b.conv_id)
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(w.cost, 0)::bigint as cost, coalesce(w.audit, '') as audit, sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct conv_id from conversations) left join counts using (conv_id) left join done using (conv_id)"""

@@ -118,8 +118,8 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     Trusted positives are training-fold rows whose labels are all 1; unlabelled are the training-fold rows without a label.
     Null and empty texts are a cell like any other; rows with a null id are scored, not held out and taken as unlabelled; repeated
-    rows count and score each for itself; without positives or unlabelled rows every score is one half; other columns are
-    not looked at; no rows give no rows.
+    rows count and score each for itself; without positives or unlabelled rows every score is one half; very long texts
+    are scored whole; other columns are not looked at; no rows give no rows.
     """
     every = materialize(cells(docs, id_col, text_col), "cells")
     known = labels.where(named(label_col).isNotNull() & named(id_col).isNotNull()).groupBy(named(id_col).alias("_lid")).agg(F.min(named(label_col)).cast("int").alias("_y"))

@@ -113,7 +113,7 @@ def judge(
     ``labels`` has the id and ``quality``; an id counts as good if no label of it is null or 0. Null or empty texts
     have figures 0 and fail the base rules for want of words; a null stratum is a stratum of its own; rows with a
     null id are judged but never in the holdout; repeated rows are each judged; an empty holdout certifies
-    nothing. Other columns of docs, whatever their names, are only carried.
+    nothing; very long texts are judged whole; no rows give no rows. Other columns of docs, whatever their names, are only carried.
     """
     row = every(docs) if keep_texts else F.struct(named(id_col))
     keep = [row.alias("_row"), named(id_col).alias("_id"), F.coalesce(named(stratum_col).cast("string"), F.lit("")).alias("_lang")]

@@ -90,7 +90,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("_key")
+    return jaccard_join.join(table(spark, sf_dir, "documents")).drop("_key", "_root")
 
 
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,4 +126,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules_wide": oracles.quality_sql(alpha=WIDE_ALPHA),
         "op5_secret_scan": oracles.secrets_sql(),
         "op9_license_scan": oracles.licenses_sql(),
+        "op11_jaccard_join": oracles.jaccard_sql(),
+        "op13_conversation_repair": oracles.repair_sql(),
     }

@@ -111,7 +111,7 @@ def scan(
 
     Returns ``_row`` (a struct: all columns of docs if ``keep_texts``, else the id), n_assign, n_access, n_hex, base_sha256, spans, n_owner_specific and
     n_widely_copied (of all candidates), and ``_marked`` (the spans as structs). Null texts are empty; null owner columns are one owner; null ids stay null; repeated
-    rows each have their row and count once towards an owner; other columns of docs are only carried.
+    rows each have their row and count once towards an owner; very long texts are scanned whole; no rows give no rows; other columns of docs are only carried.
     """
     row = every(docs) if keep_texts else F.struct(named(id_col))
     joined = lambda cols: F.concat_ws("\x00", *[F.coalesce(named(c).cast("string"), F.lit("")) for c in cols])

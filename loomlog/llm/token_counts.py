@@ -55,10 +55,12 @@ def inserts(docs: DataFrame, *versions: str, text_col: str = "text") -> DataFram
 
 
 def deletes(docs: DataFrame, *versions: str, text_col: str = "text") -> DataFrame:
+    """Deltas that take the documents away again, as ``inserts`` added them."""
     return _deltas(docs, versions, -1, lambda count: -count(named(text_col)))
 
 
 def revisions(docs: DataFrame, *versions: str, old_text: Column, new_text: Column) -> DataFrame:
+    """Deltas that put new texts in place of old ones: as many documents, the difference of the tokens."""
     return _deltas(docs, versions, 0, lambda count: count(new_text) - count(old_text))
 
 
@@ -73,7 +75,7 @@ def _deltas(docs: DataFrame, versions: tuple[str, ...], n_docs: int, tokens: Cal
 class TokenRollup:
     """The rollup kept under ``root``, a folder that all executors share.
 
-    Null sources and languages are keys of their own; empty texts have no tokens but are documents; a batch without rows is committed
+    Null sources and languages are keys of their own; null and empty texts have no tokens but are documents; repeated rows count each; very long texts count whole; a batch without rows is committed
     and changes nothing; keys whose documents and tokens sum to zero are left out; an id is letters, digits, ``_.-``.
     """
 

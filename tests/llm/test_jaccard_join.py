@@ -9,12 +9,12 @@ SF = "/root/testdata/sf0.001"
 SF2 = "/root/testdata/sf0.01"
 
 
-def brute(rows):
+def brute(rows, width=3, share=90):
     """rows: (doc_id, text); the sets are compared pair by pair."""
     sets = []
     for _, text in rows:
         words = (text or "").encode().lower().split()
-        sets.append(frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2)) if len(words) > 2 else frozenset([tuple(words)] if words else []))
+        sets.append(frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1)) if len(words) >= width else frozenset([tuple(words)] if words else []))
     kinds = sorted({s for s in sets if s}, key=len)
     root = {s: s for s in kinds}
 
@@ -25,10 +25,10 @@ def brute(rows):
 
     for i, a in enumerate(kinds):
         for b in kinds[i + 1 :]:
-            if 100 * len(a) < 90 * len(b):
+            if 100 * len(a) < share * len(b):
                 break
             shared = len(a & b)
-            if 100 * shared >= 90 * (len(a) + len(b) - shared) and find(a) is not find(b):
+            if 100 * shared >= share * (len(a) + len(b) - shared) and find(a) is not find(b):
                 root[find(a)] = find(b)
     least = {}
     for (d, _), s in zip(rows, sets, strict=True):
@@ -92,6 +92,16 @@ def test_edge_cases(spark):
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_one_of_each_component_stays(spark):
+    rng = random.Random(6)
+    rows = [*enumerate(family(rng, 50, 80, 9)), (None, "a b c d e f"), (None, "a b c d e f"), (200, ""), (201, None), (202, "a b c d e f"), (None, "x y z")]
+    docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, _root string")
+    got = sorted(((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs, width=5, share=(80, 100)).collect()), key=str)
+    found = brute(rows[:50], 5, 80)
+    want = [(d, dict(rows[:50])[d]) for d, _, c in found if d == c] + [(200, ""), (201, None), (202, "a b c d e f"), (None, "x y z")]
+    assert got == sorted(want, key=str) and len(want) < 50
+
+
 def test_other_shares_and_widths(spark):
     rng = random.Random(4)
     rows = list(enumerate(family(rng, 60, 40, 6)))

@@ -3,6 +3,7 @@
 import corpus_pipeline
 from loomlog.llm.base import materialize
 from tests.llm.test_decontaminate import brute as brute_leaks
+from tests.llm.test_jaccard_join import brute as brute_jaccard
 from tests.llm.test_packing import check
 from tests.llm.test_quality import brute as brute_quality
 from tests.llm.test_scans import base as secrets
@@ -26,7 +27,8 @@ def test_stages(spark):
     groups = {}
     for doc_id, _, component in brute_components([(r[0], brute_print(r[1])) for r in good]):
         groups.setdefault(component, []).append(doc_id)
-    assert sorted(r[0] for r in single) == sorted(min(g) for g in groups.values())
+    first = {min(g) for g in groups.values()}
+    assert sorted(r[0] for r in single) == sorted(d for d, _, c in brute_jaccard([r[:2] for r in good if r[0] in first], 5, 80) if d == c)
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     bad = {d for d, _, _ in brute_leaks([r[:2] for r in single], items)}
     assert bad and rows_of(outs[3]) == [r for r in single if r[0] not in bad]
@@ -79,7 +81,7 @@ def test_every_stage_takes_odd_rows_and_columns(spark):
         assert all(r["a.b"] == r["_id"] == r["kept"] == "x" for r in out[name].collect()), name
     ids = lambda name: sorted((str(r["doc_id"]) for r in out[name].collect()))
     assert ids("quality rules") == ["1", "1", "2", "5", "None"]
-    assert ids("SimHash near-dedup") in (["1", "3", "5"], ["1", "3", "5", "None"])  # the tail may move the fingerprint by more than two bits
+    assert ids("SimHash near-dedup") == ["1", "3", "5"]
     assert ids("benchmark decontamination") == sorted(map(str, [1, 1, 2, None, 3, 4, 5, None]))
     assert ids("secret scans") == sorted(map(str, [1, 1, 2, None, 3, 4, 5, None]))
     long = next(r for r in out["secret scans"].collect() if r["doc_id"] == 5)
