@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -163,3 +164,41 @@ def test_classifier_edge_cases(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert {round(r["score"], 6) for r in quality_classifier.score(docs, labels.limit(0)).collect()} == {0.5}
     assert quality_classifier.score(docs.limit(0), labels).count() == 0
+
+
+def test_classifier_equals_a_plain_restatement(spark):
+    """The whole query again over lists: figures, bins, counts of cells, risk, scores."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    known = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality is not null").collect():
+        known[r["doc_id"]] = min(r["quality"], known.get(r["doc_id"], 1))
+    spaces = re.compile(r"[\x20\x09-\x0D]+")
+    cells, counts = {}, {}
+    for doc_id, text in docs:
+        text = text or ""
+        words = [w for w in spaces.split(text) if w]
+        lines = [x for x in text.split("\n") if spaces.sub("", x)]
+        chars = len(spaces.sub("", text))
+        figures = {
+            "symbols": 1000 * len(re.findall(r"[#*$%&|<>]", text)) // max(chars, 1), "upper": 1000 * len(re.findall("[A-Z]", text)) // max(chars, 1), "repeated_lines": 1000 * (len(lines) - len(set(lines))) // max(len(lines), 1),
+            "stutter": 1000 * sum(a == b for a, b in zip(words, words[1:], strict=False)) // max(len(words), 1), "distinct": 1000 * len(set(words)) // max(len(words), 1), "words": len(words), "word_length": 1000 * chars // max(len(words), 1),
+        }
+        cell = 0
+        for name, cuts in quality_classifier.CUTS.items():
+            cell = 5 * cell + sum(figures[name] >= c for c in cuts)
+        held = zlib.crc32(str(doc_id).encode()) % 3 == 1
+        cells[doc_id] = (cell, held)
+        if not held and known.get(doc_id, 1) == 1:
+            positive, unlabelled = counts.get(cell, (0, 0))
+            counts[cell] = (positive + (doc_id in known), unlabelled + (doc_id not in known))
+        elif not held:
+            counts.setdefault(cell, (0, 0))
+    order = sorted(counts)
+    x = quality_classifier.design(np.array(order))
+    p, u = (np.array([counts[c][k] for c in order], float) for k in (0, 1))
+    w = quality_classifier.non_negative_risk(x, p, u, quality_classifier.class_prior(x, p, u))
+    got = {r["doc_id"]: r for r in queries.op3_quality_classifier(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for doc_id, (cell, held) in cells.items():
+        want = 1 / (1 + math.exp(-float((quality_classifier.design(np.array([cell])) @ w)[0])))
+        assert got[doc_id]["held_out"] == held and got[doc_id]["score"] == pytest.approx(want, rel=1e-6) and got[doc_id]["predicted"] == int(got[doc_id]["score"] >= 0.5)

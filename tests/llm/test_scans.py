@@ -9,12 +9,13 @@ import time
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomlog.llm import licenses, queries, secret_scan, token_counts, toxicity
+from loomlog.llm import licenses, logistic, queries, secret_scan, token_counts, toxicity
 from loomlog.llm.base import scratch
 from loomlog.llm.tokenizer import tokenizer
 
@@ -353,3 +354,27 @@ def test_exceptions_are_walked_once():
     total = lexicon.figures("trash can idiot " * 100_000)[0]
     assert total == pytest.approx(math.log1p(100_000)) and time.perf_counter() - began < 10
     assert lexicon.figures("trash can idiot proof trash")[0] == pytest.approx(math.log1p(2.0))
+
+
+def test_toxicity_equals_a_plain_restatement(spark):
+    """The whole query again over lists: counts of documents by term, weights, calibration, scores."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    known = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null").collect():
+        known[r["doc_id"]] = max(r["toxic"], known.get(r["doc_id"], 0))
+    held = {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, _ in docs}
+    sample = [(t or "", known[d]) for d, t in docs if d in known and not held[d]]
+    counts, n = {}, [sum(y == k for _, y in sample) for k in (0, 1)]
+    for text, y in sample:
+        for word in {w[:k] for w in toxicity.fold(text).split() for k in (len(w), *range(4, min(9, len(w)) + 1))}:
+            counts.setdefault(word, [0, 0])[y] += 1
+    weight = {w: math.log(((t + 0.5) / (n[1] + 1)) / ((c + 0.5) / (n[0] + 1))) for w, (c, t) in counts.items() if t >= 5}
+    lexicon = toxicity.Lexicon({w: x for w, x in weight.items() if x >= 1.5})
+    data = np.array([(*lexicon.figures(t), y) for t, y in sample])
+    data = data[np.lexsort(data.T)]
+    fitted = logistic.fit(data[:, :5], data[:, 5])
+    want = logistic.score(np.array([lexicon.figures(t) for _, t in docs]), fitted)
+    got = {r["doc_id"]: r for r in queries.op6_toxicity(spark, SF).collect()}
+    assert len(got) == len(docs) and n[1] >= 5
+    for (d, _), score in zip(docs, want, strict=True):
+        assert got[d]["held_out"] == held[d] and got[d]["score"] == pytest.approx(score, rel=1e-6, abs=1e-9) and got[d]["predicted"] == int(got[d]["score"] >= 0.3)
