@@ -24,7 +24,7 @@ def printable(raw: Column, allow_escape: bool = True) -> Column:
 
 
 def decode_bytes(raw: Column, encoding: str = "ascii", errors: str = "replace") -> Column:
-    """Bytes as text. Bad bytes: ``replace`` by U+FFFD, ``ignore``, or ``strict``: null."""
+    """Bytes as text: ASCII, UTF-8, or Latin-1, in which no byte is bad. Bad bytes: ``replace`` by U+FFFD, ``ignore``, or ``strict``: null."""
     if errors not in ("replace", "ignore", "strict"):
         raise ValueError(f"unknown errors {errors!r}")
     if encoding.lower() in ("utf-8", "utf8"):
@@ -33,6 +33,8 @@ def decode_bytes(raw: Column, encoding: str = "ascii", errors: str = "replace")
             return F.when(F.is_valid_utf8(text), text)
         fixed = F.make_valid_utf8(text)
         return fixed if errors == "replace" else F.when(F.is_valid_utf8(text), text).otherwise(F.replace(fixed, F.lit("\ufffd"), F.lit("")))
+    if encoding.lower() in ("latin-1", "latin1", "iso-8859-1", "iso8859-1"):
+        return F.decode(raw, LATIN)
     if encoding.lower() not in ("ascii", "us-ascii"):
         raise ValueError(f"unknown encoding {encoding!r}")
     text = F.decode(raw, LATIN)

@@ -33,9 +33,9 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str, size: int = 64) -> DataFrame:
     """Documents as byte chunks of ``size`` characters, a final newline added."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("_t"))
-    cut = docs.select("doc_id", "_t", F.explode(F.sequence(F.lit(0), F.expr(f"(length(_t) - 1) div {size}"))).alias("chunk_seq"))
-    piece = F.substring("_t", F.col("chunk_seq").cast("int") * size + 1, F.lit(size))
-    return cut.select(F.col("doc_id").cast("string").alias("source"), "chunk_seq", (F.col("doc_id") * 1_000_000 + F.col("chunk_seq")).alias("timestamp_ns"), F.encode(piece, "UTF-8").alias("payload"))
+    pieces = F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))  # one pass over the text
+    cut = docs.select("doc_id", F.posexplode(pieces).alias("_k", "_piece")).withColumn("chunk_seq", F.col("_k").cast("long"))
+    return cut.select(F.col("doc_id").cast("string").alias("source"), "chunk_seq", (F.col("doc_id") * 1_000_000 + F.col("chunk_seq")).alias("timestamp_ns"), F.encode("_piece", "UTF-8").alias("payload"))
 
 
 def _little_endian(number, size: int):

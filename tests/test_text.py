@@ -78,3 +78,8 @@ def test_headers_of_very_many_tags(spark):
     text = "[tag] " * 100_000 + "rest"
     row = spark.createDataFrame([(text,)], "t string").select(T.path_normalize(F.col("t")).alias("x")).first()
     assert row["x"] == ".".join(["tag"] * 100_000) + " rest"
+
+
+def test_latin_1(spark):
+    row = spark.createDataFrame([(bytes(range(256)),)], "raw binary").select(*[T.decode_bytes(F.col("raw"), e, how).alias(f"{e}{how}") for e in ("latin-1", "ISO-8859-1") for how in ("replace", "strict")]).first()
+    assert set(row) == {bytes(range(256)).decode("latin-1")}
