@@ -180,6 +180,7 @@ def start_topology(spec: dict[str, dict], inputs: dict[str, DataFrame], path: st
 
     Each batch is parsed, passed to the pipelines that read others, merged and numbered (see ``seq_sink``): the rows are at ``<path>/rows``, and a batch that comes
     again is numbered as before. ``subscribers``, a ``FanOut`` for instance, get the numbered rows of each batch. Rows of one batch are in one order; over batches they go as they come.
+    Pipelines of chunks keep state, so start them inside ``state_store``.
     """
     stream, rest = stream_topology(spec, inputs)
 
