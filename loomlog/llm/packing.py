@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,6 +96,17 @@ def _places(patterns: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+#: Bytes of text that a task turns into ids at once; bounds its memory beside the batch, not the result.
+TEXT_BYTES = 2_000_000
+
+
+def _by_bytes(batch: pa.RecordBatch, most: int = TEXT_BYTES):
+    """The rows of a batch in runs of about ``most`` bytes of text, a longer text in one with its neighbours."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(upto // most)) + 1).tolist(), batch.num_rows]
+    return (batch.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a)
+
+
 def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, end_id: int, tokenizer_path: str | None = None, special_text: bool = False) -> DataFrame:
     """A row per piece of each document, with its rank among the pieces of its length that one task made.
 
@@ -105,7 +117,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, max_tokens: int, e
     def run(batches):
         part = TaskContext.get().partitionId()
         seen = np.zeros(max_tokens + 1, np.int64)
-        for batch in batches:
+        for batch in (few for whole in batches for few in _by_bytes(whole)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out = []
             for row, ids in enumerate(tokenizer(tokenizer_path, special_text).encode(texts)):

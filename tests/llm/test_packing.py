@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -102,3 +103,13 @@ def test_the_fullest_combination_is_found(counts, room):
     found = packing.fullest(counts, room)
     assert sum(x * k for x, k in found.items()) == max(sums)
     assert all(k <= counts[x] for x, k in found.items())
+
+
+def test_batches_are_cut_by_bytes_and_whole():
+    texts = [None, "", "é" * 60, "a" * 300, None, "b", "c" * 99, ""] * 3
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["_id", "_text"])
+    few = list(packing._by_bytes(batch, 100))
+    assert [x for b in few for x in b.column(1).to_pylist()] == texts and [x for b in few for x in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert all(sum(len((x or "").encode()) for x in b.column(1).to_pylist()[1:]) <= 100 for b in few)  # all but the first, which may be longer
+    assert len(list(packing._by_bytes(batch))) == 1 and not list(packing._by_bytes(batch.slice(0, 0)))
+    assert len(list(packing._by_bytes(batch.slice(2, 1), 100))) == 1
