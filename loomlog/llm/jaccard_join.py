@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import drop, every, materialize, named, row_keys, same_row
+from loomlog.llm.base import drop, every, materialize, named, passing, row_keys, same_row
 from loomlog.llm.components import components
 from loomlog.llm.rolling import RunHasher
 
@@ -240,7 +240,8 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wid
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs, one of each component: the one of the smallest id, null ids last; repeated rows once, and rows of empty sets all."""
-    found = materialize(join(docs, id_col=id_col, text_col=text_col, **how).select(named(id_col).alias("_id"), "_key", "_root"), "jaccard-found")
+    with passing() as keep:  # tables that led to the components go before the rows are read
+        found = keep(materialize(join(docs, id_col=id_col, text_col=text_col, **how).select(named(id_col).alias("_id"), "_key", "_root"), "jaccard-found"))
     one = found.where("_root is not null").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_key")).alias("_one")).select("_one._id", "_one._key")
     kept = one.union(found.where("_root is null").select("_id", "_key").distinct())
     rows = same_row(docs.select(*row_keys(id_col, text_col), every(docs).alias("_row")), kept, "left_semi")
