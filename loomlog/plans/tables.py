@@ -59,10 +59,10 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as bus frames of eight bytes: user, cents, k and a negative number."""
+    """Events as bus frames of eight bytes: the low 16 bits of the user, 32 of the cents, 8 of k, and a negative number."""
     return _events(spark, sf_dir).selectExpr(
         "event_id as frame_seq", "timestamp_ns", "cast(256 + event_id % 3 as int) as arbitration_id", "8 as dlc",
-        "unhex(format_string('%02X%02X%08X%02X%02X', user_id % 256, user_id div 256, cast(round(value * 100) as bigint), cast(regexp_extract(props, '[0-9]+', 0) as int), (256 - user_id % 100) % 256)) as data",
+        "unhex(format_string('%02X%02X%08X%02X%02X', user_id & 255, (user_id & 65535) div 256, cast(round(value * 100) as bigint) & 4294967295, cast(regexp_extract(props, '[0-9]+', 0) as int) & 255, (256 - user_id % 100) % 256)) as data",
     )
 
 

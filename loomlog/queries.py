@@ -43,8 +43,8 @@ KNOWN = """known as (
   select device, module, min(first_seq) as first_seq from (
     select device, unnest(['', 'app', module]) as module, seq as first_seq from logs) group by device, module)"""
 FRAMES = """frames as (
-  select event_id as frame_seq, epoch_us(ts) * 1000 as timestamp_ns, (256 + event_id % 3)::int as arbitration_id, user_id, round(value * 100)::bigint as cents,
-    cast(regexp_extract(props, '[0-9]+', 0) as int) as k, user_id % 100 as neg from events),
+  select event_id as frame_seq, epoch_us(ts) * 1000 as timestamp_ns, (256 + event_id % 3)::int as arbitration_id, events.user_id & 65535 as user_id, round(value * 100)::bigint & 4294967295 as cents,
+    cast(regexp_extract(props, '[0-9]+', 0) as int) & 255 as k, events.user_id % 100 as neg from events),
 hexed as (select *, lower(printf('%02X%02X%08X%02X%02X', user_id % 256, user_id // 256, cents, k, (256 - neg) % 256)) as hex from frames)"""
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
