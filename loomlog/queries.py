@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from loomlog import model
 from loomlog.functions import text as T
@@ -15,7 +16,7 @@ from loomlog.plans import pipeline, tables
 from loomlog.sources import capture, session_log
 from loomlog.sources.log_store import LogStore
 from loomlog.sources.stream import stream_chunks
-from loomlog.storage import scratch
+from loomlog.storage import mark, names_in, scratch
 from loomlog.streaming.fan_out import FanOut, fan_out
 from loomlog.streaming.registry import Registry
 from loomlog.streaming.stateful import rolled_points, rolling_points_stream, staleness_stream, state_store
@@ -60,6 +61,20 @@ def query(name: str, sql: str | None, *tables_sql: str):
     return put
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that a stream can read before files drop into it."""
+    path = scratch(spark, "dropped")
+    mark(spark, f"{path}/_begun")
+    return path
+
+
+def _in_turn(parts: list[DataFrame], path: str, writer: DataStreamWriter) -> None:
+    """Parts drop into the folder that a stream reads, and the stream takes each to its end, as one batch, before the next one drops: batches do not depend on the number of files."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+
 # sources and rows -------------------------------------------------------------------------------------------------------
 
 
@@ -430,17 +445,14 @@ def _(spark, d):
   "gaps as (select device, module, timestamp_ns, lag(timestamp_ns) over (partition by device, module order by timestamp_ns) as b from logs)")
 def _(spark, d):
     """When modules turn stale and fresh again: log rows stream in by time, a tick an hour after the last one ends it."""
-    dropped, out, state = (scratch(spark, x) for x in ("dropped", "stale", "state"))
+    dropped, out, state = _folder(spark), *(scratch(spark, x) for x in ("stale", "state"))
     logs = tables.logs(spark, d).select("device", "module", "timestamp_ns", F.lit(False).alias("is_tick"))
     low, high = logs.agg(F.min("timestamp_ns"), F.max("timestamp_ns")).first()
-    for k in range(3):
-        begin, end = (low + (high + 1 - low) * x // 3 for x in (k, k + 1))
-        logs.where(F.col("timestamp_ns").between(begin, end - 1)).coalesce(4).write.mode("append").parquet(dropped)
-    for k in (1, 2):
-        spark.createDataFrame([("", "", high + k * 3_600_000_000_000, True)], logs.schema).coalesce(1).write.mode("append").parquet(dropped)
-    changes = staleness_stream(spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(dropped))
+    parts = [logs.where(F.col("timestamp_ns").between(low + (high + 1 - low) * k // 3, low + (high + 1 - low) * (k + 1) // 3 - 1)) for k in range(3)]
+    ticks = spark.createDataFrame([("", "", high + k * 3_600_000_000_000, True) for k in (1, 2)], logs.schema).coalesce(1)
+    changes = staleness_stream(spark.readStream.schema(logs.schema).parquet(dropped))
     with state_store(spark):
-        changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        _in_turn([*parts, ticks], dropped, changes.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
     return spark.read.schema(changes.schema).parquet(out)
 
 
@@ -466,14 +478,13 @@ def _(spark, d):
 @query("t3_rolling_stream", "select * from series qualify row_number() over (partition by device, module, channel order by seq desc) <= 20", SERIES)
 def _(spark, d):
     """The same as a stream of three parts by seq, whose points take slots in rings of twenty."""
-    dropped, out, state = (scratch(spark, x) for x in ("dropped", "points", "state"))
+    dropped, out, state = _folder(spark), *(scratch(spark, x) for x in ("points", "state"))
     logs = tables.logs(spark, d)
     last = logs.agg(F.max("seq")).first()[0]
-    for k in range(3):
-        logs.where((F.col("seq") > last * k // 3) & (F.col("seq") <= last * (k + 1) // 3)).coalesce(4).write.mode("append").parquet(dropped)
-    points = rolling_points_stream(spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 4).parquet(dropped), 20)
+    parts = [logs.where((F.col("seq") > last * k // 3) & (F.col("seq") <= last * (k + 1) // 3)) for k in range(3)]
+    points = rolling_points_stream(spark.readStream.schema(logs.schema).parquet(dropped), 20)
     with state_store(spark):
-        points.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        _in_turn(parts, dropped, points.writeStream.format("parquet").option("path", out).option("checkpointLocation", state))
     return rolled_points(spark.read.schema(points.schema).parquet(out))
 
 
@@ -715,15 +726,13 @@ def _(spark, d):
   union all select timestamp_ns, device, module, message from kv)""", KV)
 def _(spark, d):
     """The same topology as one streaming query over records that drop in three parts by time."""
-    dropped, out = (scratch(spark, x) for x in ("dropped", "topology"))
+    dropped, out = _folder(spark), scratch(spark, "topology")
     records = tables.logs(spark, d).selectExpr("timestamp_ns as created_ns", "level as levelno", "module as name", "message as msg")
     low, high = records.agg(F.min("created_ns"), F.max("created_ns")).first()
-    for k in range(3):
-        begin, end = (low + (high + 1 - low) * x // 3 for x in (k, k + 1))
-        records.where(F.col("created_ns").between(begin, end - 1)).coalesce(4).write.mode("append").parquet(dropped)
-    stream = spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 4).parquet(dropped)
+    parts = [records.where(F.col("created_ns").between(low + (high + 1 - low) * k // 3, low + (high + 1 - low) * (k + 1) // 3 - 1)) for k in range(3)]
+    stream = spark.readStream.schema(records.schema).parquet(dropped)
     spec = {"main": {"type": "records", "device": "rec", "sources": ["in"]}, "values": {"type": "key_value", "device": "kv", "sources": ["main"]}}
-    pipeline.start_topology(spec, {"in": stream}, out, ("timestamp_ns", "device", "module", "message")).trigger(availableNow=True).start().awaitTermination()
+    _in_turn(parts, dropped, pipeline.start_topology(spec, {"in": stream}, out, ("timestamp_ns", "device", "module", "message")))
     return LogStore(spark, out).rows().select("seq", "timestamp_ns", "device", "module", "message")
 
 

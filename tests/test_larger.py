@@ -46,3 +46,11 @@ def test_frames_have_eight_bytes_whatever_the_keys(spark, tmp_path, name):
     frames = tables.frames(spark, path)
     assert {len(r["data"]) for r in frames.collect()} == {8}
     assert differ(spark, name, path) == []
+
+
+@pytest.mark.parametrize("files", [3, 5])
+@pytest.mark.parametrize("name", ["a6_staleness_stream", "c2_stream_topology", "t3_rolling_stream"])
+def test_batches_of_streams_do_not_depend_on_files(spark, tmp_path, name, files):
+    """With three files a part of time, batches of four files mixed times: rows were late or numbered out of order."""
+    path = events(spark, tmp_path, made(spark, 400), files)
+    assert differ(spark, name, path) == []
