@@ -68,6 +68,12 @@ def _folder(spark: SparkSession) -> str:
     return path
 
 
+def _in_thirds(rows: DataFrame, path: str) -> int:
+    """Writes rows as they are dealt, in six files at least, and returns how many of the files make three batches of a stream."""
+    rows.write.option("maxRecordsPerFile", max(1, rows.count() // 6)).parquet(path)
+    return max(1, -(-sum(x.startswith("part-") for x in names_in(rows.sparkSession, path)) // 3))
+
+
 def _in_turn(parts: list[DataFrame], path: str, writer: DataStreamWriter) -> None:
     """Parts drop into the folder that a stream reads, and the stream takes each to its end, as one batch, before the next one drops: batches do not depend on the number of files."""
     for part in parts:
@@ -649,7 +655,7 @@ def _(spark, d):
 def _(spark, d):
     """Chunks streamed in small batches to two sinks, one of which fails twice; it catches up, and no batch is lost or doubled."""
     dropped, out, state = (scratch(spark, x) for x in ("dropped", "sinks", "state"))
-    tables.chunks(spark, d).repartition(6).write.parquet(dropped)
+    each = _in_thirds(tables.chunks(spark, d), dropped)
     failures = iter([0, 1])
 
     def put(name: str, batch: DataFrame, n: int) -> None:
@@ -661,7 +667,7 @@ def _(spark, d):
         put("shaky", batch, n)
 
     sinks = FanOut({"shaky": shaky, "steady": lambda batch, n: put("steady", batch, n)}, f"{out}/ledger")
-    stream = stream_chunks(spark, {"path": dropped, "maxFilesPerTrigger": 2})
+    stream = stream_chunks(spark, {"path": dropped, "maxFilesPerTrigger": each})
     stream.writeStream.foreachBatch(sinks).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     sinks.catch_up(spark)
     counts = [spark.read.schema("source string, chunks long").parquet(f"{out}/{x}").groupBy("source").agg(F.sum("chunks").alias(x)) for x in ("steady", "shaky")]
@@ -673,8 +679,8 @@ def _(spark, d):
     """The latest rows kept by a stream in update mode, its batches merged by seq."""
     dropped, out, state = (scratch(spark, x) for x in ("dropped", "latest", "state"))
     logs = tables.logs(spark, d)
-    logs.repartition(6).write.parquet(dropped)
-    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 2).parquet(dropped)
+    each = _in_thirds(logs, dropped)
+    stream = spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", each).parquet(dropped)
     keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
     newest = latest.latest_by_module(stream)
     newest.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

@@ -1,6 +1,8 @@
 """Registered queries on tables that the small ones do not stand for: keys beyond 16 bits, several files, many parts."""
 
 
+import os
+
 import duckdb
 import pytest
 
@@ -54,3 +56,11 @@ def test_batches_of_streams_do_not_depend_on_files(spark, tmp_path, name, files)
     """With three files a part of time, batches of four files mixed times: rows were late or numbered out of order."""
     path = events(spark, tmp_path, made(spark, 400), files)
     assert differ(spark, name, path) == []
+
+
+def test_dropped_rows_lie_in_as_many_files_as_tasks(spark, tmp_path):
+    """Six files whatever the input made one task read a sixth of it; a stream still gets three batches."""
+    for tasks, files in ((1, 6), (12, 12), (20, 20)):
+        path = str(tmp_path / str(tasks))
+        each = queries._in_thirds(spark.range(0, 6000, 1, tasks), path)
+        assert len([x for x in os.listdir(path) if x.startswith("part-")]) == files and -(-files // each) == 3
