@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomlog.storage import materialize
+from loomlog.storage import materialize, passing
 
 _LOCAL = (1 << 33) - 1
 
@@ -44,15 +44,17 @@ def assign_seq(logs: DataFrame, order_cols: tuple[str, ...], partitions: int | N
 def seq_sink(path: str, order_cols: tuple[str, ...], partitions: int | None = None):
     """``assign_seq`` for ``foreachBatch``: numbers go on from batch to batch, rows below ``path/rows/batch=<id>``.
 
-    The last number of each batch is kept beside the rows, so a batch that comes again is numbered as before.
+    The last number of each batch is kept beside the rows, so a batch that comes again is numbered as before. A batch is written before its ranges are sampled, so that a stream's
+    state is gone through once.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = spark.read.schema("last long, batch long").parquet(f"{path}/last") if batch_id else None
         before = (known.where(F.col("batch") < batch_id).agg(F.max("last")).first()[0] or 0) if known else 0
-        rows = assign_seq(batch, order_cols, partitions).withColumn("seq", F.col("seq") + before)
-        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        with passing():
+            rows = assign_seq(materialize(batch, "batch"), order_cols, partitions).withColumn("seq", F.col("seq") + before)
+            rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
         done = spark.read.schema(rows.schema).parquet(f"{path}/rows/batch={batch_id}")
         done.agg(F.coalesce(F.max("seq"), F.lit(before)).alias("last")).write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}")
 

@@ -704,17 +704,15 @@ def _(spark, d):
   case when level = 40 then concat('? ', module, ': ', message) else message end as message from logs""")
 def _(spark, d):
     """Chunks dropped as files in three parts; lines run over chunks and batches; rows are numbered as they come."""
-    dropped, out, state = (scratch(spark, x) for x in ("dropped", "rows", "state"))
+    dropped, out, state = _folder(spark), *(scratch(spark, x) for x in ("rows", "state"))
     chunks = tables.line_chunks(spark, d)
     late = chunks.agg(F.max("chunk_seq")).first()[0]
     part = F.col("chunk_seq") * 3 / (late + 1)
-    for k in range(3):
-        chunks.where((part >= k) & (part < k + 1)).repartition(4, "source").write.mode("append").parquet(dropped)
     run = pipeline.build_pipeline({"type": "Serial_Default", "device": "Unit", "parse": {"level_index": 0, "module_index": 1, "message_index": 2}})
-    rows = run(stream_chunks(spark, {"path": dropped, "maxFilesPerTrigger": 4}))
+    rows = run(stream_chunks(spark, {"path": dropped}))
     sink = order.seq_sink(out, ("timestamp_ns", "source", "line_no"))
     with state_store(spark):
-        rows.writeStream.foreachBatch(sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        _in_turn([chunks.where((part >= k) & (part < k + 1)) for k in range(3)], dropped, rows.writeStream.foreachBatch(sink).option("checkpointLocation", state))
     return spark.read.schema("timestamp_ns long, device string, module string, level int, message string, seq long").parquet(f"{out}/rows").select(*model.LOG_COLUMNS)
 
 

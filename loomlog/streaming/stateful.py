@@ -11,7 +11,9 @@ import pickle
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,6 +36,22 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
+def _packed(chunks: DataFrame) -> DataFrame:
+    """The chunks of a source that lie in one Arrow batch as one row, ``source, chunk_seq, timestamp_ns, payload`` with arrays: rows cost more on their way to a state than what is in them."""
+
+    def run(batches):
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            if not len(order):
+                continue
+            first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+            rows, ends = batch.take(pa.array(order)), pa.array([*first, len(order)], pa.int32())
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(first)), *(pa.ListArray.from_arrays(ends, rows.column(k)) for k in (1, 2, 3))], names=batch.schema.names)
+
+    return chunks.mapInArrow(run, "source string, chunk_seq array<long>, timestamp_ns array<long>, payload array<binary>")
+
+
 _LINES = "source string, line_no long, timestamp_ns long, raw binary"
 
 
@@ -47,16 +65,19 @@ class _Lines(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         line_no = self.line.get()[0] if self.line.exists() else 0
-        chunks = pd.concat(list(rows)).sort_values("chunk_seq", kind="stable")
-        ends = any(self.sep in bytes(x) for x in chunks["payload"])
+        packs = pd.concat(list(rows))
+        place, times, payloads = (np.concatenate([np.asarray(x, kind) for x in packs[c]]) for c, kind in (("chunk_seq", np.int64), ("timestamp_ns", np.int64), ("payload", object)))
+        order = np.argsort(place, kind="stable")
+        chunks = list(zip(times[order].tolist(), payloads[order], strict=True))
+        ends = any(self.sep in bytes(x) for _, x in chunks)
         before = [bytes(x[0]) for x in self.tail.get()] if ends and self.tail.exists() else []  # read only when its line ends
         held, out = before, []
-        for ns, payload in zip(chunks["timestamp_ns"], chunks["payload"], strict=True):
+        for ns, payload in chunks:
             first, *others = bytes(payload).split(self.sep)
             held.append(first)
             for piece in others:
                 if line := b"".join(held):
-                    out.append((key[0], line_no, int(ns), line))
+                    out.append((key[0], line_no, ns, line))
                 held, line_no = [piece], line_no + 1
         rest = b"".join(held)
         if ends:
@@ -72,7 +93,7 @@ class _Lines(StatefulProcessor):
 
 def split_lines_stream(chunks: DataFrame, sep: int = 10) -> DataFrame:
     """As ``split_lines``; a source's state is its unterminated rest and the number of its next line."""
-    return chunks.select("source", "chunk_seq", "timestamp_ns", "payload").groupBy("source").transformWithStateInPandas(_Lines(sep), _LINES, "append", "none")
+    return _packed(chunks.select("source", "chunk_seq", "timestamp_ns", "payload")).groupBy("source").transformWithStateInPandas(_Lines(sep), _LINES, "append", "none")
 
 
 _ROWS = "device string, timestamp_ns long, module string, level int, message string"

@@ -8,6 +8,7 @@ import pytest
 
 from loomlog import queries
 from loomlog.plans import tables
+from loomlog.streaming import stateful
 from tests.test_queries import plain
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -64,3 +65,13 @@ def test_dropped_rows_lie_in_as_many_files_as_tasks(spark, tmp_path):
         path = str(tmp_path / str(tasks))
         each = queries._in_thirds(spark.range(0, 6000, 1, tasks), path)
         assert len([x for x in os.listdir(path) if x.startswith("part-")]) == files and -(-files // each) == 3
+
+
+def test_chunks_of_a_source_go_to_its_state_together(spark):
+    schema = "source string, chunk_seq long, timestamp_ns long, payload binary"
+    rows = [(("a", "b", None)[k % 3], k, 10 * k, b"%d\n" % k) for k in range(300)]
+    packed = stateful._packed(spark.createDataFrame(rows, schema).coalesce(1)).collect()
+    assert sorted(str(r["source"]) for r in packed) == ["None", "a", "b"]
+    back = sorted((k, r["source"], ns, bytes(p)) for r in packed for k, ns, p in zip(r["chunk_seq"], r["timestamp_ns"], r["payload"], strict=True))
+    assert back == [(k, source, ns, p) for source, k, ns, p in rows]
+    assert stateful._packed(spark.createDataFrame([], schema)).collect() == []
