@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,25 @@ def session_log_sink(path: str, roll_bytes: int = 100 * 1024 * 1024):
     return lambda batch, batch_id: _rolled(batch, roll_bytes, "overwrite", f"{path}/batch={batch_id}")
 
 
+#: A task of ``SessionParts`` writes about so many bytes at most, many parts one after another where they are small.
+TASK_BYTES = 64 * 1024 * 1024
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Lines with ``_task`` and ``_start``, the bytes of the lines before in the same task."""
+
+    def run(batches):
+        before = 0
+        for batch in batches:
+            ends = before + np.cumsum(pc.binary_length(batch.column("value")).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            starts = np.concatenate(([before], ends[:-1])) if len(ends) else ends
+            before = int(ends[-1]) if len(ends) else before
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(starts, pa.int64())], names=[*batch.schema.names, "_start"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    return lines.mapInArrow(run, f"{fields}, _start long").withColumn("_task", F.spark_partition_id())
+
+
 _PARTS = "part string, bytes long, rows long, first_ns long, last_ns long, open_bytes long, open_from int, batch int"
 
 
@@ -123,18 +145,24 @@ class SessionParts:
         if close:
             lines = spark.read.parquet(f"{self.path}/open").where(F.col("batch").between(since, batch_id)).drop("batch")
             order = [c for c in lines.columns if c != "value"]
-            files = max(1, waiting // self.roll_bytes)
+            tasks = max(1, min(waiting // self.roll_bytes, max(spark.sparkContext.defaultParallelism, waiting // TASK_BYTES)))
             for name in names_in(spark, f"{self.path}/parts"):
                 if name.startswith("part=") and int(name.removeprefix("part=")) >= part:  # of a try that did not end
                     remove(spark, f"{self.path}/parts/{name}")
-            dealt = lines.repartitionByRange(files, *order).sortWithinPartitions(*order).withColumn("part", F.lpad((F.spark_partition_id() + part).cast("string"), 4, "0"))
-            dealt = materialize(dealt, "session-parts")  # bounds of ranges are sampled
-            sums = dealt.groupBy("part").agg(F.sum(F.octet_length("value") + 1).alias("bytes"), F.count("*").alias("rows"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
-            found = sums.orderBy("part").collect()  # a row a part
-            number = {r["part"]: f"{part + k:04d}" for k, r in enumerate(found)}  # ranges that came out empty leave no gap
-            names = F.create_map(*[F.lit(x) for pair in number.items() for x in pair])[F.col("part")]
-            dealt.select("value", names.alias("part")).write.mode("append").partitionBy("part").text(f"{self.path}/parts")
-            closed = [(number[r["part"]], *r[1:], 0, batch_id + 1) for r in found]
+            dealt = materialize(_placed(lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order)), "session-parts")  # bounds of ranges are sampled
+            size, cuts, after = F.octet_length("value") + 1, [], 0
+            for r in dealt.groupBy("_task").agg(F.sum(size).alias("bytes")).orderBy("_task").collect():  # a row a task, cut into parts of equal bytes
+                n = max(1, r["bytes"] // self.roll_bytes)
+                cuts.append((r["_task"], after, n, r["bytes"]))
+                after += n
+            cuts = spark.createDataFrame(cuts, "_task int, _first long, _n long, _bytes long")
+            cut = dealt.join(F.broadcast(cuts), "_task").withColumn("_cut", F.expr("_first + _start * _n div _bytes"))
+            sums = cut.groupBy("_cut").agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
+            found = sums.orderBy("_cut").collect()  # a row a part; cuts that a long line leaves empty make no gap
+            number = {r["_cut"]: f"{part + k:04d}" for k, r in enumerate(found)}
+            names = spark.createDataFrame(list(number.items()), "_cut long, part string")
+            cut.join(F.broadcast(names), "_cut").sortWithinPartitions("part", *order).select("value", "part").write.mode("append").partitionBy("part").text(f"{self.path}/parts")
+            closed = [(number[r["_cut"]], *r[1:], 0, batch_id + 1) for r in found]
             drop(dealt)
         rows = closed or [(None, 0, 0, None, None, waiting, since)]
         spark.createDataFrame(rows, _PARTS.rpartition(",")[0]).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={batch_id}")

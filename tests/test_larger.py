@@ -8,6 +8,7 @@ import pytest
 
 from loomlog import queries
 from loomlog.plans import tables
+from loomlog.sources import session_log
 from loomlog.streaming import stateful
 from tests.test_queries import plain
 
@@ -75,3 +76,25 @@ def test_chunks_of_a_source_go_to_its_state_together(spark):
     back = sorted((k, r["source"], ns, bytes(p)) for r in packed for k, ns, p in zip(r["chunk_seq"], r["timestamp_ns"], r["payload"], strict=True))
     assert back == [(k, source, ns, p) for source, k, ns, p in rows]
     assert stateful._packed(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_a_task_writes_many_session_parts(spark, tmp_path, monkeypatch):
+    """Parts had a task each, and a list of all their names was searched for every line."""
+    tasks, write = [], session_log.materialize
+
+    def seen(df, name):
+        tasks.append(df.rdd.getNumPartitions())
+        return write(df, name)
+
+    monkeypatch.setattr(session_log, "materialize", seen)
+    logs = spark.range(2000).selectExpr("id as seq", "1000 * id as timestamp_ns", "'d' as device", "'m' as module", "20 as level", "case id when 700 then repeat('x', 3000) else lpad(id, 20, '0') end as message")
+    parts = session_log.SessionParts(spark, str(tmp_path), 1_000)
+    parts.add(logs, 0)
+    found = parts.manifest().orderBy("part").collect()
+    assert tasks and max(tasks) <= spark.sparkContext.defaultParallelism < len(found) / 10
+    assert [r["part"] for r in found] == [f"{k:04d}" for k in range(len(found))] and sum(r["rows"] for r in found) == 2000
+    assert all(r["bytes"] < 2_000 + 3_100 for r in found) and sum(r["bytes"] for r in found) == 2000 * 56 + 2_980
+    for r in found[:: len(found) // 5]:  # a part is what its entry says, in order of time
+        lines = [line for x in sorted((tmp_path / "parts" / f"part={r['part']}").glob("part-*")) for line in x.read_text().splitlines()]
+        assert len(lines) == r["rows"] and lines == sorted(lines)
+    assert sorted(r["timestamp_ns"] for r in session_log.read_log_text(spark, str(tmp_path / "parts")).collect()) == [1000 * k for k in range(2000)]
