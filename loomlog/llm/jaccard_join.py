@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import drop, every, materialize, named, passing, row_keys, same_row
+from loomlog.llm.base import by_bitmap, drop, every, materialize, named, only_rows, passing, row_keys, same_row
 from loomlog.llm.components import components
 from loomlog.llm.rolling import RunHasher
 
@@ -176,10 +176,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
 def _linked(docs: DataFrame, classes: DataFrame, width: int, share: tuple[int, int]) -> DataFrame:
     """``sid, root`` of all sets that link with another (``classes``: a row a set)."""
-    members = classes.groupBy("gkey").agg(F.min("sid").alias("gid"), F.count("*").alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    groups = materialize(members, "jaccard-groups")
-    places = _places(groups.select("gid", "n", "prefix"), share)
-    inside = classes.select("sid", "gkey").join(groups.select("gkey", "gid", "m"), "gkey").select("sid", "gid", "m")
+    groups = materialize(classes.groupBy("gkey").agg(F.min("sid").alias("gid"), F.count("*").alias("m")), "jaccard-groups")
+    inside = classes.select("sid", "gkey").join(groups, "gkey").select("sid", "gid", "m")
+    # the first set of each group stands for it; prefixes are read where they lie
+    others = materialize(inside.where("sid <> gid").select("sid"), "jaccard-inner")
+    doubtful, sure = by_bitmap(classes.select("sid", "n", "prefix"), others, "sid")
+    leading = sure.union(doubtful.join(others, "sid", "left_anti")).withColumnRenamed("sid", "gid")
+    places = _places(leading, share)
     alive = inside.join(places.select("gid").distinct(), "gid", "left_semi").union(inside.where("m > 1")).distinct()
     alive = materialize(alive, "jaccard-alive")
 
@@ -243,8 +246,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     with passing() as keep:  # tables that led to the components go before the rows are read
         found = keep(materialize(join(docs, id_col=id_col, text_col=text_col, **how).select(named(id_col).alias("_id"), "_key", "_root"), "jaccard-found"))
     one = found.where("_root is not null").groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_key")).alias("_one")).select("_one._id", "_one._key")
-    kept = one.union(found.where("_root is null").select("_id", "_key").distinct())
-    rows = same_row(docs.select(*row_keys(id_col, text_col), every(docs).alias("_row")), kept, "left_semi")
+    kept = materialize(one.union(found.where("_root is null").select("_id", "_key").distinct()), "jaccard-kept")
+    rest = materialize(same_row(found.select("_id", "_key"), kept, "left_anti"), "jaccard-others")
+    rows = only_rows(docs.select(*row_keys(id_col, text_col), every(docs).alias("_row")), kept, rest)
     if not found.where("_root is not null").groupBy("_id", "_key").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["_id", "_key"])
     return rows.select("_row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.base import every, materialize, named, passing, row_keys, same_row
+from loomlog.llm.base import every, materialize, named, only_rows, passing, row_keys, same_row
 from loomlog.llm.components import components
 
 MAX_BITS = 2
@@ -169,7 +169,9 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     with passing() as keep:  # tables that led to the components go before the rows are read
         found = keep(materialize(near_duplicates(docs, id_col=id_col, text_col=text_col, **how).select(named(id_col).alias("_id"), "_key", "_root"), "simhash-found"))
     kept = found.groupBy("_root").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_key")).alias("_one")).select("_one._id", "_one._key")
-    out = same_row(docs.select(*row_keys(id_col, text_col), every(docs).alias("_row")), kept, "left_semi")
+    kept = materialize(kept, "simhash-kept")
+    rest = materialize(same_row(found.select("_id", "_key"), kept, "left_anti"), "simhash-rest")
+    out = only_rows(docs.select(*row_keys(id_col, text_col), every(docs).alias("_row")), kept, rest)
     if not found.groupBy("_id", "_key").count().where("count > 1").isEmpty():
         out = out.dropDuplicates(["_id", "_key"])
     return out.select("_row.*")

@@ -1,7 +1,10 @@
 """The pipeline against brute force, stage by stage on the stage's own input."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from loomlog.llm.base import materialize
+from loomlog.llm import jaccard_join, simhash
+from loomlog.llm.base import by_bitmap, materialize, only_rows
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_jaccard_join import brute as brute_jaccard
 from tests.llm.test_packing import check
@@ -93,3 +96,31 @@ def test_every_stage_takes_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_near_duplicates_shuffle_no_whole_rows_that_stay(spark):
+    """Both steps shuffled all texts, to join them with the ids of those that stay; now only texts that may go are moved."""
+    big, few = 300_000, 20
+    rows = spark.range(few).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(1, {big // 20}), x -> hex(xxhash64(id, x)))) as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    docs = materialize(rows.union(rows.where("doc_id < 2").selectExpr("doc_id + 100", "text", "lang", "source", "n_chars")), "test")
+    for keep_one in (simhash.keep_one, jaccard_join.keep_one):
+        got = keep_one(docs)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftAnti" in plan and "LeftSemi" not in plan  # rows that surely stay pass beside the join
+        assert sorted(r["doc_id"] for r in got.select("doc_id").collect()) == list(range(few))
+
+
+def test_rows_told_apart_by_a_bitmap(spark):
+    keys = spark.range(0, 4000).selectExpr("case when id % 10 = 0 then null else id end as _id", "xxhash64(id) as _key", "id as at")
+    for part in (7, 3900):
+        kept, rest = keys.where(f"at < {part}").select("_id", "_key"), keys.where(f"at >= {part}").select("_id", "_key")
+        doubtful, sure = by_bitmap(keys, rest, "_key")
+        assert doubtful.union(sure).select("at").distinct().count() == doubtful.count() + sure.count() == 4000
+        assert 4000 - part <= doubtful.count() <= 4000 - part + 20 and sure.where(f"at >= {part}").isEmpty()
+        assert sorted(r["at"] for r in only_rows(keys, kept, rest).collect()) == list(range(part))
+    same_key = spark.createDataFrame([(1, 5), (2, 5), (None, 5)], "_id long, _key long")  # a bitmap of keys cannot tell these
+    for gone in (1, None):
+        rest = same_key.where(F.col("_id").eqNullSafe(F.lit(gone)))
+        kept = same_key.exceptAll(rest)
+        assert {r["_id"] for r in only_rows(same_key, kept, rest).collect()} == {1, 2, None} - {gone}
+    assert only_rows(same_key, same_key.limit(0), same_key).count() == 0 and only_rows(same_key, same_key, same_key.limit(0)).count() == 3
